@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import binaries, mix, slices, span_hashes, word_bounds
+from auditlake.llm.common import binaries, mix, shingle_set, slices, span_hashes, word_bounds
 
 #: The fit reads at most so many labelled documents of each class, of at most so many bytes each.
 SAMPLE_DOCS, SAMPLE_BYTES = 3000, 30_000
 #: A feature needs so many toxic sample documents and so much log-odds to mark a word.
 SUPPORT, LOG_ODDS = 10, 2.3
 PREFIXES = (4, 5, 6)
-WINDOW, WINDOWS, STEPS = 24, 16_000, 60
+WINDOW, WINDOWS, STEPS, MIN_HASHES = 24, 16_000, 60, 6
 
 
 def _features(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,16 +186,32 @@ def _chain_fit(at: np.ndarray, label: np.ndarray, size: int) -> tuple[np.ndarray
     return w[:size], float(bias), turn
 
 
+def _unlike(texts: list[bytes]) -> list[int]:
+    """Positions of texts that share no min-hash with an earlier one: words of a text that was copied
+    often would else look typical of its label."""
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for i, data in enumerate(texts):
+        shingles = shingle_set(data)
+        own = {(k, int(mix(shingles, 51 + k).min())) for k in range(MIN_HASHES)} if len(shingles) else {(-1, 0)}
+        if not own & seen:
+            kept.append(i)
+        seen |= own
+    return kept
+
+
 def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Tagger:
     """Fit on a bounded sample of labelled documents.
 
     Words get labels from the documents': in a toxic document a word is toxic when one of its features
     is frequent in toxic documents and rare in clean ones; every other word is clean.
     """
-    if not len(toxic) or toxic.min() == toxic.max():
+    if not len(toxic) or toxic.min() == toxic.max():  # nothing to tell apart: the share of toxic examples
         prior = float(toxic.mean()) if len(toxic) else 0.0
         edge = np.log((prior + 1e-3) / (1 - prior + 1e-3))
         return Tagger(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.zeros((2, 2)), np.array([edge, 0.0, 0.0]), prior)
+    kept = _unlike(texts)
+    texts, toxic = [texts[i] for i in kept], toxic[kept]
     hashes = [_features(x)[2] for x in texts]
     each = [np.unique(h) for h in hashes]
     n = [int((toxic == 0).sum()), int((toxic == 1).sum())]
@@ -204,7 +220,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Tagger:
     at = np.minimum(np.searchsorted(clean_keys, keys), max(0, len(clean_keys) - 1))
     good = np.where(clean_keys[at] == keys, clean[at], 0) if len(clean_keys) else np.zeros(len(keys))
     odds = np.log((bad + 0.5) / (n[1] + 1)) - np.log((good + 0.5) / (n[0] + 1))
-    chosen = (bad >= min(SUPPORT, max(2, n[1] // 8))) & (odds >= LOG_ODDS)
+    chosen = (bad >= min(SUPPORT, max(2, n[1] // 20))) & (odds >= LOG_ODDS)
     keys = keys[chosen]
     model = Tagger(keys, np.zeros(len(keys)), 0.0, np.zeros((2, 2)), np.zeros(3), float(toxic.mean()))
     rng = np.random.default_rng(seed)
