@@ -14,6 +14,7 @@ from auditlake.llm.exact_dedup import exact_dedup
 from auditlake.llm.exact_topk import exact_topk
 from auditlake.llm.jaccard_join import jaccard_groups
 from auditlake.llm.line_dedup import line_dedup
+from auditlake.llm.lm_scoring import lm_score
 from auditlake.llm.packing import pack_documents
 from auditlake.llm.token_store import token_store
 from auditlake.llm.toxicity import tag_toxicity, train
@@ -41,6 +42,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(read_table(spark, sf_dir, "documents").select("doc_id", "text"), in_fold(F.col("doc_id"), 7, 2))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, read_table(spark, sf_dir, "labels"), ~in_fold(F.col("doc_id"), 5, 0))
@@ -61,7 +66,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_exact_topk, op5_jaccard_join, op7_toxicity, op8_bpe, op9_exact_dedup, op10_token_store)
+    f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_exact_topk, op5_jaccard_join, op6_lm_scoring, op7_toxicity, op8_bpe, op9_exact_dedup, op10_token_store)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
