@@ -44,9 +44,9 @@ def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_partitions(df: DataFrame) -> int:
-    """Shuffle partitions of the session, for explicit repartitioning by a key."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs less the columns that an operator is about to add under these names (in any case)."""
+    return docs.drop(*(c for c in docs.columns if c.lower() in names))
 
 
 def text_of(name: str) -> Column:

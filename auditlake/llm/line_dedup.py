@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import MAX_LONG, ascii_lower, ascii_strip, hash128, staged, text_of
+from auditlake.llm.common import MAX_LONG, ascii_lower, ascii_strip, hash128, staged, text_of, without
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 10, min_docs: int = 2) -> DataFrame:
@@ -16,11 +16,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shuffled, so that a line found everywhere is one row per task; only the shared keys are joined
     back, to positions without text, and a hot key is split by the adaptive skew join.
 
-    Returns every input column with text replaced by the kept lines, plus n_lines and n_dropped.
+    Returns every input column with text replaced by the kept lines, plus n_lines and n_dropped (which
+    take the place of columns so named).
     Null or empty text is one empty line, and comes back empty. A null id is no smaller than any
     other: its rows count as one document, which owns a line only where no other has it. Rows that
     repeat an id are one document and each gets the same decision. An empty table gives no rows.
     """
+    docs = without(docs, "n_lines", "n_dropped")
     base = docs.withColumn(text_col, text_of(text_col))
     owner_id = F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG))
     # The second part of the row key keeps apart rows that share an id but not their text.
@@ -43,19 +45,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("_id", "_row")
         .agg(F.collect_set("_pos").alias("_drop"))
     )
-    parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_drop"))
-    joined = base.withColumns({"_id": owner_id, "_row": F.xxhash64(text_col)}).join(dropped, ["_id", "_row"], "left")
-    return (
-        joined.withColumn("_parts", parts)
-        .withColumn("n_lines", F.size("_parts").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-        .withColumn("n_dropped", F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.col("n_dropped")).cast("long"))
-        .withColumn(
-            text_col,
-            F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(
-                F.array_join(F.transform(kept, lambda i: F.get(F.col("_parts"), i)), "\n")
-            ),
-        )
-        .select(*docs.columns, "n_lines", "n_dropped")
+    dropped = dropped.withColumnsRenamed({"_id": "__id", "_row": "__row", "_drop": "__drop"})
+    joined = base.withColumns({"__id": owner_id, "__row": F.xxhash64(text_col)}).join(dropped, ["__id", "__row"], "left")
+    joined = joined.withColumn("__lines", F.split(F.col(text_col), "\n", -1))
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
+    kept = F.array_join(F.transform(places, lambda i: F.get(F.col("__lines"), i)), "\n")
+    clean = F.col("__drop").isNull()
+    return joined.select(
+        *(F.when(clean, F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
+        F.size("__lines").cast("long").alias("n_lines"),
+        F.when(clean, F.lit(0)).otherwise(F.size("__drop")).cast("long").alias("n_dropped"),
     )

@@ -16,6 +16,7 @@ from auditlake.llm.jaccard_join import jaccard_groups
 from auditlake.llm.line_dedup import line_dedup
 from auditlake.llm.lm_scoring import lm_score
 from auditlake.llm.packing import pack_documents
+from auditlake.llm.suffix_dedup import suffix_dedup
 from auditlake.llm.token_store import token_store
 from auditlake.llm.toxicity import tag_toxicity, train
 
@@ -38,6 +39,11 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read_table(spark, sf_dir, "documents"))
 
@@ -66,7 +72,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_exact_topk, op5_jaccard_join, op6_lm_scoring, op7_toxicity, op8_bpe, op9_exact_dedup, op10_token_store)
+    f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_exact_topk, op4_suffix_array_dedup, op5_jaccard_join, op6_lm_scoring, op7_toxicity, op8_bpe, op9_exact_dedup, op10_token_store)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

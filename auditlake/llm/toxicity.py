@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import binaries, mix, shingle_set, slices, span_hashes, word_bounds
+from auditlake.llm.common import binaries, mix, shingle_set, slices, span_hashes, without, word_bounds
 
 #: The fit reads at most so many labelled documents of each class, of at most so many bytes each.
 SAMPLE_DOCS, SAMPLE_BYTES = 3000, 30_000
@@ -261,11 +261,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
 
 
 def tag_toxicity(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds score (0 to 1), predicted (1 from 0.5 on) and spans to every row; nothing is shuffled.
+    """Adds score (0 to 1), predicted (1 from 0.5 on) and spans to every row, in place of columns so named;
+    nothing is shuffled.
 
     spans: (start, end) in code points of the runs of words whose toxic marginal is 0.5 and more. Null,
     empty and blank texts score as texts without marked words. Repeats and null ids come back as given.
     """
+    docs = without(docs, "score", "predicted", "spans")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     extra = "score double, predicted int, spans array<struct<start:long,end:long>>"
     names = [*docs.columns, "score", "predicted", "spans"]
