@@ -38,9 +38,10 @@ def anchors(raw: np.ndarray, w: int) -> np.ndarray:
     n = len(raw) - GRAM + 1
     if n < 2 * w + 1:
         return np.zeros(0, np.int64)
-    gram = np.zeros(n, np.uint64)
-    for o in range(GRAM):
-        gram |= raw[o : o + n].astype(np.uint64) << np.uint64(8 * o)
+    gram, padded = np.empty(n, np.uint64), np.r_[raw, np.zeros(GRAM, np.uint8)]
+    for o in range(min(GRAM, n)):
+        own = len(range(o, n, GRAM))
+        gram[o::GRAM] = np.frombuffer(padded.data, "<u8", own, o)
     h = mix(gram, 5)
     least = _sliding_min(h, w)
     at = h[w : n - w]
@@ -85,7 +86,8 @@ def _first_ranks(rows: DataFrame, w: int, length: int) -> DataFrame:
                 _, _, first, last = classes(len(raw), at, w, length)
                 lone = np.unique(first[first == last])
                 bare = int((first > last).any())
-                rank = np.r_[span_hashes(raw, at[:-1] - w, at[1:] + w + GRAM), span_hashes(raw, at[lone] - w, at[lone] + w + GRAM), np.zeros(bare, np.uint64)]
+                names = span_hashes(raw, np.r_[at[:-1], at[lone]] - w, np.r_[at[1:], at[lone]] + w + GRAM)
+                rank = np.r_[names, np.zeros(bare, np.uint64)]
                 n = max(0, len(at) - 1)
                 for column, value in zip(out, (np.full(len(rank), row), np.repeat([0, 8, 9], [n, len(lone), bare]), np.r_[np.arange(n), lone, np.zeros(bare, np.int64)], rank), strict=True):
                     column.append(value)
@@ -111,7 +113,7 @@ def _doubled(rows: DataFrame, w: int, length: int) -> DataFrame:
     out, and the pair of ranks 2^t phrases apart is the next rank, until nothing is left or a run of
     phrases is past the length of a string.
     """
-    ranked = _first_ranks(rows, w, length)
+    ranked = staged(_first_ranks(rows, w, length), "phrases")
     bare = ranked.where("t = 9").select("_id", "_tag", "t", "j")
     alive = _repeated(ranked.where("t < 9"), "ranks")
     out, t = [bare, alive.select("_id", "_tag", "t", "j")], 0
@@ -143,6 +145,12 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.withColumn("_at", place).mapInArrow(run, "_id long, _tag int, _z binary")
 
 
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The numbers of each list; none for a null list."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return (values[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+
+
 def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8)
 
@@ -165,13 +173,13 @@ def _candidates(rows: DataFrame, alive: DataFrame, w: int, length: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, tag, z, keys in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for i, tag, z, keys in zip(*(batch.column(c).to_pylist() for c in range(3)), _lists(batch.column(3)), strict=True):
                 raw = _unpacked(z)
                 at = anchors(raw, w)
                 lo, hi, first, last = classes(len(raw), at, w, length)
                 m = last - first
                 t = np.where(m > 0, _level(m), 8)
-                keys = np.sort(np.asarray(keys, np.int64))
+                keys = np.sort(keys)
                 has = lambda k: keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] == k  # noqa: E731, B023
                 ok = (m >= 0) & has((t << 40) + first) & ((m <= 0) | has((t << 40) + last - (1 << np.minimum(t, 40))))
                 bare = m < 0
@@ -231,7 +239,12 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for (i, tag, _, n, lo, *_), own in zip(group, keys, strict=True):
             if n == 1:
-                out += [(i, tag, lo + k, lo + k) for k, key in enumerate(own) if count[key] > 1]
+                for k, key in enumerate(own):
+                    if count[key] > 1:
+                        if out and out[-1][:2] == (i, tag) and out[-1][3] == lo + k - 1:
+                            out[-1] = (i, tag, out[-1][2], lo + k)
+                        else:
+                            out.append((i, tag, lo + k, lo + k))
         return out
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
@@ -307,35 +320,37 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     """
     docs = without(docs, "n_bytes", "n_removed", "n_spans", "kept")
     tag = F.expr(f"cast(shiftrightunsigned(xxhash64(coalesce(`{text_col}`, '')), 40) as int)")
-    own = [F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(docs.columns)]
+    own = [F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(docs.columns) if c != text_col]
     whole = docs.select(*own, F.col(id_col).cast("long").alias("_id"), tag.alias("_tag"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = whole.select("_id", "_tag", "_text")
     spans = repeated_starts(rows, length)
-    lists = staged(spans.groupBy("_id", "_tag").agg(F.collect_set(F.struct("lo", "hi")).alias("starts")), "spans")
+    lists = staged(spans.groupBy("_id", "_tag").agg(F.collect_set(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("starts")), "spans")
     names = [*docs.columns, "n_bytes", "n_removed", "n_spans", "kept"]
     text_at, own_columns = docs.columns.index(text_col), len(docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             kept, removed, runs, sizes = [], [], [], []
-            starts = batch.column(batch.num_columns - 1).to_pylist()
-            for data, own in zip(binaries(batch.column(batch.num_columns - 2)), starts, strict=True):
-                edge = np.zeros(len(data) + 1, np.int64)
-                if own:
-                    lo, hi = np.array([x["lo"] for x in own]), np.array([x["hi"] for x in own])
-                    np.add.at(edge, lo, 1)
-                    np.add.at(edge, hi + length, -1)
-                gone = np.cumsum(edge[:-1]) > 0
+            for data, own in zip(binaries(batch.column(batch.num_columns - 2)), _lists(batch.column(batch.num_columns - 1)), strict=True):
                 sizes.append(len(data))
+                if not len(own):
+                    kept.append(data)
+                    removed.append(0)
+                    runs.append(0)
+                    continue
+                edge = np.zeros(len(data) + 1, np.int32)
+                np.add.at(edge, own >> 32, 1)
+                np.add.at(edge, (own & 0xFFFFFFFF) + length, -1)
+                gone = np.cumsum(edge[:-1]) > 0
                 removed.append(int(gone.sum()))
                 runs.append(int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum()))
-                kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes() if own else data)
+                kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
             texts = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
-            columns = [texts if k == text_at else batch.column(k) for k in range(own_columns)]
+            columns = [texts if k == text_at else batch.column(k - (k > text_at)) for k in range(own_columns)]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(kept, pa.binary())], names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    own = [F.col(f"own_{k}") for k in range(own_columns)]
+    own = [F.col(f"own_{k}") for k in range(own_columns) if k != text_at]
     words = bounded_filter(lists, "_id")
     sent = docs.sparkSession.sparkContext.broadcast(words)
     place = F.shiftrightunsigned(F.xxhash64("_id"), 64 - FILTER_BITS)
@@ -343,7 +358,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     def split(keep: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = sent.value
-            for batch in batches:
+            for batch in slices(batches, "_text"):
                 at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
                 yield batch.filter(pa.array(((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0) == keep))
 
@@ -352,6 +367,6 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     marked = whole.withColumn("_at", place)
     schema = marked.schema
     # Texts that surely keep all their bytes need no join.
-    clear = marked.mapInArrow(split(False), schema).select(*own, "_text", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("starts"))
+    clear = marked.mapInArrow(split(False), schema).select(*own, "_text", F.lit(None).cast("array<long>").alias("starts"))
     hit = _same_row(marked.mapInArrow(split(True), schema), lists, "left").select(*own, "_text", "starts")
     return clear.unionByName(hit).mapInArrow(cut, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
