@@ -324,7 +324,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     whole = docs.select(*own, F.col(id_col).cast("long").alias("_id"), tag.alias("_tag"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = whole.select("_id", "_tag", "_text")
     spans = repeated_starts(rows, length)
-    lists = staged(spans.groupBy("_id", "_tag").agg(F.collect_set(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("starts")), "spans")
+    lists = staged(spans.groupBy("_id", "_tag").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("starts")), "spans")
     names = [*docs.columns, "n_bytes", "n_removed", "n_spans", "kept"]
     text_at, own_columns = docs.columns.index(text_col), len(docs.columns)
 
