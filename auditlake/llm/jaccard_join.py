@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import binaries, mix, shingle_set, slices, staged
 from auditlake.llm.components import connected_components
 
-#: Counters of the frequency sketch, parity bits of a document, orders, min-hashes of the first links.
-SKETCH_BITS, PARITY_WORDS, ORDERS, MIN_HASHES = 20, 16, 2, 8
+#: Counters of the frequency sketch, parity bits of a document, orders, min-hashes and rounds of the first links.
+SKETCH_BITS, PARITY_WORDS, ORDERS, MIN_HASHES, STAR_ROUNDS = 20, 16, 2, 8, 3
 #: From this sketched count on, a token's rows are spread over all parts.
 HOT_TOKEN = 1 << 20
 FILTER_BITS = 23
@@ -111,8 +111,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Group documents linked by word-shingle Jaccard similarity of numerator / denominator and more.
 
     1. Documents with the same shingle set are one node (named by a 64-bit hash of the set).
-    2. Nodes that share one of MIN_HASHES min-hashes are compared with the smallest such node only;
-       verified links join most copies of a text into components at linear cost.
+    2. In STAR_ROUNDS rounds, nodes that share one of MIN_HASHES min-hashes are compared with one such
+       node only; verified links join most copies of a text into components at linear cost.
     3. For exactness, every node lists its prefix tokens under ORDERS global orders, rarer tokens
        first by a sketch of all counts, ties by an order's own hash. Any two nodes of different
        components that share a prefix token under each order, and pass the size and parity
@@ -140,14 +140,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     usable = profiles.where("n > 0 AND _id IS NOT NULL")
     reps = staged(usable.groupBy("node").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("mins").alias("mins")), "nodes")
 
-    keyed = reps.select("node", F.posexplode("mins").alias("k", "m"))
-    stars = staged(keyed.groupBy("k", "m").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("k", "m", "pivot"), "pivots")
-    stars = keyed.join(stars, ["k", "m"]).where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    first = staged(_verified(rows, reps, stars, width, numerator, denominator), "first-links")
-    comps = connected_components(first)
+    keyed = staged(reps.select("node", F.posexplode("mins").alias("k", "m")), "min-hashes")
+    comps = reps.select("node", F.col("node").alias("comp"))
+    links: DataFrame | None = None
+    for salt in range(STAR_ROUNDS):
+        found = _verified(rows, reps, _stars(keyed, comps, salt), width, numerator, denominator)
+        links = staged(found if links is None else links.union(found), "links")
+        comps = connected_components(links)
+        comps = staged(reps.select("node").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "comps")
 
     listed = _shared_prefixes(rows, width, numerator, denominator)
-    sized = reps.select("node", "n").join(comps, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
+    sized = reps.select("node", "n").join(comps, "node")
     listed = listed.join(sized, "node")
     counts = listed.groupBy("k", "token", "comp").agg(F.count(F.lit(1)).alias("c"))
     hubs = counts.groupBy("k", "token").agg(F.max_by("comp", F.struct("c", "comp")).alias("hub"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
@@ -162,8 +165,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = pairs.where(F.col("orders") == (1 << ORDERS) - 1).select("a", "b")
     second = _verified(rows, reps, pairs, width, numerator, denominator)
 
-    links = first.union(second)
-    grouped = connected_components(links)
+    grouped = connected_components(links.union(second))
     label = reps.join(grouped, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     smallest = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_node = staged(label.join(smallest, "comp").select("node", "component_id"), "components")
@@ -171,6 +173,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id"))
 
 
+def _stars(keyed: DataFrame, comps: DataFrame, salt: int) -> DataFrame:
+    """Candidate pairs (a, b): in each min-hash bucket one node, picked by a hash of its own for every
+    min-hash and round, with the nodes of other components. Linear in the bucket, whatever its size."""
+    placed = keyed.join(comps, "node")
+    pick = F.min_by(F.struct("node", "comp"), F.xxhash64(F.col("node"), F.col("k"), F.lit(salt)))
+    pivots = placed.groupBy("k", "m").agg(pick.alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    pivots = staged(pivots.select("k", "m", F.col("pivot.node").alias("p"), F.col("pivot.comp").alias("pc")), "pivots")
+    met = placed.join(pivots, ["k", "m"]).where("comp != pc")
+    return met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+
+
 def _shared_prefixes(rows: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
     """(k, token, node) for the prefix tokens, under each order, that more than one node lists."""
     spark = rows.sparkSession
