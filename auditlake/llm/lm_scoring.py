@@ -146,7 +146,7 @@ def _pack(columns: list[np.ndarray]) -> bytes:
 
 def _unpack(data: bytes, n: int, columns: int) -> list[np.ndarray]:
     raw = np.frombuffer(pa.decompress(data, decompressed_size=4 * n * columns, codec="zstd", asbytes=True), np.uint8)
-    return [np.ascontiguousarray(raw[4 * n * i : 4 * n * (i + 1)].reshape(4, n).T).view("<u4").reshape(-1).astype(np.int64) for i in range(columns)]
+    return [np.ascontiguousarray(raw[4 * n * i : 4 * n * (i + 1)].reshape(4, n).T).view("<u4").reshape(-1) for i in range(columns)]
 
 
 def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", symbols: int = SYMBOLS, prior_2: float = PRIOR_2, prior_3: float = PRIOR_3) -> DataFrame:
@@ -157,7 +157,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     share of the rare mass, looked up by a join. Every trigram occurrence travels once, packed, to the
     shard of its middle word (a hot one is spread over classes, which are then its backing-off
     contexts); a shard builds its part of the trie from the training texts and answers for all texts. Per
-    text only sums come back. No task holds more than its shard; the driver sees totals and symbols.
+    text only sums come back, packed by bucket of ids. No task holds more than its shard; the driver sees totals and symbols.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score. Null and
     empty text is the end token alone. Rows that repeat an id and its text come back as one row, a null id
@@ -234,7 +234,18 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
         for a in range(0, len(w), 1 << 19):
             some = slice(a, a + (1 << 19))
             total += np.bincount(doc[some], trie.log_p(cls[some], u[some], w[some]), minlength=len(runs))
-        return pa.table({"_id": part.column("ids").combine_chunks().flatten(), "_tag": part.column("tags").combine_chunks().flatten(), "score": pa.array(total)})
+        ids, tags = part.column("ids").combine_chunks().flatten(), part.column("tags").combine_chunks().flatten()
+        bucket = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 79) % np.uint64(shards)
+        order = np.argsort(bucket, kind="stable")
+        present, starts = np.unique(bucket[order], return_index=True)
+        offsets = pa.array(np.r_[starts, len(order)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, x.take(pa.array(order))) for x in (ids, tags, pa.array(total))]
+        return pa.table([pa.array(present.astype(np.int32)), *lists], ["bucket", "ids", "tags", "scores"])
+
+    def add(key: tuple, part: pa.Table) -> pa.Table:
+        columns = [part.column(c).combine_chunks().flatten() for c in ("ids", "tags", "scores")]
+        summed = pa.table(columns, ["_id", "_tag", "score"]).group_by(["_id", "_tag"]).aggregate([("score", "sum")])
+        return pa.table([summed.column("_id"), summed.column("_tag"), summed.column("score_sum")], ["_id", "_tag", "score"])
 
     local = staged(rows.mapInArrow(own, "_id long, _tag int, _held boolean, n long, known long, base double, rare array<long>, often array<long>"), "token-sums")
     looked = local.select("_id", "_tag", F.explode(F.arrays_zip(F.col("rare").alias("token"), F.col("often").alias("times"))).alias("r")).select("_id", "_tag", F.col("r.token").alias("token"), F.col("r.times").alias("times"))
@@ -242,7 +253,8 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     share = F.log10(F.col("c") + 1)
     rare = looked.groupBy("_id", "_tag").agg(F.sum("times").alias("known"), F.sum(F.col("times") * share).alias("base"))
     shared = rows.mapInArrow(spread, "shard int, n long, packed binary, ids array<long>, tags array<int>, held array<boolean>, runs array<int>")
-    sums = shared.groupBy("shard").applyInArrow(answer, "_id long, _tag int, score double")
+    answers = shared.groupBy("shard").applyInArrow(answer, "bucket int, ids array<long>, tags array<int>, scores array<double>")
+    sums = answers.groupBy("bucket").applyInArrow(add, "_id long, _tag int, score double")
 
     zero, none = F.lit(0).cast("long"), F.lit(0.0)
     rare_n = F.aggregate("often", zero, lambda s, x: s + x)
