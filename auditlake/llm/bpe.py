@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +33,13 @@ def _printable() -> dict[str, int]:
 
 
 class Bpe:
-    """A vocabulary file of byte-level BPE: encode(text) -> ids, decode(ids) -> bytes."""
+    """A vocabulary file of byte-level BPE: encode(text) -> ids, decode(ids) -> bytes.
 
-    def __init__(self, path: str):
+    With compiled, chunks are merged by a compiled encoder where the file's ids are its merge order;
+    the ids are the same.
+    """
+
+    def __init__(self, path: str, compiled: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte = _printable()
@@ -46,6 +51,10 @@ class Bpe:
             a, b = (raw(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
         self.bytes = [ids[bytes([b])] for b in range(256)]
+        self._compiled = None
+        order = [x for _, x in sorted(self.merges.values())]
+        if compiled and order == sorted(order) and max(self.bytes) < min(order, default=256):
+            self._compiled = tiktoken.Encoding("own", pat_str=PIECES.pattern, mergeable_ranks={w: i for i, w in self.words.items()}, special_tokens={})
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.words |= {i: t.encode() for t, i in self.special.items()}
         self._split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -78,6 +87,8 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
     def _chunk(self, chunk: str) -> list[int]:
+        if self._compiled is not None:
+            return self._compiled.encode_ordinary(chunk)
         out: list[int] = []
         for piece in PIECES.findall(chunk):
             out += self.merge(piece.encode())
@@ -111,8 +122,8 @@ class Bpe:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> Bpe:
-    return Bpe(path)
+def load(path: str, compiled: bool = False) -> Bpe:
+    return Bpe(path, compiled)
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -105,7 +105,7 @@ def encode_table(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, tex
     """(_id, _n, _ids): each text's ids with the end id, as little-endian unsigned 32-bit bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(vocabulary)
+        model = load(vocabulary, compiled=True)
         for batch in slices(batches, "_text"):
             ids = [np.asarray([*model.encode(x.decode("utf-8", "replace")), end_id], "<u4") for x in binaries(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["_id", "_n", "_ids"])
