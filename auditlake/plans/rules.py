@@ -138,6 +138,102 @@ def coverage_rules() -> list[Rule]:
     ]
 
 
+def cdc_facts(crossings: DataFrame, keys: list[str]) -> DataFrame:
+    """Crossings by severity and id, with the first description and at most 6 pairs of clocks.
+
+    Pairs are made distinct before they are gathered: there are as many as pairs of clocks, whatever the crossings.
+    """
+    rows = crossings.withColumn("severity", F.initcap(F.lower("severity")))
+    pair = F.when(F.col("source_clock") != "", F.concat_ws(" -> ", "source_clock", "destination_clock"))
+    each = rows.groupBy(*keys, "severity", "id", pair.alias("pair")).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("description") != "", F.struct("pos", "description"))).alias("d"))
+    found = each.groupBy(*keys, "severity", "id").agg(F.sum("n").alias("n"), F.min("d").alias("d"), F.slice(F.sort_array(F.collect_set("pair")), 1, 6).alias("pairs"))
+    return found.select(*keys, "severity", "id", "n", F.coalesce("d.description", F.lit("")).alias("description"), "pairs")
+
+
+def cdc_rules() -> list[Rule]:
+    """Over cdc_facts with id renamed to crossing; other severities are silent."""
+    e = ("crossing", "n", "pairs")
+    return [
+        Rule("CDC.CRITICAL", F.col("severity") == "Critical", True, True, evidence=e),
+        Rule("CDC.WARNING", F.col("severity") == "Warning", False, True, evidence=e),
+    ]
+
+
+def clock_facts(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs without a safe relation; a pair that is unsafe is not counted as partly false too."""
+    text = F.lower("classification")
+    unsafe = F.contains(text, F.lit("unsafe")) | F.contains(text, F.lit("no common"))
+    return pairs.groupBy(*keys).agg(F.count_if(unsafe).alias("n_unsafe"), F.count_if(~unsafe & F.contains(text, F.lit("partial false path"))).alias("n_partial"))
+
+
+def clock_rules() -> list[Rule]:
+    return [
+        Rule("CLK.NO_COMMON_CLOCK", F.col("n_unsafe") > 0, True, True, evidence=("n_unsafe",)),
+        Rule("CLK.PARTIAL_FALSE_PATH", F.col("n_partial") > 0, False, True, evidence=("n_partial",)),
+    ]
+
+
+def control_set_rules(limits: dict | None = None) -> list[Rule]:
+    """Over unique_control_sets, registers."""
+    ratio = F.try_divide("unique_control_sets", "registers")
+    return [Rule("CTRLSET.HIGH", ratio > (THRESHOLDS | (limits or {}))["control_sets_per_register"], evidence=("unique_control_sets", "registers"))]
+
+
+def provenance_rules() -> list[Rule]:
+    return [
+        Rule("PROV.DIRTY_INPUTS", F.col("n_dirty") > 0, False, True, evidence=("n_dirty",)),
+        Rule("PROV.PREFLIGHT_WARNINGS", F.col("n_warnings") > 0, evidence=("n_warnings",)),
+    ]
+
+
+def filelist_rules() -> list[Rule]:
+    """Over counts; top_found and consistent are null where nobody looked, which is not the same as true."""
+    some = lambda name, n, bringup: Rule(f"FILELIST.{name}", F.col(n) > 0, bringup, True, evidence=(n,))
+    return [
+        some("MISSING_FILE", "n_missing_file", True),
+        some("MISSING_INCDIR", "n_missing_incdir", True),
+        some("MODULE_FILE_MISSING", "n_file_missing", True),
+        some("MODULE_UNDEFINED", "n_undefined", False),
+        Rule("FILELIST.TOP_NOT_FOUND", ~F.col("top_found"), True, True),
+        Rule("FILELIST.PROJECT_NOT_CHECKED", F.col("consistent").isNull(), False, True, group="project"),
+        Rule("FILELIST.PROJECT_MISMATCH", ~F.col("consistent"), True, True, group="project"),
+        some("DUPLICATE_MODULE", "n_duplicate", False),
+    ]
+
+
+def filelist_error_rules(most: int = 5) -> list[Rule]:
+    """Over ord, error: one finding for each of the first errors of a list."""
+    return [Rule("FILELIST.PARSE_ERROR", F.col("ord") < most, False, True, evidence=("error",))]
+
+
+def environment_rules() -> list[Rule]:
+    return [
+        Rule("ENV.VIVADO_CHANGED", F.col("tool_changed"), False, True),
+        Rule("ENV.OS_CHANGED", F.col("os_changed")),
+        Rule("ENV.OS_UNSUPPORTED", ~F.col("os_supported")),
+    ]
+
+
+def ip_facts(ips: DataFrame, keys: list[str]) -> DataFrame:
+    return ips.groupBy(*keys).agg(*(F.count_if(c).alias(f"n_{c}") for c in ("missing", "upgrade", "locked")))
+
+
+def ip_rules() -> list[Rule]:
+    return [
+        Rule("IP.MISSING_PRODUCTS", F.col("n_missing") > 0, True, True, evidence=("n_missing",)),
+        Rule("IP.NEEDS_UPGRADE", F.col("n_upgrade") > 0, False, True, evidence=("n_upgrade",)),
+        Rule("IP.LOCKED", F.col("n_locked") > 0, False, True, evidence=("n_locked",)),
+    ]
+
+
+def qor_rules(limits: dict | None = None) -> list[Rule]:
+    return [Rule("QOR.LOW_SCORE", F.col("score") < (THRESHOLDS | (limits or {}))["qor_score_warn"], evidence=("score", "max_score"))]
+
+
+def bitstream_rules() -> list[Rule]:
+    return [Rule("BITSTREAM.MISSING", F.col("requested") & ~F.col("present"), True, True)]
+
+
 def worst_first(findings: DataFrame) -> DataFrame:
     """O2: by severity, then id."""
     return findings.orderBy(severity_rank(F.col("severity")), "id", "evidence")
