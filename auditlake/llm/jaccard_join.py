@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from auditlake.llm.common import binaries, mix, shingle_set, slices, staged
 from auditlake.llm.components import connected_components
@@ -112,11 +113,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     1. Documents with the same shingle set are one node (named by a 64-bit hash of the set).
     2. In STAR_ROUNDS rounds, nodes that share one of MIN_HASHES min-hashes are compared with one such
-       node only; verified links join most copies of a text into components at linear cost.
+       node only, in later rounds one with many links; verified links join most copies of a text into components at linear cost.
     3. For exactness, every node lists its prefix tokens under ORDERS global orders, rarer tokens
        first by a sketch of all counts, ties by an order's own hash. Any two nodes of different
-       components that share a prefix token under each order, and pass the size and parity
-       filters, are verified on their whole sets. Only pairs inside one component are spared.
+       components that share a prefix token under each order, and pass the size, position and
+       parity filters, are verified on their whole sets. Only pairs inside one component are spared.
     Lists travel packed, by token; tokens seen once drop out at once, tokens of one component next.
 
     Returns id, n_shingles, component_id. Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; a text of
@@ -141,28 +142,27 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = staged(usable.groupBy("node").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("mins").alias("mins")), "nodes")
 
     keyed = staged(reps.select("node", F.posexplode("mins").alias("k", "m")), "min-hashes")
-    comps = reps.select("node", F.col("node").alias("comp"))
+    comps = reps.select("node", F.col("node").alias("comp"), F.lit(0).cast("long").alias("degree"))
     links: DataFrame | None = None
     for salt in range(STAR_ROUNDS):
         found = _verified(rows, reps, _stars(keyed, comps, salt), width, numerator, denominator)
         links = staged(found if links is None else links.union(found), "links")
-        comps = connected_components(links)
-        comps = staged(reps.select("node").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "comps")
+        degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        comps = connected_components(links).join(degrees, "node")
+        comps = reps.select("node").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        comps = staged(comps, "comps")
 
     listed = _shared_prefixes(rows, width, numerator, denominator)
-    sized = reps.select("node", "n").join(comps, "node")
+    sized = reps.select("node", "n").join(comps.select("node", "comp"), "node")
     listed = listed.join(sized, "node")
     counts = listed.groupBy("k", "token", "comp").agg(F.count(F.lit(1)).alias("c"))
     hubs = counts.groupBy("k", "token").agg(F.max_by("comp", F.struct("c", "comp")).alias("hub"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     hubs = staged(hubs.select("k", "token", "hub"), "mixed-tokens")
-    mixed = staged(listed.join(hubs, ["k", "token"]), "mixed-lists")
-    # A token's largest component is never paired with itself: the others meet all rows of the token.
-    minor = mixed.where("comp != hub").select("k", "token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    other = mixed.select("k", "token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), (F.col("comp") == F.col("hub")).alias("in_hub"))
-    least = _ceil_overlap(F.col("nx"), F.col("ny"), numerator, denominator)
-    met = minor.join(other, ["k", "token"]).where((F.col("cx") != F.col("cy")) & (F.col("in_hub") | (F.col("x") < F.col("y"))) & (F.least("nx", "ny") >= least))
-    pairs = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("orders"))
-    pairs = pairs.where(F.col("orders") == (1 << ORDERS) - 1).select("a", "b")
+    # own: how many tokens before this one no other component lists; no node of another component has them.
+    ahead = F.count(F.lit(1)).over(Window.partitionBy("k", "node").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    mixed = staged(listed.join(hubs, ["k", "token"]).withColumn("own", F.col("pos") - ahead), "mixed-lists")
+    folded = F.array(*(F.col("parity")[i].bitwiseXOR(F.col("parity")[i + PARITY_WORDS // 2]) for i in range(PARITY_WORDS // 2)))
+    pairs = _near_prefixes(mixed.join(reps.select("node", folded.alias("parity")), "node"), numerator, denominator)
     second = _verified(rows, reps, pairs, width, numerator, denominator)
 
     grouped = connected_components(links.union(second))
@@ -173,19 +173,48 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id"))
 
 
+def _near_prefixes(mixed: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components, from rows (k, token, node, n, comp, hub, pos, own, parity).
+
+    Two sets share at most: the tokens before a shared one that other components list, itself, and the
+    tokens after it. Two nodes that both have many tokens of their own before it cannot reach the
+    similarity, so such heavy rows meet light rows only. Half the parity bits (folded, still a lower
+    bound of the difference) are compared where rows meet. A token's largest component is never paired
+    with itself: the others meet all rows of the token. For each order the last shared prefix token
+    then bounds the overlap, and every order's bound must hold.
+    """
+    heavy = 2 * numerator * F.col("own") > (denominator - numerator) * (F.col("n") - F.col("own"))
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "comp", "pos", "own", "parity")]
+    wants = F.explode(F.when(heavy, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("heavy")
+    minor = mixed.where("comp != hub").select("k", "token", wants, *named("x"))
+    other = mixed.select("k", "token", heavy.alias("heavy"), (F.col("comp") == F.col("hub")).alias("in_hub"), *named("y"))
+    least = _ceil_overlap(F.col("n_x"), F.col("n_y"), numerator, denominator)
+    rest = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) - 1
+    before = F.least(F.col("pos_x") - F.col("own_x"), F.col("pos_y") - F.col("own_y"))
+    apart = (F.col("comp_x") != F.col("comp_y")) & (F.col("in_hub") | (F.col("node_x") < F.col("node_y")))
+    differ = reduce(Column.__add__, (F.bit_count(F.col("parity_x")[i].bitwiseXOR(F.col("parity_y")[i])) for i in range(PARITY_WORDS // 2)))
+    near = (F.least("n_x", "n_y") >= least) & (before + 1 + rest >= least) & (differ <= F.col("n_x") + F.col("n_y") - 2 * least)
+    met = minor.join(other, ["k", "token", "heavy"]).where(apart & near)
+    met = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), "k", rest.alias("rest"), least.alias("least"))
+    bounds = [(F.count_if(F.col("k") == k) + F.min(F.when(F.col("k") == k, F.col("rest")))).alias(f"bound{k}") for k in range(ORDERS)]
+    pairs = met.groupBy("a", "b", "least").agg(*bounds)
+    return pairs.where(reduce(Column.__and__, (F.col(f"bound{k}") >= F.col("least") for k in range(ORDERS)))).select("a", "b")
+
+
 def _stars(keyed: DataFrame, comps: DataFrame, salt: int) -> DataFrame:
-    """Candidate pairs (a, b): in each min-hash bucket one node, picked by a hash of its own for every
-    min-hash and round, with the nodes of other components. Linear in the bucket, whatever its size."""
+    """Candidate pairs (a, b): in each min-hash bucket one node with the nodes of other components.
+    Linear in the bucket, whatever its size. The first round picks by a hash of its own for every
+    min-hash; later ones prefer nodes with links to several earlier picks, which lie near a group's centre."""
     placed = keyed.join(comps, "node")
-    pick = F.min_by(F.struct("node", "comp"), F.xxhash64(F.col("node"), F.col("k"), F.lit(salt)))
+    pick = F.min_by(F.struct("node", "comp"), F.struct(-F.least(F.col("degree"), F.lit(4 * salt)), F.xxhash64(F.col("node"), F.col("k"), F.lit(salt))))
     pivots = placed.groupBy("k", "m").agg(pick.alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     pivots = staged(pivots.select("k", "m", F.col("pivot.node").alias("p"), F.col("pivot.comp").alias("pc")), "pivots")
-    met = placed.join(pivots, ["k", "m"]).where("comp != pc")
+    met = placed.drop("degree").join(pivots, ["k", "m"]).where("comp != pc")
     return met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
 
 
 def _shared_prefixes(rows: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
-    """(k, token, node) for the prefix tokens, under each order, that more than one node lists."""
+    """(k, token, node, pos) for the prefix tokens, under each order, that more than one node lists."""
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(_sketch(rows, width))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -194,7 +223,7 @@ def _shared_prefixes(rows: DataFrame, width: int, numerator: int, denominator: i
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
         for batch in slices(batches, "_text", 16 << 20):
-            held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+            held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
             for data in binaries(batch.column(1)):
                 tokens = shingle_set(data, width)
                 if len(tokens):
@@ -205,43 +234,46 @@ def _shared_prefixes(rows: DataFrame, width: int, numerator: int, denominator: i
                         some = _prefix(tokens, level, k, numerator, denominator)
                         hot = counts[(some >> shift).astype(np.int64)] >= HOT_TOKEN
                         by = np.where(hot, mix(some ^ np.uint64(int(node) & 0xFFFFFFFFFFFFFFFF), 401), mix(some, 401))
-                        held.append((k, some, np.full(len(some), node), (by % np.uint64(parts)).astype(np.int32)))
+                        held.append((k, some, np.full(len(some), node), (by % np.uint64(parts)).astype(np.int32), np.arange(len(some))))
             for k in range(ORDERS):
                 own = [h for h in held if h[0] == k]
                 if not own:
                     continue
-                token, node, part = (np.concatenate([h[i] for h in own]) for i in (1, 2, 3))
+                token, node, part, pos = (np.concatenate([h[i] for h in own]) for i in (1, 2, 3, 4))
                 order = np.argsort(part, kind="stable")
-                token, node, part = token[order], node[order], part[order]
+                token, node, part, pos = token[order], node[order], part[order], pos[order]
                 cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
-                at, tokens, nodes = part[cuts[:-1]], [], []
+                at, tokens, nodes, places = part[cuts[:-1]], [], [], []
+                small = "<u2" if pos.max() < 1 << 16 else "<u4"
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     heads = np.flatnonzero(np.r_[True, node[a + 1 : b] != node[a : b - 1]])
                     runs = np.diff(np.r_[heads, b - a]).astype("<u4")
                     tokens.append(token[a:b].astype("<u8").tobytes())
+                    places.append(pos[a:b].astype(small).tobytes())
                     nodes.append(len(heads).to_bytes(4, "little") + node[a:b][heads].astype("<i8").tobytes() + runs.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([k] * len(at), pa.int32()), pa.array(tokens, pa.binary()), pa.array(nodes, pa.binary())], ["part", "k", "tokens", "nodes"])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([k] * len(at), pa.int32()), pa.array(tokens, pa.binary()), pa.array(nodes, pa.binary()), pa.array(places, pa.binary())], ["part", "k", "tokens", "nodes", "places"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for k, tokens, nodes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for k, tokens, nodes, places in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                 n = int.from_bytes(nodes[:4], "little")
-                held.setdefault(k, []).append((np.frombuffer(tokens, "<u8"), np.repeat(np.frombuffer(nodes, "<i8", n, 4), np.frombuffer(nodes, "<u4", n, 4 + 8 * n))))
+                pos = np.frombuffer(places, f"<u{8 * len(places) // len(tokens)}").astype(np.int32)
+                held.setdefault(k, []).append((np.frombuffer(tokens, "<u8"), np.repeat(np.frombuffer(nodes, "<i8", n, 4), np.frombuffer(nodes, "<u4", n, 4 + 8 * n)), pos))
         for k in list(held):
             own = held.pop(k)
-            token, node = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
+            token, node, pos = (np.concatenate([x[i] for x in own]) for i in (0, 1, 2))
             order = np.lexsort((node, token))
-            token, node = token[order], node[order]
+            token, node, pos = token[order], node[order], pos[order]
             new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
-            token, node = token[new], node[new]
+            token, node, pos = token[new], node[new], pos[new]
             alike = token[1:] == token[:-1]
             keep = np.r_[False, alike] | np.r_[alike, False] | (counts[(token >> shift).astype(np.int64)] >= HOT_TOKEN)
-            token, node = token[keep].view(np.int64), node[keep]
+            token, node, pos = token[keep].view(np.int64), node[keep], pos[keep]
             for a in range(0, len(token), 100_000):
                 some = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token[some]), k), pa.int32()), pa.array(token[some], pa.int64()), pa.array(node[some], pa.int64())], ["k", "token", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token[some]), k), pa.int32()), pa.array(token[some], pa.int64()), pa.array(node[some], pa.int64()), pa.array(pos[some], pa.int32())], ["k", "token", "node", "pos"])
 
-    packed = rows.mapInArrow(emit, "part int, k int, tokens binary, nodes binary")
-    return staged(packed.repartition(parts, "part").mapInArrow(meet, "k int, token long, node long"), "shared-prefixes")
+    packed = rows.mapInArrow(emit, "part int, k int, tokens binary, nodes binary, places binary")
+    return staged(packed.repartition(parts, "part").mapInArrow(meet, "k int, token long, node long, pos int"), "shared-prefixes")

@@ -149,6 +149,28 @@ def test_jaccard(docs, empty):
     assert jaccard_groups(empty).count() == 0
 
 
+def test_jaccard_part_copies(spark):
+    """Texts around a common passage, with own words before, inside and after it, near the threshold."""
+    rng = random.Random(8)
+    core = [f"core{i}" for i in range(60)]
+    texts = []
+    for i in range(220):
+        words = list(core if i % 2 else core[:40])
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(30)}"
+        own = [f"own{i}-{j}" for j in range(rng.randrange(12))]
+        texts.append(" ".join(own + words if i % 3 else words + own))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    comp = list(range(len(sets)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            lo, hi = sorted((comp[a], comp[b]))
+            comp = [lo if c == hi else c for c in comp]
+    got = {r["doc_id"]: r["component_id"] for r in collected(jaccard_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert [got[i] for i in range(len(texts))] == comp
+    assert 1 < len(set(comp)) < len(comp)
+
+
 @pytest.mark.parametrize("symbols", [1 << 19, 20])
 def test_lm(docs, empty, symbols):
     held = F.col("doc_id") % 4 == 1
