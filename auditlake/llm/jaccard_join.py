@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 from auditlake.llm.common import binaries, mix, shingle_set, slices, staged
 from auditlake.llm.components import connected_components
 
-#: Counters of the frequency sketch, parity bits of a document, orders, min-hashes and rounds of the first links.
-SKETCH_BITS, PARITY_WORDS, ORDERS, MIN_HASHES, STAR_ROUNDS = 20, 16, 2, 8, 3
+#: Counters of the frequency sketch, parity bits of a document, orders, min-hashes, rounds of the first links and picks of a bucket in each.
+SKETCH_BITS, PARITY_WORDS, ORDERS, MIN_HASHES, STAR_ROUNDS, PICKS = 20, 16, 2, 8, 2, 3
 #: From this sketched count on, a token's rows are spread over all parts.
 HOT_TOKEN = 1 << 20
 FILTER_BITS = 23
@@ -112,8 +112,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Group documents linked by word-shingle Jaccard similarity of numerator / denominator and more.
 
     1. Documents with the same shingle set are one node (named by a 64-bit hash of the set).
-    2. In STAR_ROUNDS rounds, nodes that share one of MIN_HASHES min-hashes are compared with one such
-       node only, in later rounds one with many links; verified links join most copies of a text into components at linear cost.
+    2. In STAR_ROUNDS rounds, nodes that share one of MIN_HASHES min-hashes are compared with PICKS such
+       nodes only, in later rounds some with many links; verified links join most copies of a text into components at linear cost.
     3. For exactness, every node lists its prefix tokens under ORDERS global orders, rarer tokens
        first by a sketch of all counts, ties by an order's own hash. Any two nodes of different
        components that share a prefix token under each order, and pass the size, position and
@@ -202,12 +202,15 @@ def _near_prefixes(mixed: DataFrame, numerator: int, denominator: int) -> DataFr
 
 
 def _stars(keyed: DataFrame, comps: DataFrame, salt: int) -> DataFrame:
-    """Candidate pairs (a, b): in each min-hash bucket one node with the nodes of other components.
-    Linear in the bucket, whatever its size. The first round picks by a hash of its own for every
-    min-hash; later ones prefer nodes with links to several earlier picks, which lie near a group's centre."""
+    """Candidate pairs (a, b): in each min-hash bucket PICKS nodes with the nodes of other components.
+    Linear in the bucket, whatever its size. Picks follow a hash of their own for every min-hash and
+    round; after the first round some prefer nodes that several earlier picks linked, which lie near a
+    group's centre. A node with more links was itself picked before and has no preference."""
     placed = keyed.join(comps, "node")
-    pick = F.min_by(F.struct("node", "comp"), F.struct(-F.least(F.col("degree"), F.lit(4 * salt)), F.xxhash64(F.col("node"), F.col("k"), F.lit(salt))))
-    pivots = placed.groupBy("k", "m").agg(pick.alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    linked = F.when(F.col("degree") <= MIN_HASHES * PICKS * salt, F.col("degree")).otherwise(0)
+    picks = [F.min_by(F.struct("node", "comp"), F.struct(-F.least(linked, F.lit(4 * i)), F.xxhash64(F.col("node"), F.col("k"), F.lit(salt * PICKS + i)))) for i in range(PICKS)]
+    pivots = placed.groupBy("k", "m").agg(F.array_distinct(F.array(*picks)).alias("picks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    pivots = pivots.select("k", "m", F.explode("picks").alias("pivot"))
     pivots = staged(pivots.select("k", "m", F.col("pivot.node").alias("p"), F.col("pivot.comp").alias("pc")), "pivots")
     met = placed.drop("degree").join(pivots, ["k", "m"]).where("comp != pc")
     return met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
