@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,40 +13,56 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import binaries, mix, slices, staged, word_hashes
 from auditlake.llm.elias_fano import Level, mapped
 
-#: Words that are symbols of their own (the broadcast's bound), prior weights of bigrams and trigrams,
-#: the share of all tokens from which a context word is hot, and over how many classes it is spread.
+#: Words that are symbols, whose counts go to every task (the broadcast's bound), prior weights of bigrams and
+#: trigrams, the share of all tokens from which a context word is hot, and over how many parts it is spread.
 SYMBOLS, PRIOR_2, PRIOR_3, HOT_SHARE, HOT_CLASSES = 1 << 19, 1000.0, 1.0, 1 / 64, 16
 _END = mix(np.array([1], np.uint64), 900)
-_WIDTH = 1 << 20
+_BEFORE = mix(np.array([2, 3], np.uint64), 900)
 
 
 @dataclass
 class Symbols:
-    """hashes: sorted word hashes of the symbols; counts in training; totals of all and of the other words."""
+    """hashes: sorted word hashes of the symbols; counts: theirs in training; tokens and types: of all words there.
+
+    Numbers: the symbols, two for the words before a text, then the other words of a block or shard, which
+    names them itself. Hot words are always symbols.
+    """
 
     hashes: np.ndarray
     counts: np.ndarray
     tokens: int
     types: int
-    rare_tokens: int
-    rare_types: int
-    hot: np.ndarray
 
     @property
-    def rare(self) -> int:
-        return len(self.hashes)
+    def others(self) -> int:
+        return len(self.hashes) + 2
+
+    @property
+    def hot(self) -> np.ndarray:
+        """By number of the symbols and the words before a text."""
+        return np.r_[self.counts >= max(2, HOT_SHARE * self.tokens), False, False]
+
+    def number(self, words: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """A word's symbol, or its place in others (sorted) after the symbols; all that is not a symbol is in others."""
+        out = self.others + np.searchsorted(others, words)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == words, at, out)
+        return out
 
-    def number(self, words: np.ndarray) -> np.ndarray:
-        """A word's symbol; rare for all others. rare + 1 and + 2 stand for the words before a text."""
-        if not len(self.hashes):
-            return np.full(len(words), self.rare, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, at, self.rare)
+    def split(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words in which others are named by the second result; _BEFORE has its own two."""
+        out = self.number(words, np.zeros(0, np.uint64))
+        for k in range(2):
+            out[(out == self.others) & (words == _BEFORE[k])] = len(self.hashes) + k
+        other = out == self.others
+        names, at = np.unique(words[other], return_inverse=True)
+        out[other] += at
+        return out, names
 
-    def log_unigram(self) -> np.ndarray:
-        """log10 p of each symbol; all other words, and one unseen, share the mass of the last."""
-        mass = np.r_[self.counts + 1, self.rare_tokens + self.rare_types + 1]
-        return np.log10(mass / (self.tokens + self.types + 1))
+    def log_unigram(self, counts: np.ndarray) -> np.ndarray:
+        """log10 p by number; counts: of the words after the symbols and the two before a text."""
+        return np.log10(np.r_[self.counts + 1, 1, 1, counts + 1] / (self.tokens + self.types + 1))
 
 
 def tokens_of(data: bytes) -> np.ndarray:
@@ -64,7 +79,7 @@ def _vocabulary(rows: DataFrame) -> DataFrame:
 
 
 def _symbols(vocabulary: DataFrame, limit: int) -> Symbols:
-    """The most frequent words, as many as fit the limit with all words as frequent as the last."""
+    """The most frequent words, as many as fit the limit with all words as frequent as the last, and the hot ones."""
     step = F.floor(F.log2("c") * 32)
     bins = vocabulary.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("tokens")).orderBy(F.desc("s")).collect()
     types, floor = 0, None
@@ -73,47 +88,72 @@ def _symbols(vocabulary: DataFrame, limit: int) -> Symbols:
             break
         types, floor = types + b["types"], b["s"]
     all_types, all_tokens = sum(b["types"] for b in bins), sum(b["tokens"] for b in bins)
-    top = vocabulary.where(step >= floor).toPandas() if floor is not None else vocabulary.limit(0).toPandas()
+    hot = F.col("c") >= F.lit(max(2.0, HOT_SHARE * all_tokens))
+    top = vocabulary.where(hot | (step >= floor) if floor is not None else hot).toPandas()
     hashes = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    counts = top["c"].to_numpy(np.int64)[order]
-    hot = np.zeros(len(counts) + 3, bool)
-    hot[: len(counts)] = counts >= max(2, HOT_SHARE * all_tokens)
-    hot[len(counts) :] = True  # the rare symbol and the starts of texts may be anyone's neighbours
-    return Symbols(hashes[order], counts, all_tokens, all_types, all_tokens - int(counts.sum()), all_types - len(counts), hot)
+    return Symbols(hashes[order], top["c"].to_numpy(np.int64)[order], all_tokens, all_types)
+
 
+def _part(hot: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Part of a context: 0, or one of HOT_CLASSES by the hash of u where the word after it is hot."""
+    out = np.zeros(len(u), np.uint64)
+    out[hot] = mix(u[hot], 77) % np.uint64(HOT_CLASSES)
+    return out
 
-def _context_class(hot: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The backing-off class of context (u, v): the word v, or one of HOT_CLASSES classes of a hot v."""
-    part = np.where(hot[v], mix(u.astype(np.uint64), 77) % np.uint64(HOT_CLASSES), np.uint64(0))
-    return v.astype(np.uint64) * np.uint64(HOT_CLASSES) + part
+
+def _shard(v: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(mix(v, 76) + part, 78) % np.uint64(shards)).astype(np.int64)
+
+
+def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words with two before each text; places of the words themselves; the text of each."""
+    words = [tokens_of(x) for x in texts]
+    sizes = np.array([len(t) for t in words])
+    padded = np.concatenate([np.r_[_BEFORE, t] for t in words])
+    keep = np.ones(len(padded), bool)
+    heads = np.cumsum(sizes + 2) - sizes - 2
+    keep[heads] = keep[heads + 1] = False
+    return padded, np.flatnonzero(keep), np.repeat(np.arange(len(words)), sizes)
 
 
 class Trie:
-    """Levels: context classes; words after a class; contexts (class, u); words after a context.
+    """Levels: context words v, a hot one by parts; words after them; contexts (v, u); words after a context.
 
     Seen n-grams keep quantised log10 of their smoothed probability, contexts that of the weight that
     an unseen word's shorter n-gram gets. Counts c give p = (c + prior * shorter) / (total + prior).
+    Bigrams of a hot word are counted elsewhere: hot_cls has its parts here, hot_total all counts of
+    their words, and hot_pairs (part, word, count) whole counts of all pairs that anyone here asks for.
     """
 
-    def __init__(self, cls: np.ndarray, u: np.ndarray, w: np.ndarray, log_unigram: np.ndarray, prior_2: float, prior_3: float):
+    def __init__(self, cls: np.ndarray, u: np.ndarray, w: np.ndarray, log_unigram: np.ndarray, hot_cls: np.ndarray, hot_total: np.ndarray, hot_pairs: tuple[np.ndarray, np.ndarray, np.ndarray], prior_2: float, prior_3: float):
         self.log_unigram = log_unigram
-        classes, of_class, total = np.unique(cls, return_inverse=True, return_counts=True)
-        pair, c2 = np.unique(of_class.astype(np.uint64) * np.uint64(_WIDTH) + w.astype(np.uint64), return_counts=True)
-        p_cls, p_w = (pair // np.uint64(_WIDTH)).astype(np.int64), (pair % np.uint64(_WIDTH)).astype(np.int64)
+        width = np.uint64(len(log_unigram))
+        classes = np.union1d(cls, hot_cls)
+        of_class = np.searchsorted(classes, cls)
+        total = np.bincount(of_class, minlength=len(classes))
+        hot_at = np.searchsorted(classes, hot_cls)
+        hot = np.zeros(len(classes), bool)
+        hot[hot_at] = True
+        total[hot_at] = hot_total
+        plain = ~hot[of_class]
+        pair, c2 = np.unique(of_class[plain].astype(np.uint64) * width + w[plain].astype(np.uint64), return_counts=True)
+        pair = np.r_[pair, np.searchsorted(classes, hot_pairs[0]).astype(np.uint64) * width + hot_pairs[1].astype(np.uint64)]
+        order = np.argsort(pair)
+        pair, c2 = pair[order], np.r_[c2, hot_pairs[2]][order]
+        p_cls, p_w = (pair // width).astype(np.int64), (pair % width).astype(np.int64)
         p2 = (c2 + prior_2 * 10 ** log_unigram[p_w]) / (total[p_cls] + prior_2)
-        ctx, of_ctx, c_ctx = np.unique(of_class.astype(np.uint64) * np.uint64(_WIDTH) + u.astype(np.uint64), return_inverse=True, return_counts=True)
-        tri, c3 = np.unique(of_ctx.astype(np.uint64) * np.uint64(_WIDTH) + w.astype(np.uint64), return_counts=True)
-        t_ctx, t_w = (tri // np.uint64(_WIDTH)).astype(np.int64), (tri % np.uint64(_WIDTH)).astype(np.int64)
-        t_cls = (ctx[t_ctx] // np.uint64(_WIDTH)).astype(np.uint64)
-        shorter = p2[np.searchsorted(pair, t_cls * np.uint64(_WIDTH) + t_w.astype(np.uint64))]
+        ctx, of_ctx, c_ctx = np.unique(of_class.astype(np.uint64) * width + u.astype(np.uint64), return_inverse=True, return_counts=True)
+        tri, c3 = np.unique(of_ctx.astype(np.uint64) * width + w.astype(np.uint64), return_counts=True)
+        t_ctx, t_w = (tri // width).astype(np.int64), (tri % width).astype(np.int64)
+        shorter = p2[np.searchsorted(pair, ctx[t_ctx] // width * width + t_w.astype(np.uint64))]
         p3 = (c3 + prior_3 * shorter) / (c_ctx[t_ctx] + prior_3)
         bound = int(classes[-1]) + 1 if len(classes) else 1
         self.classes, self.pairs, self.contexts, self.triples = mapped([
             Level.code(np.zeros(len(classes)), classes, 1, bound, [np.log10(prior_2 / (total + prior_2))]),
-            Level.code(p_cls, p_w, len(classes), _WIDTH, [np.log10(p2)]),
-            Level.code(ctx // np.uint64(_WIDTH), ctx % np.uint64(_WIDTH), len(classes), _WIDTH, [np.log10(prior_3 / (c_ctx + prior_3))]),
-            Level.code(t_ctx, t_w, len(ctx), _WIDTH, [np.log10(p3)]),
+            Level.code(p_cls, p_w, len(classes), int(width), [np.log10(p2)]),
+            Level.code(ctx // width, ctx % width, len(classes), int(width), [np.log10(prior_3 / (c_ctx + prior_3))]),
+            Level.code(t_ctx, t_w, len(ctx), int(width), [np.log10(p3)]),
         ])
         self.bound = bound
 
@@ -152,12 +192,12 @@ def _unpack(data: bytes, n: int, columns: int) -> list[np.ndarray]:
 def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", symbols: int = SYMBOLS, prior_2: float = PRIOR_2, prior_3: float = PRIOR_3) -> DataFrame:
     """log10 probability of every whole text under a trigram model of the texts that are not held out.
 
-    Tokens: words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, then one end. The most frequent words, up to
-    symbols, are the model's symbols and go to every task; each other word is the rare symbol times its
-    share of the rare mass, looked up by a join. Every trigram occurrence travels once, packed, to the
-    shard of its middle word (a hot one is spread over classes, which are then its backing-off
-    contexts); a shard builds its part of the trie from the training texts and answers for all texts. Per
-    text only sums come back, packed by bucket of ids. No task holds more than its shard; the driver sees totals and symbols.
+    Tokens: words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, then one end. Every word has n-grams of its own;
+    symbols only bounds how many words' counts are broadcast, the other words go by their hash and their
+    counts come by a join, with the same scores. Every trigram occurrence travels once, packed, to the shard
+    of its middle word; a hot one is spread over parts by the word before it, which are then its backing-off contexts. A shard builds its part of the trie from the training
+    texts and answers for all texts. Per text only sums come back, packed by bucket of ids. No task holds
+    more than its shard; the driver sees totals and symbols.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score. Null and
     empty text is the end token alone. Rows that repeat an id and its text come back as one row, a null id
@@ -171,107 +211,144 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     table = _symbols(vocabulary, symbols)
     sent = spark.sparkContext.broadcast(table)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    log_total = math.log10(table.tokens + table.types + 1)
-    log_rare = math.log10(table.rare_tokens + table.rare_types + 1)
+    all_counted = table.types == len(table.hashes)
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (v, w) of a hot v with their count in training and the parts that meet them; other words w with their shard."""
         known = sent.value
-        log_count = np.r_[np.log10(known.counts + 1.0), 0.0]
-        for batch in slices(batches, "_text"):
-            n, base, common, rare, often = [], [], [], [], []
-            for data in binaries(batch.column(2)):
-                words = tokens_of(data)
-                at = known.number(words)
-                n.append(len(words))
-                base.append(float(log_count[at].sum()))
-                other, times = np.unique(words[at == known.rare], return_counts=True)
-                common.append(len(words) - int(times.sum()))
-                rare.append(other.view(np.int64))
-                often.append(times)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(n, pa.int64()), pa.array(common, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64()))],
-                ["_id", "_tag", "_held", "n", "known", "base", "rare", "often"],
-            )
+        is_hot = np.r_[known.hot, False]
+        for batch in slices(batches, "_text", 16 << 20):
+            padded, at, doc = _trigrams(binaries(batch.column(0)))
+            number = known.number(padded, np.zeros(0, np.uint64))
+            number[np.isin(padded, _BEFORE)] = len(known.hashes)
+            hot = is_hot[number[at - 1]]
+            some = at[hot]
+            learnt = ~np.asarray(batch.column(1).to_pylist(), bool)[doc[hot]]
+            bit = np.int64(1) << _part(np.ones(len(some), bool), padded[some - 2]).astype(np.int64)
+            order = np.lexsort((padded[some], number[some - 1]))
+            v, w = padded[some - 1][order], padded[some][order]
+            first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])]) if len(some) else np.zeros(0, np.int64)
+            if len(first):
+                n, mask = np.add.reduceat(learnt[order].astype(np.int64), first), np.bitwise_or.reduceat(bit[order], first)
+                yield pa.RecordBatch.from_arrays([pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(np.full(len(first), -1, np.int32)), pa.array(n), pa.array(mask)], ["v", "w", "shard", "c", "parts"])
+            if all_counted:
+                continue
+            other = at[number[at] == known.others]
+            if len(other):
+                shard = _shard(padded[other - 1], _part(is_hot[number[other - 1]], padded[other - 2]), shards)
+                order = np.lexsort((padded[other], shard))
+                w, shard = padded[other][order], shard[order]
+                first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (shard[1:] != shard[:-1])])
+                none = pa.nulls(len(first), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(w[first].view(np.int64)), pa.array(shard[first].astype(np.int32)), none, none], ["v", "w", "shard", "c", "parts"])
+
+    def to_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, w, c, parts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for k in range(HOT_CLASSES):
+                some = np.flatnonzero(parts >> k & 1)
+                shard = _shard(v[some].view(np.uint64), np.full(len(some), k, np.uint64), shards)
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(v[some]), pa.array(np.full(len(some), k, np.int32)), pa.array(w[some]), pa.array(c[some])], ["shard", "v", "part", "w", "c"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        before = np.array([known.rare + 1, known.rare + 2])
+        is_hot = known.hot
         for batch in slices(batches, "_text", 16 << 20):
-            texts = [known.number(tokens_of(x)) for x in binaries(batch.column(2))]
-            sizes = np.array([len(t) for t in texts])
-            padded = np.concatenate([np.r_[before, t] for t in texts])
-            keep = np.ones(len(padded), bool)
-            heads = np.cumsum(sizes + 2) - sizes - 2
-            keep[heads] = keep[heads + 1] = False
-            at = np.flatnonzero(keep)
-            u, v, w, doc = padded[at - 2], padded[at - 1], padded[at], np.repeat(np.arange(len(texts)), sizes)
-            shard = (mix(_context_class(known.hot, u, v), 78) % np.uint64(shards)).astype(np.int64)
+            padded, at, doc = _trigrams(binaries(batch.column(2)))
+            number, names = known.split(padded)
+            v = number[at - 1]
+            hot = np.zeros(len(v), bool)
+            hot[v < known.others] = is_hot[v[v < known.others]]
+            shard = _shard(padded[at - 1], _part(hot, padded[at - 2]), shards)
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             ids, tags, held = (np.asarray(batch.column(i).to_pylist(), object) for i in (0, 1, 3))
-            out: list[list] = [[], [], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], [], []]
             for s in range(shards):
                 some = order[cuts[s] : cuts[s + 1]]
                 if len(some):
                     present, runs = np.unique(doc[some], return_counts=True)
-                    for column, value in zip(out, (s, len(some), _pack([u[some], v[some], w[some]]), ids[present].tolist(), tags[present].tolist(), held[present].tolist(), runs.tolist()), strict=True):
+                    block = number[at[some] - np.array([[2], [1], [0]])]
+                    other = block >= known.others
+                    used, place = np.unique(block[other], return_inverse=True)
+                    block[other] = known.others + place
+                    for column, value in zip(out, (s, len(some), _pack(list(block)), names[used - known.others].view(np.int64), ids[present].tolist(), tags[present].tolist(), held[present].tolist(), runs.tolist()), strict=True):
                         column.append(value)
-            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["shard", "n", "packed", "ids", "tags", "held", "runs"])
+            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["shard", "n", "packed", "names", "ids", "tags", "held", "runs"])
 
-    def answer(key: tuple, part: pa.Table) -> pa.Table:
+    def answer(key: tuple, part: pa.Table, given: pa.Table) -> pa.Table:
         known = sent.value
-        unpacked = [_unpack(d, n, 3) for d, n in zip(part.column("packed").to_pylist(), part.column("n").to_pylist(), strict=True)]
-        u, v, w = (np.concatenate([x[i] for x in unpacked]) for i in range(3))
-        del unpacked
+        first = known.others
+        own = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in part.column("names")]
+        names = np.unique(np.concatenate(own))
+        n = part.column("n").to_numpy()
+        u, v, w = (np.empty(int(n.sum()), np.int32) for _ in range(3))
+        end = np.cumsum(n)
+        for data, size, stop, theirs in zip(part.column("packed"), n.tolist(), end.tolist(), own, strict=True):
+            place = (first + np.searchsorted(names, theirs)).astype(np.int32)
+            for to, column in zip((u, v, w), _unpack(data.as_py(), size, 3), strict=True):
+                column = column.astype(np.int32)
+                other = column >= first
+                column[other] = place[column[other] - first]
+                to[stop - size : stop] = column
         runs = part.column("runs").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         held = part.column("held").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        cls = _context_class(known.hot, u, v)
+        hashes = np.r_[known.hashes, _BEFORE, names]
+        is_hot = np.r_[known.hot, np.zeros(len(names), bool)]
+        hot = is_hot[v]
+        cls = v.astype(np.int64) * HOT_CLASSES
+        cls[hot] += _part(np.ones(int(hot.sum()), bool), hashes[u[hot]]).astype(np.int64)
+        g_part, g_w, g_c = (given.column(c).to_numpy() for c in ("part", "w", "c"))
+        g_w = known.number(g_w.view(np.uint64), names)
+        counts = np.zeros(len(names), np.int64)
+        single = g_part < 0
+        counts[g_w[single] - first] = g_c[single]
+        g_v = known.number(given.column("v").to_numpy().view(np.uint64)[~single], names)
+        hot_cls = np.zeros(0, np.int64)
+        log_unigram = known.log_unigram(counts)
         learnt = np.repeat(~held, runs)
-        trie = Trie(cls[learnt], u[learnt], w[learnt], known.log_unigram(), prior_2, prior_3)
-        total = np.zeros(len(runs))
+        trie = Trie(cls[learnt], u[learnt], w[learnt], log_unigram, hot_cls, known.counts[hot_cls // HOT_CLASSES], (g_v[:0], g_w[:0], g_c[:0]), prior_2, prior_3)
+        seen = np.r_[known.counts, 0, 0, counts] > 0
+        score, base, n_known, heads = (np.zeros(len(runs)) for _ in range(4))
         doc = np.repeat(np.arange(len(runs)), runs)
         for a in range(0, len(w), 1 << 19):
             some = slice(a, a + (1 << 19))
-            total += np.bincount(doc[some], trie.log_p(cls[some], u[some], w[some]), minlength=len(runs))
+            score += np.bincount(doc[some], trie.log_p(cls[some], u[some], w[some]), minlength=len(runs))
+            base += np.bincount(doc[some], log_unigram[w[some]], minlength=len(runs))
+            n_known += np.bincount(doc[some], seen[w[some]], minlength=len(runs))
+            heads += np.bincount(doc[some], v[some] == first - 1, minlength=len(runs))
         ids, tags = part.column("ids").combine_chunks().flatten(), part.column("tags").combine_chunks().flatten()
         bucket = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 79) % np.uint64(shards)
         order = np.argsort(bucket, kind="stable")
         present, starts = np.unique(bucket[order], return_index=True)
         offsets = pa.array(np.r_[starts, len(order)].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, x.take(pa.array(order))) for x in (ids, tags, pa.array(total))]
-        return pa.table([pa.array(present.astype(np.int32)), *lists], ["bucket", "ids", "tags", "scores"])
+        whole = [pa.array(x.astype(np.int32)) for x in (held, runs, n_known, heads)]
+        lists = [pa.ListArray.from_arrays(offsets, x.take(pa.array(order))) for x in (ids, tags, *whole, pa.array(base), pa.array(score))]
+        return pa.table([pa.array(present.astype(np.int32)), *lists], ["bucket", *sums])
 
     def add(key: tuple, part: pa.Table) -> pa.Table:
-        columns = [part.column(c).combine_chunks().flatten() for c in ("ids", "tags", "scores")]
-        summed = pa.table(columns, ["_id", "_tag", "score"]).group_by(["_id", "_tag"]).aggregate([("score", "sum")])
-        return pa.table([summed.column("_id"), summed.column("_tag"), summed.column("score_sum")], ["_id", "_tag", "score"])
-
-    local = staged(rows.mapInArrow(own, "_id long, _tag int, _held boolean, n long, known long, base double, rare array<long>, often array<long>"), "token-sums")
-    looked = local.select("_id", "_tag", F.explode(F.arrays_zip(F.col("rare").alias("token"), F.col("often").alias("times"))).alias("r")).select("_id", "_tag", F.col("r.token").alias("token"), F.col("r.times").alias("times"))
-    looked = looked.join(vocabulary, "token")
-    share = F.log10(F.col("c") + 1)
-    rare = looked.groupBy("_id", "_tag").agg(F.sum("times").alias("known"), F.sum(F.col("times") * share).alias("base"))
-    shared = rows.mapInArrow(spread, "shard int, n long, packed binary, ids array<long>, tags array<int>, held array<boolean>, runs array<int>")
-    answers = shared.groupBy("shard").applyInArrow(answer, "bucket int, ids array<long>, tags array<int>, scores array<double>")
-    sums = answers.groupBy("bucket").applyInArrow(add, "_id long, _tag int, score double")
-
-    zero, none = F.lit(0).cast("long"), F.lit(0.0)
-    rare_n = F.aggregate("often", zero, lambda s, x: s + x)
-    parts = (
-        local.select("_id", "_tag", "_held", "n", "known", "base", (-rare_n * F.lit(log_rare)).alias("score"), F.lit(1).cast("long").alias("rows"))
-        .unionByName(rare.select("_id", "_tag", F.lit(None).cast("boolean").alias("_held"), zero.alias("n"), "known", "base", F.col("base").alias("score"), zero.alias("rows")))
-        .unionByName(sums.select("_id", "_tag", F.lit(None).cast("boolean").alias("_held"), zero.alias("n"), zero.alias("known"), none.alias("base"), "score", zero.alias("rows")))
-    )
-    whole = parts.groupBy("_id", "_tag").agg(F.max("_held").alias("held_out"), *(F.sum(c).alias(c) for c in ("n", "known", "base", "score", "rows")))
+        columns = [part.column(c).combine_chunks().flatten() for c in sums]
+        summed = pa.table(columns, list(sums)).group_by(["ids", "tags"]).aggregate([("held", "max"), *((c, "sum") for c in list(sums)[3:])])
+        return pa.table([summed.column(c) for c in ("ids", "held_max", "n_sum", "known_sum", "rows_sum", "base_sum", "score_sum")], ["_id", "held", "n", "known", "rows", "base", "score"])
+
+    sums = {"ids": "long", "tags": "int", "held": "int", "n": "int", "known": "int", "rows": "int", "base": "double", "score": "double"}
+    asked = rows.select("_text", "_held").mapInArrow(ask, "v long, w long, shard int, c long, parts long")
+    asked = staged(asked.groupBy("v", "w", "shard").agg(F.sum("c").alias("c"), F.bit_or("parts").alias("parts")), "asked")
+    given = asked.where("c > 0").select("v", "w", "c", "parts").mapInArrow(to_parts, "shard int, v long, part int, w long, c long")
+    if not all_counted:
+        single = asked.where("v IS NULL").select("shard", F.col("w").alias("token")).join(vocabulary, "token")
+        given = given.unionByName(single.select("shard", F.lit(0).cast("long").alias("v"), F.lit(-1).alias("part"), F.col("token").alias("w"), "c"))
+    shared = rows.mapInArrow(spread, "shard int, n long, packed binary, names array<long>, ids array<long>, tags array<int>, held array<boolean>, runs array<int>")
+    answers = shared.groupBy("shard").cogroup(given.groupBy("shard")).applyInArrow(answer, "bucket int, " + ", ".join(f"{c} array<{kind}>" for c, kind in sums.items()))
+    whole = answers.groupBy("bucket").applyInArrow(add, "_id long, held int, n long, known long, rows long, base double, score double")
     count = F.col("rows")
-    n = (F.col("n") / count).cast("long")
     return whole.select(
         F.col("_id").alias(id_col),
-        "held_out",
-        n.alias("n_tokens"),
+        (F.col("held") > 0).alias("held_out"),
+        (F.col("n") / count).cast("long").alias("n_tokens"),
         (F.col("known") / count).cast("long").alias("n_known"),
         F.lit(table.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") / count - n * F.lit(log_total)).alias("base_score"),
+        (F.col("base") / count).alias("base_score"),
         (F.col("score") / count).alias("score"),
     )

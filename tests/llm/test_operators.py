@@ -188,6 +188,37 @@ def test_lm(docs, empty, symbols):
     assert lm_score(empty, held).count() == 0
 
 
+def equals_trigram_model(spark, words, symbols):
+    """Scores of texts of words against a count of all trigrams; returns the most frequent words' counts and all counts."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(words(rng, i, j) for j in range(rng.randrange(1, 60)))) for i in range(120)]
+    rows += [(120, rows[0][1]), (121, ""), (122, "the"), (125, "new words the never of seen")]
+    c1, c2, c3, n2, n3 = (collections.Counter() for _ in range(5))
+    seq = {i: ["<1>", "<2>", *t.split(), "<end>"] for i, t in rows}
+    for i, t in seq.items():
+        for u, v, w in zip(t, t[1:], t[2:]) if i % 4 != 1 else ():
+            for c, k in ((c1, w), (c2, (v, w)), (c3, (u, v, w)), (n2, v), (n3, (u, v))):
+                c[k] += 1
+    mass = sum(c1.values()) + len(c1) + 1
+
+    def p(u, v, w):
+        p2 = (c2[v, w] + 1000 * (c1[w] + 1) / mass) / (n2[v] + 1000)
+        return (c3[u, v, w] + p2) / (n3[u, v] + 1)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in collected(lm_score(docs, F.col("doc_id") % 4 == 1, symbols=symbols))}
+    assert len(got) == len(rows)
+    for i, t in seq.items():
+        assert got[i]["score"] == pytest.approx(sum(math.log10(p(*x)) for x in zip(t, t[1:], t[2:])), abs=2e-4 * len(t))
+        assert got[i]["n_known"] == sum(c1[x] > 0 for x in t[2:]) and got[i]["n_tokens"] == len(t) - 2
+    return max(c1[w] for w in c1 if w != "<end>") / sum(c1.values())
+
+
+@pytest.mark.parametrize("symbols", [20, 0])
+def test_lm_counts_ngrams_of_all_words(spark, symbols):
+    assert equals_trigram_model(spark, lambda rng, i, j: rng.choice([f"w{rng.randrange(80)}"] * 3 + [f"once{i}x{j}"]), symbols) < 1 / 64
+
+
 def test_elias_fano_successor():
     values = np.sort(np.random.default_rng(2).integers(0, 5000, 700).astype(np.uint64))
     code = EliasFano(*EliasFano.code(values, 5001))
