@@ -195,7 +195,8 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     Tokens: words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, then one end. Every word has n-grams of its own;
     symbols only bounds how many words' counts are broadcast, the other words go by their hash and their
     counts come by a join, with the same scores. Every trigram occurrence travels once, packed, to the shard
-    of its middle word; a hot one is spread over parts by the word before it, which are then its backing-off contexts. A shard builds its part of the trie from the training
+    of its middle word; a hot one is spread over parts by the word before it, and each part is given the
+    counts over all parts of the bigrams that it meets. A shard builds its part of the trie from the training
     texts and answers for all texts. Per text only sums come back, packed by bucket of ids. No task holds
     more than its shard; the driver sees totals and symbols.
 
@@ -305,10 +306,10 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
         single = g_part < 0
         counts[g_w[single] - first] = g_c[single]
         g_v = known.number(given.column("v").to_numpy().view(np.uint64)[~single], names)
-        hot_cls = np.zeros(0, np.int64)
+        hot_cls = np.unique(cls[hot])
         log_unigram = known.log_unigram(counts)
         learnt = np.repeat(~held, runs)
-        trie = Trie(cls[learnt], u[learnt], w[learnt], log_unigram, hot_cls, known.counts[hot_cls // HOT_CLASSES], (g_v[:0], g_w[:0], g_c[:0]), prior_2, prior_3)
+        trie = Trie(cls[learnt], u[learnt], w[learnt], log_unigram, hot_cls, known.counts[hot_cls // HOT_CLASSES], (g_v * HOT_CLASSES + g_part[~single], g_w[~single], g_c[~single]), prior_2, prior_3)
         seen = np.r_[known.counts, 0, 0, counts] > 0
         score, base, n_known, heads = (np.zeros(len(runs)) for _ in range(4))
         doc = np.repeat(np.arange(len(runs)), runs)

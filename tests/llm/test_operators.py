@@ -219,6 +219,11 @@ def test_lm_counts_ngrams_of_all_words(spark, symbols):
     assert equals_trigram_model(spark, lambda rng, i, j: rng.choice([f"w{rng.randrange(80)}"] * 3 + [f"once{i}x{j}"]), symbols) < 1 / 64
 
 
+@pytest.mark.parametrize("symbols", [1 << 19, 0])
+def test_lm_backs_off_from_hot_words_with_whole_counts(spark, symbols):
+    assert equals_trigram_model(spark, lambda rng, i, j: rng.choice(["the", "the", "of", f"w{rng.randrange(60)}", f"once{i}x{j}"]), symbols) >= 1 / 64
+
+
 def test_elias_fano_successor():
     values = np.sort(np.random.default_rng(2).integers(0, 5000, 700).astype(np.uint64))
     code = EliasFano(*EliasFano.code(values, 5001))
