@@ -81,11 +81,20 @@ def coverage(expected: DataFrame, reports: DataFrame, keys: list[str]) -> DataFr
     return expected.join(have, keys, "left").withColumn("checked", F.coalesce("checked", F.lit(False)))
 
 
-def field_changes(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """(field, value) tables compared; a field is comparable where neither side is empty."""
-    a = previous.select("field", F.nullif(F.col("value"), F.lit("")).alias("was"))
-    b = current.select("field", F.nullif(F.col("value"), F.lit("")).alias("now"))
-    return a.join(b, "field").select("field", "was", "now", F.coalesce(F.col("was") != F.col("now"), F.lit(False)).alias("changed"))
+def field_changes(previous: DataFrame, current: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, field, value) tables compared run by run; a field is comparable where neither side is empty."""
+    a = previous.select(*keys, "field", F.nullif(F.col("value"), F.lit("")).alias("was"))
+    b = current.select(*keys, "field", F.nullif(F.col("value"), F.lit("")).alias("now"))
+    return a.join(b, [*keys, "field"]).select(*keys, "field", "was", "now", F.coalesce(F.col("was") != F.col("now"), F.lit(False)).alias("changed"))
+
+
+def with_previous(rows: DataFrame, key: str, name: str, width: int = 4096) -> DataFrame:
+    """Each whole-number key once, with the next smaller one there is. Only the last key of each width keys is ordered in one task."""
+    block = F.floor(F.col(key) / width)
+    known = rows.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_block", block)
+    lasts = known.groupBy("_block").agg(F.max(key).alias("_last")).withColumn("_before", F.lag("_last").over(Window.orderBy("_block")))
+    out = known.withColumn("_in", F.lag(key).over(Window.partitionBy("_block").orderBy(key))).join(lasts, "_block")
+    return out.select(key, F.coalesce("_in", "_before").alias(name))
 
 
 def drill_down(spans: DataFrame, lines: DataFrame, key: str) -> DataFrame:

@@ -311,6 +311,18 @@ def env_unpivot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.field_changes(long.where("s_suppkey = 1"), long.where("s_suppkey = 2"))
 
 
+@query("""WITH l AS (SELECT s_suppkey, field, value FROM (SELECT s_suppkey, s_name, s_nationkey::VARCHAR AS s_nationkey, (s_acctbal > 0)::VARCHAR AS s_acctbal FROM supplier) UNPIVOT (value FOR field IN (s_name, s_nationkey, s_acctbal))),
+    p AS (SELECT s_suppkey, field, lag(value) OVER (PARTITION BY field ORDER BY s_suppkey) AS was, value AS now FROM l)
+    SELECT s_suppkey, field, was, now, was <> now AS changed FROM p WHERE was IS NOT NULL""")
+def env_unpivot_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J15 over the whole table: every supplier against the one before it."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").cast("string").alias("s_nationkey"), (F.col("s_acctbal") > 0).cast("string").alias("s_acctbal"))
+    long = s.unpivot(["s_suppkey"], _FIELDS, "field", "value")
+    steps = J.with_previous(s, "s_suppkey", "_previous")
+    previous = steps.join(long.withColumnRenamed("s_suppkey", "_previous"), "_previous")
+    return J.field_changes(previous, long, ["s_suppkey"])
+
+
 @query("""SELECT o_orderstatus, round(count(*) FILTER (o_totalprice > 200000) / nullif(count(*) FILTER (o_orderpriority = '1-URGENT'), 0), 6) AS ratio,
     round(count(*) / (SELECT count(*) FROM lineitem), 6) AS per_line FROM orders GROUP BY 1""")
 def scalar_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from auditlake.operators import joins as J
 from auditlake.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +28,15 @@ def duck():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(ORACLE[name]).df())
+
+
+def test_previous_key_over_gaps_and_blocks(spark):
+    keys = [0, 1, 2, 7, 8, 20, 21, 22, 40]
+    got = J.with_previous(spark.createDataFrame([(k,) for k in [*keys, 7, None]], "k long"), "k", "p", width=4).collect()
+    assert sorted((r.k, r.p) for r in got if r.p is not None) == list(zip(keys[1:], keys)) and len(got) == len(keys)
+
+
+def test_field_changes_takes_many_runs(spark):
+    side = lambda x: spark.createDataFrame([(r, f, x(r)) for r in range(5) for f in "ab"], "run long, field string, value string")
+    got = J.field_changes(side(lambda r: f"{r}"), side(lambda r: f"{r + r % 2}"), ["run"]).collect()
+    assert sorted((r.run, r.field, r.changed) for r in got) == [(r, f, r % 2 == 1) for r in range(5) for f in "ab"]
