@@ -98,10 +98,9 @@ def with_previous(rows: DataFrame, key: str, name: str, width: int = 4096) -> Da
 
 
 def drill_down(spans: DataFrame, lines: DataFrame, key: str) -> DataFrame:
-    """Raw text of a line range, by file first and then by line number."""
+    """The lines of each range as rows, by file first and then by line number."""
     near = spans.join(lines, key).where(F.col("ln").between(F.col("line_start"), F.col("line_end")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "value"))), lambda x: x["value"]), "\n")
-    return near.groupBy(key, "line_start", "line_end").agg(text.alias("block"))
+    return near.select(key, "line_start", "line_end", "ln", "value")
 
 
 def set_changes(rows: DataFrame, current: str, previous: str) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 
@@ -42,11 +47,56 @@ def owners(rows: DataFrame, key: str, owner: str) -> DataFrame:
     return found.where(F.size("owners") > 1)
 
 
+def owner_rows(rows: DataFrame, key: str, owner: str) -> DataFrame:
+    """A9 as (key, owner) rows, for keys of any number of owners: each owner once, where a key has more than one."""
+    known = rows.select(key, owner).where(F.col(owner).isNotNull())
+    many = known.groupBy(key).agg(F.min(owner).alias("_a"), F.max(owner).alias("_b")).where("_a != _b").select(key)
+    return known.distinct().join(many, key, "left_semi")
+
+
+def ordered_digest(rows: DataFrame, keys: list[str], order: list[Column], piece: Column, separator: str = "", name: str = "digest") -> DataFrame:
+    """sha256 over the pieces of each group in order, with a separator between them; null pieces are left out,
+    a group without any has none. Groups are sorted on disk and run through the hash: none is held in memory,
+    but as sha256 has one order, one task reads all of a group."""
+    names = [f"_o{i}" for i in range(len(order))]
+    sorted_rows = rows.select(*keys, *(c.alias(n) for c, n in zip(order, names, strict=True)), piece.alias("_piece")).repartition(*keys).sortWithinPartitions(*keys, *names).select(*keys, "_piece")
+    between, n_keys = separator.encode(), len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, kinds = None, None, None
+        done: list[tuple] = []
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True))
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*kinds, pa.string()], strict=True)], [*keys, name])
+
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in range(n_keys)]
+            for *key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if now is not None:
+                        done.append((*now, digest and digest.hexdigest()))
+                    now, digest = key, None
+                if text is not None:
+                    if digest is None:
+                        digest = hashlib.sha256()
+                    else:
+                        digest.update(between)
+                    digest.update(text.encode())
+            if done:
+                yield batch_of()
+        if now is not None:
+            done.append((*now, digest and digest.hexdigest()))
+            yield batch_of()
+
+    return sorted_rows.mapInArrow(run, StructType([*rows.select(*keys).schema.fields, StructField(name, StringType())]))
+
+
 def group_digest(rows: DataFrame, keys: list[str], path: Column, digest: Column, separator: str = "\0") -> DataFrame:
     """sha256 over the sorted pairs of a group, whatever order they came in; null digests say MISSING."""
-    pair = F.struct(path.alias("p"), F.coalesce(digest, F.lit("MISSING")).alias("d"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda x: F.concat(x["p"], F.lit(separator), x["d"], F.lit(separator))), "")
-    return rows.groupBy(*keys).agg(F.sha2(text, 256).alias("digest"))
+    value = F.coalesce(digest, F.lit("MISSING"))
+    return ordered_digest(rows, keys, [path, value], F.concat(path, F.lit(separator), value, F.lit(separator)))
 
 
 def worst(rows: DataFrame, k: int, order: list[Column], keys: list[str] | None = None) -> DataFrame:

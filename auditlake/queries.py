@@ -134,6 +134,14 @@ def group_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.group_digest(table(spark, sf_dir, "nation"), ["n_regionkey"], F.col("n_name"), F.col("n_nationkey").cast("string"), "\x01")
 
 
+@query("""SELECT conv_id, sha256(string_agg(turn || chr(1) || coalesce(sha256(text), 'MISSING') || chr(1), '' ORDER BY turn::VARCHAR, coalesce(sha256(text), 'MISSING'))) AS digest
+    FROM conversations GROUP BY 1""")
+def group_digest_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A13 over a table that grows."""
+    turns = table(spark, sf_dir, "conversations")
+    return R.group_digest(turns, ["conv_id"], F.col("turn").cast("string"), F.sha2("text", 256), "\x01")
+
+
 _WAIVERS = [(0, "error", {"user": "3"}, None), (1, "error", {}, "odd"), (2, "purchase", {"user": "5"}, "even"), (3, "purchase", {"user": "5", "none": ""}, None), (4, "signup", {"user": "1", "none": "x"}, None)]
 
 
@@ -163,6 +171,12 @@ def duplicate_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.owners(docs, "key", "doc_id").select("key", F.array_join(F.transform("owners", lambda x: x.cast("string")), ",").alias("owners"))
 
 
+@query("SELECT DISTINCT sha256(text) AS key, doc_id FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(DISTINCT doc_id) > 1)")
+def duplicate_owner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9, a row for each owner."""
+    return R.owner_rows(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("key"), "doc_id"), "key", "doc_id")
+
+
 @query("SELECT n_nationkey, n_name, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 5000) AS checked FROM nation")
 def coverage_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was not checked says so."""
@@ -295,7 +309,7 @@ def range_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     spans = rows.groupBy("conv_id").agg((F.min("turn") + 1).alias("line_start"), (F.max("turn") - 1).alias("line_end"))
     out = J.drill_down(spans, rows.select("conv_id", F.col("turn").alias("ln"), F.col("text").alias("value")), "conv_id")
-    return out.withColumn("block", F.sha2("block", 256))
+    return R.ordered_digest(out, ["conv_id", "line_start", "line_end"], [F.col("ln"), F.col("value")], F.col("value"), "\n", "block")
 
 
 _FIELDS = ["s_name", "s_nationkey", "s_acctbal"]

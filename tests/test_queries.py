@@ -1,10 +1,14 @@
 """Every registered audit query against its SQL on the smallest tables."""
 
+import hashlib
+
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from auditlake.operators import joins as J
+from auditlake.operators import rollups as R
 from auditlake.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +44,20 @@ def test_field_changes_takes_many_runs(spark):
     side = lambda x: spark.createDataFrame([(r, f, x(r)) for r in range(5) for f in "ab"], "run long, field string, value string")
     got = J.field_changes(side(lambda r: f"{r}"), side(lambda r: f"{r + r % 2}"), ["run"]).collect()
     assert sorted((r.run, r.field, r.changed) for r in got) == [(r, f, r % 2 == 1) for r in range(5) for f in "ab"]
+
+
+@pytest.mark.parametrize("name", ["range_drilldown", "group_digest", "group_digest_turns", "duplicate_owner_rows"])
+def test_groups_are_not_gathered_into_a_row(spark, name):
+    assert "collect_" not in QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_ordered_digest_over_batches(spark):
+    data = [(k, i, None if i % 5 == 0 else f"é{i}") for k in (1, 2, None) for i in range(40)] + [(3, 0, None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows_ = spark.createDataFrame(data, "k int, i int, t string").repartition(5)
+        got = {r.k: r.digest for r in R.ordered_digest(rows_, ["k"], [F.col("i")], F.col("t"), "|").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = hashlib.sha256("|".join(f"é{i}" for i in range(40) if i % 5).encode()).hexdigest()
+    assert got == {1: whole, 2: whole, None: whole, 3: None}
