@@ -76,7 +76,8 @@ def pack_documents(docs: DataFrame, size: Column, source: Column, cluster: Colum
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(1)).alias("_size"), source.cast("string").alias("_source"), cluster.cast("string").alias("_cluster"))
     groups = max(1, -(-docs.count() // group_rows))
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64("_id", "_size", "_cluster"), F.lit(groups)).cast("int"))
+    salt = F.when(F.col("_id").isNull(), F.monotonically_increasing_id())  # else all null ids of one text would meet in one group
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64("_id", "_size", "_cluster", salt), F.lit(groups)).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_size", "_id"], ascending=[False, True], kind="stable", na_position="last").reset_index(drop=True)

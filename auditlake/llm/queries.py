@@ -29,10 +29,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size: words and one end token. Cluster: documents of one text, A-Z lower-cased."""
+    """Size: words and one end token. Cluster: near copies as op5 links them; one text, A-Z lower-cased, where op5 has no shingles or no id."""
     docs = read_table(spark, sf_dir, "documents")
     words = F.regexp_count(text_of("text"), F.lit(r"[^\x20\x09-\x0D]+"))
-    return pack_documents(docs, words + 1, F.col("source"), F.xxhash64(ascii_lower(text_of("text"))), capacity=2048)
+    linked = jaccard_groups(docs).where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("_component"))
+    slim = docs.select("doc_id", "source", (words + 1).alias("_n"), F.xxhash64(ascii_lower(text_of("text"))).alias("_same")).join(linked, "doc_id", "left")
+    cluster = F.coalesce(F.concat(F.lit("near "), F.col("_component").cast("string")), F.concat(F.lit("same "), F.col("_same").cast("string")))
+    return pack_documents(slim, F.col("_n"), F.col("source"), cluster, capacity=2048)
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from auditlake.llm.jaccard_join import jaccard_groups
 from auditlake.llm.line_dedup import line_dedup
 from auditlake.llm.lm_scoring import lm_score
 from auditlake.llm.packing import best_fit, pack_documents
+from auditlake.llm.queries import op2_best_fit_packing
 from auditlake.llm.suffix_dedup import suffix_dedup
 from auditlake.llm.token_store import Huffman, code_lengths, token_store
 from auditlake.llm.toxicity import tag_toxicity, train
@@ -316,3 +317,18 @@ def test_packing(docs, empty):
     assert all(len([s for s in v if s]) == len({s for s in v if s}) for v in who.values())
     assert units[15] == len(TEXTS[15]) and units[1] == 1
     assert pack_documents(empty, F.length("text"), F.col("source"), F.xxhash64("text")).count() == 0
+
+
+def test_packing_deals_null_ids_of_one_text_to_groups(spark):
+    rows = spark.createDataFrame([(None, "same", i) for i in range(400)], "doc_id long, text string, i int").repartition(4)
+    out = collected(pack_documents(rows, F.lit(5), F.lit(None), F.lit("c"), group_rows=20))
+    held = collections.Counter(r["bin"] >> 32 for r in out)
+    assert len(out) == 400 and len(held) > 10 and max(held.values()) < 60
+
+
+def test_packing_query_keeps_near_copies_apart(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words, f"tail{i}"]), f"s{i}") for i in range(4)] + [(9, "other text of its own kind", "s9")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    bins = {r["doc_id"]: r["bin"] for r in collected(op2_best_fit_packing(spark, str(tmp_path)))}
+    assert len({bins[i] for i in range(4)}) == 4 and len(bins) == 5
