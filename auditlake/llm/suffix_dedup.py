@@ -109,9 +109,9 @@ def _repeated(ranked: DataFrame, label: str) -> DataFrame:
 def _doubled(rows: DataFrame, w: int, length: int) -> DataFrame:
     """Surviving (_id, _tag, t, j): the 2^t phrases from anchor j on occur again as a whole.
 
-    Prefix doubling over the sampled suffixes: positions are sorted by their rank, unique ones drop
-    out, and the pair of ranks 2^t phrases apart is the next rank, until nothing is left or a run of
-    phrases is past the length of a string.
+    Prefix doubling over the sampled suffixes, with hash names in place of sorted ranks: nothing is sorted
+    or reranked. A rank is an xxhash64 that is counted, unique ones drop out, and the hash of the pair of
+    ranks 2^t phrases apart names the next, until a run of phrases is past the length of a string.
     """
     ranked = staged(_first_ranks(rows, w, length), "phrases")
     bare = ranked.where("t = 9").select("_id", "_tag", "t", "j")
