@@ -98,6 +98,14 @@ def reconcile_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.reconcile(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
+@query("""SELECT coalesce(c.k, o.k) AS k, CASE WHEN o.k IS NULL THEN 'left_only' WHEN c.k IS NULL THEN 'right_only' ELSE 'both' END AS side
+    FROM (SELECT DISTINCT c_custkey AS k FROM customer) c FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON c.k = o.k""")
+def reconcile_both_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 of all customers with all orders."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    return J.reconcile(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def missing_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2-J4."""
@@ -128,6 +136,18 @@ def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.manifest_diff(a, b, "p_partkey", "d")
 
 
+@query("""WITH a AS (SELECT p_partkey, sha256(p_size::VARCHAR) AS d FROM part),
+    b AS (SELECT l_partkey AS p_partkey, sha256(max(l_quantity)::BIGINT::VARCHAR) AS d FROM lineitem GROUP BY 1)
+    SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.p_partkey IS NULL THEN 'removed' ELSE 'modified' END AS change
+    FROM a FULL JOIN b USING (p_partkey) WHERE a.d IS DISTINCT FROM b.d""")
+def manifest_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6 of all parts with all lines: the size of a part against the largest quantity of its lines."""
+    sha = lambda c: F.sha2(c.cast("string"), 256)
+    a = table(spark, sf_dir, "part").select("p_partkey", sha(F.col("p_size")).alias("d"))
+    b = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(sha(F.max("l_quantity").cast("long")).alias("d"))
+    return J.manifest_diff(a, b, "p_partkey", "d")
+
+
 @query("SELECT n_regionkey, sha256(string_agg(n_name || chr(1) || n_nationkey || chr(1), '' ORDER BY n_name)) AS digest FROM nation GROUP BY 1")
 def group_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A13."""

@@ -61,3 +61,8 @@ def test_ordered_digest_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     whole = hashlib.sha256("|".join(f"é{i}" for i in range(40) if i % 5).encode()).hexdigest()
     assert got == {1: whole, 2: whole, None: whole, 3: None}
+
+
+def test_reconcile_keeps_every_customer(spark, duck):
+    every = {k for (k,) in duck.execute("select c_custkey from customer union select o_custkey from orders").fetchall()}
+    assert {r.k for r in QUERIES["reconcile_both_all"](spark, SF).collect()} == every
