@@ -1,4 +1,4 @@
-"""File lists, sources and snapshots (S26, S27, S29-S33, A14-A16): whole files in, rows out."""
+"""File lists, sources and snapshots (S26, S27, S29-S33, A14): whole files in, rows out."""
 
 from __future__ import annotations
 
