@@ -76,6 +76,17 @@ def binaries(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all rows one after the other, and where each begins with the end; null is empty."""
+    own = column.cast(pa.binary())
+    if own.null_count:
+        own = own.fill_null(b"")
+    at = np.frombuffer(own.buffers()[1], np.int32, len(own) + 1, 4 * own.offset).astype(np.int64) if len(own) else np.zeros(1, np.int64)
+    data = own.buffers()[2] if len(own) else None
+    raw = np.frombuffer(data, np.uint8, int(at[-1] - at[0]), int(at[0])) if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+    return raw, at - at[0]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about limit bytes of one text column, or a single row."""
     for batch in batches:
@@ -92,8 +103,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
 # --- word hashes -----------------------------------------------------------------------------
 
 _ODD = 0x9E3779B97F4A7C15
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -121,7 +132,7 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes (A-Z), and the starts and ends of the words [^\\x20\\x09-\\x0D]+."""
     raw = _LOWER[np.frombuffer(data, np.uint8)]
     inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[raw]
+    inside[1:-1] = ~WHITE[raw]
     edges = np.diff(inside)
     return raw, np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 

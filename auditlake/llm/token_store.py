@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import Split
 
-from auditlake.llm.bpe import load
+from auditlake.llm.bpe import SliceCoder, load, printable
 from auditlake.llm.common import binaries, scratch_root, slices, staged
 
 #: Longest code in bits, ids between two bit-offset checkpoints, ids of a block at most.
@@ -73,13 +77,15 @@ class Huffman:
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ids) else 0
         starts = ends - length
-        width = self.bits
-        bits = np.zeros(total + width, np.uint8)
-        for b in range(width):
-            has = np.flatnonzero(length > b)
-            bits[starts[has] + b] = (self.codes[ids[has]] >> (length[has] - 1 - b)) & 1
+        # A code covers bits of one 32-bit word or of two; bits of different codes never meet, so sums join them.
+        word, place = starts >> 5, starts & 31
+        wide = self.codes[ids] << (64 - length - place)
+        words = np.bincount(word, wide >> 32 & 0xFFFFFFFF, minlength=(total >> 5) + 2)
+        over = np.flatnonzero(place + length > 32)
+        words += np.bincount(word[over] + 1, wide[over] & 0xFFFFFFFF, minlength=len(words))
+        bits = words.astype(">u4").tobytes()[: -(-total // 8)]
         marks = starts[::CHECKPOINT_IDS].astype("<u8")
-        return _HEAD.pack(_MAGIC, len(ids), CHECKPOINT_IDS, total) + marks.tobytes() + np.packbits(bits[:total]).tobytes()
+        return _HEAD.pack(_MAGIC, len(ids), CHECKPOINT_IDS, total) + marks.tobytes() + bits
 
     def decode(self, block: bytes) -> np.ndarray:
         """All ids of a block: every checkpoint's run is read in step with the others, by table."""
@@ -101,23 +107,51 @@ class Huffman:
         return out.T.reshape(-1)[:n]
 
 
+@lru_cache(maxsize=2)
+def library_coder(path: str) -> SliceCoder:
+    """Merges by the tokenizers library's model of the file, which gets the pieces as words of its own alphabet, one a line."""
+    model = load(path)
+    library = Tokenizer(Tokenizer.from_file(path).model)
+    library.pre_tokenizer = Split("\n", "removed")
+    alphabet = {b: c for c, b in printable().items()}
+    plain = re.compile(r"[!-~ \n]*").fullmatch
+
+    def merge(pieces: list[str]) -> np.ndarray:
+        if "\n" in pieces or any("\n" in x for x in pieces if x.isspace()):
+            words = "\n".join(x.encode().decode("latin-1").translate(alphabet) for x in pieces)
+        else:
+            words = "\n".join(pieces)
+            words = words.replace(" ", alphabet[32]) if plain(words) else words.encode().decode("latin-1").translate(alphabet | {10: "\n"})
+        return np.asarray(library.encode_batch_fast([words], add_special_tokens=False)[0].ids, np.int64)
+
+    return SliceCoder(model, merge)
+
+
 def encode_table(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _n, _ids): each text's ids with the end id, as little-endian unsigned 32-bit bytes."""
+    """(_id, _ids, _counts): each text's ids with the end id, as little-endian bytes of the coder's kind; and a
+    task's counts of all ids, in rows of their own."""
+    size = max(load(vocabulary).words) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(vocabulary, compiled=True)
+        coder = library_coder(vocabulary)
+        end, total = np.array([end_id], coder.kind).tobytes(), np.zeros(size, np.int64)
+        names = ["_id", "_ids", "_counts"]
         for batch in slices(batches, "_text"):
-            ids = [np.asarray([*model.encode(x.decode("utf-8", "replace")), end_id], "<u4") for x in binaries(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["_id", "_n", "_ids"])
+            ids, at = coder(batch.column(1))
+            total += np.bincount(ids, minlength=size)
+            total[end_id] += batch.num_rows
+            own = [ids[a:b].tobytes() + end for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.nulls(len(own), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, "_id long, _n long, _ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, "_id long, _ids binary, _counts binary")
 
 
-def write_token_store(encoded: DataFrame, path: str, size: int) -> None:
-    """Write (_id, _n, _ids) in ascending id order: path/blocks (file images of blocks) and path/codes.
+def write_token_store(encoded: DataFrame, path: str, kind: str, size: int, block_ids: int = BLOCK_IDS) -> None:
+    """Write encode_table's rows in ascending id order: path/blocks (file images of blocks) and path/codes.
 
     Counts of ids are summed in the tasks first, so that the driver sees size numbers at most. The
-    range partitions are in id order; each writes blocks of up to BLOCK_IDS ids (a longer text
+    range partitions are in id order; each writes blocks of up to block_ids ids (a longer text
     has one of its own), and their running totals give each block the number of ids before it.
     """
     spark = encoded.sparkSession
@@ -126,11 +160,12 @@ def write_token_store(encoded: DataFrame, path: str, size: int) -> None:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for x in binaries(batch.column(0)):
-                total += np.bincount(np.frombuffer(x, "<u4"), minlength=size)
+                total += np.frombuffer(x, np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["token", "n"])
 
-    counted = encoded.select("_ids").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    sums = encoded.where("_counts IS NOT NULL").select("_counts").mapInArrow(count, "token int, n long")
+    counted = sums.groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[counted["token"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     lengths = code_lengths(counts)
@@ -142,7 +177,7 @@ def write_token_store(encoded: DataFrame, path: str, size: int) -> None:
         names = ["part", "block", "doc_ids", "doc_sizes", "n_ids", "payload"]
 
         def flush() -> pa.RecordBatch:
-            ids = np.concatenate([x[2] for x in held])
+            ids = np.concatenate([x[2] for x in held]).astype(np.int64)
             row = [[part], [block], [[x[0] for x in held]], [[x[1] for x in held]], [len(ids)], [coder.encode(ids)]]
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
@@ -150,8 +185,8 @@ def write_token_store(encoded: DataFrame, path: str, size: int) -> None:
         part = TaskContext.get().partitionId()
         for batch in batches:
             for i, data in zip(batch.column(0).to_pylist(), binaries(batch.column(1)), strict=True):
-                ids = np.frombuffer(data, "<u4").astype(np.int64)
-                if held and held_n + len(ids) > BLOCK_IDS:
+                ids = np.frombuffer(data, kind)
+                if held and held_n + len(ids) > block_ids:
                     yield flush()
                     held, held_n, block = [], 0, block + 1
                 held.append((i, len(ids), ids))
@@ -160,7 +195,7 @@ def write_token_store(encoded: DataFrame, path: str, size: int) -> None:
             yield flush()
 
     parts = max(1, encoded.rdd.getNumPartitions())
-    ordered = encoded.select("_id", "_ids").repartitionByRange(parts, F.col("_id").asc_nulls_last()).sortWithinPartitions(F.col("_id").asc_nulls_last())
+    ordered = encoded.where("_counts IS NULL").select("_id", "_ids").repartitionByRange(parts, F.col("_id").asc_nulls_last()).sortWithinPartitions(F.col("_id").asc_nulls_last())
     ordered.mapInArrow(pack, "part int, block int, doc_ids array<long>, doc_sizes array<long>, n_ids long, payload binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
@@ -198,7 +233,7 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
-def token_store(docs: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def token_store(docs: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Encode every text, append end_id, write the ids in ascending id order, read them back from the files.
 
     Returns id, start, n_tokens, ids_crc32 (unsigned, of the little-endian 32-bit ids). Null or empty
@@ -207,6 +242,7 @@ def token_store(docs: DataFrame, vocabulary: str, end_id: int = 0, id_col: str =
     """
     spark = docs.sparkSession
     where = path or f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex}"
+    model = load(vocabulary)
     encoded = staged(encode_table(docs, vocabulary, end_id, id_col, text_col), "token-ids")
-    write_token_store(encoded, where, max(load(vocabulary).words) + 1)
+    write_token_store(encoded, where, library_coder(vocabulary).kind, max(model.words) + 1, block_ids)
     return read_token_store(spark, where).withColumnRenamed("doc_id", id_col)

@@ -9,11 +9,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from auditlake.llm.bpe import Bpe, bpe_round_trip
+from auditlake.llm.bpe import Bpe, bpe_round_trip, slice_coder
 from auditlake.llm.elias_fano import EliasFano
 from auditlake.llm.exact_dedup import exact_dedup
 from auditlake.llm.exact_topk import exact_topk
@@ -23,7 +24,7 @@ from auditlake.llm.lm_scoring import lm_score
 from auditlake.llm.packing import best_fit, pack_documents
 from auditlake.llm.queries import op2_best_fit_packing
 from auditlake.llm.suffix_dedup import suffix_dedup
-from auditlake.llm.token_store import Huffman, code_lengths, token_store
+from auditlake.llm.token_store import Huffman, code_lengths, library_coder, token_store
 from auditlake.llm.toxicity import tag_toxicity, train
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -254,6 +255,12 @@ def test_bpe(docs, empty):
     odd = ["a  b\n\n c\t\td 's<|endoftext|> x", "\x1c a\x1d \x85 \xa0\xa0 x　z", "日本語 🙂🙂  ", "x" * 3000 + " " * 50, "\r\n\r\nfoo\x0b\x0c é"]
     for t in odd:
         assert own.encode(t) == library.encode(t, add_special_tokens=False).ids
+    mixed = [*odd, None, "", " ", "\n", "foo", "\nfoo \n bar  ", "a ", "b", " c", "x  <|endoftext|>", "  <|endoftext|>  ", "\n<|endoftext|>", *filter(None, TEXTS)]
+    for coder in (slice_coder(VOCABULARY), library_coder(VOCABULARY)):
+        for _ in range(2):  # the second time from what is remembered
+            ids, at = coder(pa.array(mixed, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in mixed]
+        assert [x.tolist() for x in coder(pa.array([], pa.string()))] == [[], [0]]
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     want = []
     for r in docs.collect():
@@ -285,6 +292,22 @@ def test_token_store(docs, empty):
     assert token_store(empty, VOCABULARY).count() == 0
 
 
+def test_token_store_of_many_blocks(spark):
+    """Several partitions and blocks, repeated rows, null texts and a null id."""
+    library = Tokenizer.from_file(VOCABULARY)
+    rows = [(i * 3, prose(i % 40) if i % 9 else None, i) for i in range(150)] + [(6, "same id", 0), (6, "same id", 1), (None, "no id", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start long").repartition(7)
+    got = sorted((tuple(r) for r in token_store(df, VOCABULARY, block_ids=200).collect()), key=lambda r: r[1])
+    at, texts = 0, collections.defaultdict(list)
+    for i, t, _ in rows:
+        texts[i].append([*library.encode(t or "", add_special_tokens=False).ids, 0])
+    assert [r[0] for r in got] == sorted((r[0] for r in rows), key=lambda i: math.inf if i is None else i)
+    for i, start, n, crc in got:
+        assert start == at and (n, crc) in [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in texts[i]]
+        at += n
+    assert at == sum(len(x) for own in texts.values() for x in own)
+
+
 def naive_best_fit(sizes, sources, clusters, capacity):
     bins, out = [], []
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
