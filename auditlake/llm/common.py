@@ -130,17 +130,27 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes (A-Z), and the starts and ends of the words [^\\x20\\x09-\\x0D]+."""
-    raw = _LOWER[np.frombuffer(data, np.uint8)]
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~WHITE[raw]
-    edges = np.diff(inside)
-    return raw, np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    raw, starts, ends, _ = word_table(pa.array([data], pa.binary()))
+    return raw, starts, ends
 
 
-def word_hashes(data: bytes, prefix: int = 0) -> np.ndarray:
-    """64-bit hash of each word, in order; with prefix, of its first prefix bytes."""
-    raw, starts, ends = word_bounds(data)
-    return span_hashes(raw, starts, np.minimum(ends, starts + prefix) if prefix else ends)
+def word_table(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_bounds of all rows, which stand one after the other, and where each row's words begin, with the end."""
+    data, offsets = flat_bytes(column)
+    raw = _LOWER[data]
+    inside = ~WHITE[raw]
+    begin, stop = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    stop[:-1] &= ~inside[1:]
+    heads, lasts = offsets[:-1][offsets[:-1] < len(raw)], offsets[1:][offsets[1:] > 0] - 1
+    begin[heads], stop[lasts] = inside[heads], inside[lasts]
+    starts = np.flatnonzero(begin)
+    return raw, starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, offsets)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hash of each word, in order."""
+    return span_hashes(*word_bounds(data))
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -156,14 +166,34 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64), 11) | np.uint64(1)
 
 
+def shingle_table(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of each row's width-word shingles, row after row, and where each row's
+    begin, with the end; fewer words: one hash for the whole sequence; none: no hash."""
+    raw, starts, ends, first = word_table(column)
+    words = span_hashes(raw, starts, ends)
+    counts = np.diff(first)
+    base = np.r_[0, np.cumsum(np.where(counts, np.maximum(1, counts - width + 1), 0))]
+    out = np.empty(base[-1], np.uint64)
+    if len(words) >= width:
+        sums = np.zeros(len(words) - width + 1, np.uint64)
+        for j in range(width):
+            sums += words[j : j + len(sums)] * _PLACES[j]
+        inside = np.arange(len(sums)) + width <= np.repeat(first[1:], counts)[: len(sums)]
+        out[np.repeat(counts, np.diff(base)) >= width] = mix(sums[inside], width)
+    for k in range(1, width):
+        rows = np.flatnonzero(counts == k)
+        sums = np.zeros(len(rows), np.uint64)
+        for j in range(k):
+            sums += words[first[rows] + j] * _PLACES[j]
+        out[base[rows]] = mix(sums, k)
+    for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[base[:-1][counts > 0]] = True
+    return out[new], np.r_[0, np.cumsum(new)][base]
+
+
 def shingle_set(data: bytes, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the width-word shingles; fewer words: one for the whole sequence."""
-    words = word_hashes(data)
-    if not len(words):
-        return words
-    take = min(width, len(words))
-    last = len(words) - take + 1
-    sums = np.zeros(last, np.uint64)
-    for j in range(take):
-        sums += words[j : j + last] * _PLACES[j]
-    return np.unique(mix(sums, take))
+    """shingle_table of one text."""
+    return shingle_table(pa.array([data], pa.binary()), width)[0]

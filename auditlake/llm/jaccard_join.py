@@ -11,58 +11,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditlake.llm.common import binaries, mix, shingle_set, slices, staged
+from auditlake.llm.common import binaries, mix, shingle_table, slices, staged
 from auditlake.llm.components import connected_components
 
-#: Counters of the frequency sketch, parity bits of a document, orders, min-hashes, rounds of the first links and picks of a bucket in each.
-SKETCH_BITS, PARITY_WORDS, ORDERS, MIN_HASHES, STAR_ROUNDS, PICKS = 20, 16, 2, 8, 2, 3
-#: From this sketched count on, a token's rows are spread over all parts.
-HOT_TOKEN = 1 << 20
+#: Parity bits of a document, orders, min-hashes, rounds of the first links and picks of a bucket in each.
+PARITY_WORDS, ORDERS, MIN_HASHES, STAR_ROUNDS, PICKS = 16, 2, 8, 2, 3
+#: Counters of the frequency sketch (as powers of two, by the size of the input), counters of a row of it.
+SKETCH_BITS, SKETCH_BLOCK = (20, 22), 1 << 14
+#: A token's rows are spread over all parts from this sketched count on, and where it is so many times the mean counter.
+HOT_TOKEN, HOT_MEAN = 1 << 20, 64
+#: Prefix tokens of one part, and bytes of text that are shingled at a time.
+PART_TOKENS, BLOCK_BYTES = 1 << 21, 1 << 20
 FILTER_BITS = 23
 
 
-def _node(tokens: np.ndarray) -> int:
-    """A set's name: a 64-bit hash of its tokens, signed."""
-    if not len(tokens):
-        return 0
-    sums = np.array([mix(tokens, 101).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)
-    return int(mix(sums ^ mix(tokens, 103).sum(dtype=np.uint64), 107).view(np.int64)[0])
+def _each(values: np.ndarray, bounds: np.ndarray, reduce_: np.ufunc, none: int) -> np.ndarray:
+    """values of each row reduced, none for an empty row."""
+    out = np.full(len(bounds) - 1, none, values.dtype)
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        out[some] = reduce_.reduceat(values, bounds[some])
+    return out
 
 
-def _parity(tokens: np.ndarray) -> np.ndarray:
-    """Bit i: how many tokens hash to i, mod 2. Two sets' bits differ in no more places than the sets do."""
-    bits = np.bincount((mix(tokens, 211) >> np.uint64(54)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view("<i8")
+def _nodes(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each set's name: a 64-bit hash of its tokens, signed; 0 for the empty set."""
+    n = np.diff(bounds)
+    sums = mix(_each(mix(tokens, 101), bounds, np.add, 0) + n.astype(np.uint64))
+    return np.where(n > 0, mix(sums ^ mix(_each(mix(tokens, 103), bounds, np.add, 0), 107)).view(np.int64), 0)
 
 
-def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Token counts by hash, 2^SKETCH_BITS counters. They only shape the orders, so collisions cost no result."""
-    size, block = 1 << SKETCH_BITS, 1 << 14
+def _parities(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Bit i of a set: how many tokens hash to i, mod 2. Two sets' bits differ in no more places than the sets do."""
+    rows, width = len(bounds) - 1, 64 * PARITY_WORDS
+    at = np.repeat(np.arange(rows) * width, np.diff(bounds)) + (mix(tokens, 211) >> np.uint64(54)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=rows * width) & 1).astype(np.uint8)).view("<i8").reshape(rows, PARITY_WORDS)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in slices(batches, "_text"):
-            tokens = [shingle_set(x, width) for x in binaries(batch.column(1))]
-            total += np.bincount((np.concatenate(tokens) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array(range(size // block), pa.int32()), pa.array([total[a : a + block].tobytes() for a in range(0, size, block)], pa.binary())], ["part", "counts"])
 
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = reduce(np.add, (np.frombuffer(x, np.int64) for x in binaries(table.column("counts"))))
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+def _sketch_bits(docs: DataFrame) -> int:
+    """log2 of the counters: about one for each two bytes of the input's files, within SKETCH_BITS."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(SKETCH_BITS[1], max(SKETCH_BITS[0], (size >> 1).bit_length()))
 
-    rows = docs.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    total = np.zeros(size, np.int64)
-    for row in rows:
-        total[row["part"] * block : (row["part"] + 1) * block] = np.frombuffer(row["counts"], np.int64)
-    return np.minimum(total, 2**31 - 1).astype(np.int32)
 
+def _levels(counts: DataFrame, bits: int) -> np.ndarray:
+    """log2 of the token counts by hash, from the tasks' (part, counts): a byte for each counter. They
+    only shape the orders, so collisions cost no result. Counts are added as they come."""
 
-def _prefix(tokens: np.ndarray, level: np.ndarray, order: int, numerator: int, denominator: int) -> np.ndarray:
-    """The tokens that come first under an order (rarer levels first, then by a hash of its own): one of
-    them is in any set whose Jaccard similarity reaches numerator / denominator."""
-    n = len(tokens)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), binaries(batch.column(1)), strict=True):
+                total[part] = total.get(part, 0) + np.frombuffer(data, "<i4").astype(np.int64)
+        levels = [np.log2(np.maximum(x, 1)).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"])
+
+    parts = (1 << bits) // SKETCH_BLOCK
+    out = np.zeros((parts, SKETCH_BLOCK), np.uint8)
+    for row in counts.repartition(parts, "part").mapInArrow(add, "part int, levels binary").collect():
+        out[row["part"]] = np.frombuffer(row["levels"], np.uint8)
+    return out.reshape(-1)
+
+
+def _prefix(key: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
+    """Places of the tokens that come first by key: one of them is in any set whose Jaccard similarity reaches numerator / denominator."""
+    n = len(key)
     take = n - -(-n * numerator // denominator) + 1
-    return tokens[np.lexsort((mix(tokens, 301 + order), level))[:take]]
+    some = np.argpartition(key, take - 1)[:take] if take < n else np.arange(n)
+    return some[np.argsort(key[some])]
 
 
 def bounded_filter(ids: DataFrame, column: str) -> np.ndarray:
@@ -93,11 +109,12 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, nu
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sent.value
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", BLOCK_BYTES):
             at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             batch = batch.filter(pa.array((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0))
-            tokens = [shingle_set(x, width) for x in binaries(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(t) for t in tokens], pa.int64()), pa.array([t.view(np.int64) for t in tokens], pa.list_(pa.int64()))], ["rep", "node", "tokens"])
+            tokens, bounds = shingle_table(batch.column(1), width)
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_nodes(tokens, bounds)), lists], ["rep", "node", "tokens"])
 
     place = F.shiftrightunsigned(F.xxhash64("_id"), 64 - FILTER_BITS)
     some = docs.withColumn("_at", place).mapInArrow(sets, "rep long, node long, tokens array<long>")
@@ -127,17 +144,26 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
+    bits = _sketch_bits(rows)
+
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_id", "n", "node", "mins", "parity"]
-        for batch in slices(batches, "_text"):
-            sets = [shingle_set(x, width) for x in binaries(batch.column(1))]
-            mins = [np.array([mix(t, k + 1).min() for k in range(MIN_HASHES)] if len(t) else [], np.uint64).view(np.int64) for t in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array([_node(t) for t in sets], pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array([_parity(t) for t in sets], pa.list_(pa.int64()))],
-                names,
-            )
-
-    profiles = staged(rows.mapInArrow(profile, "_id long, n long, node long, mins array<long>, parity array<long>"), "profiles")
+        names = ["_id", "n", "node", "mins", "parity", "part", "counts"]
+        counts = np.zeros(1 << bits, np.int32)
+        for batch in slices(batches, "_text", BLOCK_BYTES):
+            tokens, bounds = shingle_table(batch.column(1), width)
+            np.add.at(counts, (tokens >> np.uint64(64 - bits)).astype(np.int64), np.int32(1))
+            n = np.diff(bounds)
+            mins = np.stack([_each(mix(tokens, k + 1), bounds, np.minimum, 0) for k in range(MIN_HASHES)], 1)[n > 0].reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum((n > 0) * MIN_HASHES)].astype(np.int32)), pa.array(mins))
+            parity = pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * PARITY_WORDS).astype(np.int32)), pa.array(_parities(tokens, bounds).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(_nodes(tokens, bounds)), lists, parity, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+        m = len(counts) // SKETCH_BLOCK
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(m, k) for k in kinds), pa.array(range(m), pa.int32()), pa.array([x.astype("<i4").tobytes() for x in counts.reshape(m, -1)], pa.binary())], names)
+
+    both = staged(rows.mapInArrow(profile, "_id long, n long, node long, mins array<long>, parity array<long>, part int, counts binary"), "profiles")
+    profiles = both.where("part IS NULL").drop("part", "counts")
+    levels = _levels(both.where("part IS NOT NULL").select("part", "counts"), bits)
     usable = profiles.where("n > 0 AND _id IS NOT NULL")
     reps = staged(usable.groupBy("node").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("mins").alias("mins")), "nodes")
 
@@ -152,7 +178,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         comps = reps.select("node").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree"))
         comps = staged(comps, "comps")
 
-    listed = _shared_prefixes(rows, width, numerator, denominator)
+    total = profiles.agg(F.sum("n")).first()[0] or 0
+    listed = _shared_prefixes(rows, levels, total, width, numerator, denominator)
     sized = reps.select("node", "n").join(comps.select("node", "comp"), "node")
     listed = listed.join(sized, "node")
     counts = listed.groupBy("k", "token", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -216,31 +243,38 @@ def _stars(keyed: DataFrame, comps: DataFrame, salt: int) -> DataFrame:
     return met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
 
 
-def _shared_prefixes(rows: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
-    """(k, token, node, pos) for the prefix tokens, under each order, that more than one node lists."""
+def _shared_prefixes(rows: DataFrame, levels: np.ndarray, total: int, width: int, numerator: int, denominator: int) -> DataFrame:
+    """(k, token, node, pos) for the prefix tokens, under each order, that more than one node lists.
+
+    levels: log2 of the tokens' counts by the first bits of their hash; total: how many tokens all sets hold.
+    """
     spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(_sketch(rows, width))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shift = np.uint64(64 - SKETCH_BITS)
+    sent = spark.sparkContext.broadcast(levels)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ORDERS * total * (denominator - numerator) // denominator // PART_TOKENS)
+    shift = np.uint64(64 - (len(levels).bit_length() - 1))
+    hot_level = int(np.log2(max(HOT_TOKEN, HOT_MEAN * total // len(levels))))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sent.value
+        level_of = sent.value
         for batch in slices(batches, "_text", 16 << 20):
             held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-            for data in binaries(batch.column(1)):
-                tokens = shingle_set(data, width)
-                if len(tokens):
-                    seen = counts[(tokens >> shift).astype(np.int64)]
-                    level = np.log2(np.maximum(seen, 1)).astype(np.int8)
-                    node = np.int64(_node(tokens))
-                    for k in range(ORDERS):
-                        some = _prefix(tokens, level, k, numerator, denominator)
-                        hot = counts[(some >> shift).astype(np.int64)] >= HOT_TOKEN
-                        by = np.where(hot, mix(some ^ np.uint64(int(node) & 0xFFFFFFFFFFFFFFFF), 401), mix(some, 401))
-                        held.append((k, some, np.full(len(some), node), (by % np.uint64(parts)).astype(np.int32), np.arange(len(some))))
+            for block in slices(iter([batch]), "_text", BLOCK_BYTES):
+                tokens, bounds = shingle_table(block.column(1), width)
+                level = level_of[(tokens >> shift).astype(np.int64)]
+                node, at = _nodes(tokens, bounds), bounds.tolist()
+                some = np.flatnonzero(np.diff(bounds))
+                for k in range(ORDERS):
+                    # Rarer levels first, then by a hash of the order's own.
+                    key = level.astype(np.uint64) << np.uint64(58) | mix(tokens, 301 + k) >> np.uint64(6)
+                    first = [_prefix(key[at[d] : at[d + 1]], numerator, denominator) for d in some]
+                    n = np.array([len(x) for x in first], np.int64)
+                    place = np.concatenate(first or [np.zeros(0, np.int64)]) + np.repeat(bounds[some], n)
+                    own, names = tokens[place], np.repeat(node[some], n)
+                    by = np.where(level[place] >= hot_level, mix(own ^ names.view(np.uint64), 401), mix(own, 401))
+                    held.append((k, own, names, (by % np.uint64(parts)).astype(np.int32), np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)))
             for k in range(ORDERS):
                 own = [h for h in held if h[0] == k]
-                if not own:
+                if not any(len(h[1]) for h in own):
                     continue
                 token, node, part, pos = (np.concatenate([h[i] for h in own]) for i in (1, 2, 3, 4))
                 order = np.argsort(part, kind="stable")
@@ -257,7 +291,7 @@ def _shared_prefixes(rows: DataFrame, width: int, numerator: int, denominator: i
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([k] * len(at), pa.int32()), pa.array(tokens, pa.binary()), pa.array(nodes, pa.binary()), pa.array(places, pa.binary())], ["part", "k", "tokens", "nodes", "places"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sent.value
+        level_of = sent.value
         held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for k, tokens, nodes, places in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
@@ -272,7 +306,7 @@ def _shared_prefixes(rows: DataFrame, width: int, numerator: int, denominator: i
             new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
             token, node, pos = token[new], node[new], pos[new]
             alike = token[1:] == token[:-1]
-            keep = np.r_[False, alike] | np.r_[alike, False] | (counts[(token >> shift).astype(np.int64)] >= HOT_TOKEN)
+            keep = np.r_[False, alike] | np.r_[alike, False] | (level_of[(token >> shift).astype(np.int64)] >= hot_level)
             token, node, pos = token[keep].view(np.int64), node[keep], pos[keep]
             for a in range(0, len(token), 100_000):
                 some = slice(a, a + 100_000)
