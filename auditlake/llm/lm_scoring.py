@@ -10,19 +10,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import binaries, mix, slices, staged, word_hashes
+from auditlake.llm.common import mix, slices, span_hashes, staged, word_table
 from auditlake.llm.elias_fano import Level, mapped
 
-#: Words that are symbols, whose counts go to every task (the broadcast's bound), prior weights of bigrams and
-#: trigrams, the share of all tokens from which a context word is hot, and over how many parts it is spread.
-SYMBOLS, PRIOR_2, PRIOR_3, HOT_SHARE, HOT_CLASSES = 1 << 19, 1000.0, 1.0, 1 / 64, 16
+#: Words that are symbols, whose counts go to every task (the broadcast's bound); tokens of a shard, and of a part
+#: of a word that has more (of all tokens / SYMBOLS where that is more); prior weights of bigrams and trigrams.
+SYMBOLS, SHARD_TOKENS, PRIOR_2, PRIOR_3 = 1 << 19, 1 << 20, 1000.0, 1.0
 _END = mix(np.array([1], np.uint64), 900)
 _BEFORE = mix(np.array([2, 3], np.uint64), 900)
 
 
 @dataclass
 class Symbols:
-    """hashes: sorted word hashes of the symbols; counts: theirs in training; tokens and types: of all words there.
+    """hashes: sorted word hashes of the symbols; counts: theirs in training; tokens and types: of all words there;
+    most: tokens of one part of a word.
 
     Numbers: the symbols, two for the words before a text, then the other words of a block or shard, which
     names them itself. Hot words are always symbols.
@@ -32,15 +33,16 @@ class Symbols:
     counts: np.ndarray
     tokens: int
     types: int
+    most: int
 
     @property
     def others(self) -> int:
         return len(self.hashes) + 2
 
     @property
-    def hot(self) -> np.ndarray:
-        """By number of the symbols and the words before a text."""
-        return np.r_[self.counts >= max(2, HOT_SHARE * self.tokens), False, False]
+    def parts(self) -> np.ndarray:
+        """By number of the symbols and the words before a text: how many parts its contexts are dealt to, a power of two."""
+        return np.r_[np.exp2(np.ceil(np.log2(np.maximum(self.counts, self.most) / self.most))).astype(np.int64), 1, 1]
 
     def number(self, words: np.ndarray, others: np.ndarray) -> np.ndarray:
         """A word's symbol, or its place in others (sorted) after the symbols; all that is not a symbol is in others."""
@@ -65,21 +67,18 @@ class Symbols:
         return np.log10(np.r_[self.counts + 1, 1, 1, counts + 1] / (self.tokens + self.types + 1))
 
 
-def tokens_of(data: bytes) -> np.ndarray:
-    return np.r_[word_hashes(data), _END]
-
-
 def _vocabulary(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 16 << 20):
-            token, n = np.unique(np.concatenate([tokens_of(x) for x in binaries(batch.column(0))]), return_counts=True)
+        for batch in slices(batches, "_text"):
+            words = span_hashes(*word_table(batch.column(0))[:3])
+            token, n = np.unique(np.r_[words, np.repeat(_END, batch.num_rows)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], ["token", "c"])
 
     return staged(rows.select("_text").mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "vocabulary")
 
 
-def _symbols(vocabulary: DataFrame, limit: int) -> Symbols:
-    """The most frequent words, as many as fit the limit with all words as frequent as the last, and the hot ones."""
+def _symbols(vocabulary: DataFrame, limit: int, shard_tokens: int) -> Symbols:
+    """The most frequent words, as many as fit the limit with all words as frequent as the last, and those of several parts."""
     step = F.floor(F.log2("c") * 32)
     bins = vocabulary.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("tokens")).orderBy(F.desc("s")).collect()
     types, floor = 0, None
@@ -88,64 +87,69 @@ def _symbols(vocabulary: DataFrame, limit: int) -> Symbols:
             break
         types, floor = types + b["types"], b["s"]
     all_types, all_tokens = sum(b["types"] for b in bins), sum(b["tokens"] for b in bins)
-    hot = F.col("c") >= F.lit(max(2.0, HOT_SHARE * all_tokens))
+    most = max(shard_tokens, all_tokens // SYMBOLS)
+    hot = F.col("c") > most
     top = vocabulary.where(hot | (step >= floor) if floor is not None else hot).toPandas()
     hashes = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return Symbols(hashes[order], top["c"].to_numpy(np.int64)[order], all_tokens, all_types)
+    return Symbols(hashes[order], top["c"].to_numpy(np.int64)[order], all_tokens, all_types, most)
 
 
-def _part(hot: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Part of a context: 0, or one of HOT_CLASSES by the hash of u where the word after it is hot."""
-    out = np.zeros(len(u), np.uint64)
-    out[hot] = mix(u[hot], 77) % np.uint64(HOT_CLASSES)
-    return out
+def _part(parts: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Part of a context: by the hash of u, of so many parts."""
+    return (mix(u, 77) & (parts - 1).astype(np.uint64)).astype(np.int64)
 
 
 def _shard(v: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(mix(v, 76) + part, 78) % np.uint64(shards)).astype(np.int64)
-
-
-def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words with two before each text; places of the words themselves; the text of each."""
-    words = [tokens_of(x) for x in texts]
-    sizes = np.array([len(t) for t in words])
-    padded = np.concatenate([np.r_[_BEFORE, t] for t in words])
+    return (mix(mix(v, 76) + part.astype(np.uint64), 78) % np.uint64(shards)).astype(np.int64)
+
+
+def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words and ends with two before each text; places of the words themselves; the text of each."""
+    raw, starts, ends, first = word_table(column)
+    counts = np.diff(first)
+    rows = np.arange(len(counts))
+    heads = first[:-1] + 3 * rows
+    padded = np.empty(len(starts) + 3 * len(counts), np.uint64)
+    padded[heads], padded[heads + 1], padded[heads + counts + 2] = *_BEFORE, _END[0]
+    padded[np.arange(len(starts)) + np.repeat(3 * rows + 2, counts)] = span_hashes(raw, starts, ends)
     keep = np.ones(len(padded), bool)
-    heads = np.cumsum(sizes + 2) - sizes - 2
     keep[heads] = keep[heads + 1] = False
-    return padded, np.flatnonzero(keep), np.repeat(np.arange(len(words)), sizes)
+    return padded, np.flatnonzero(keep), np.repeat(rows, counts + 1)
 
 
 class Trie:
-    """Levels: context words v, a hot one by parts; words after them; contexts (v, u); words after a context.
+    """Levels: context words v, a frequent one by parts; words after them; contexts (v, u); words after a context.
 
     Seen n-grams keep quantised log10 of their smoothed probability, contexts that of the weight that
     an unseen word's shorter n-gram gets. Counts c give p = (c + prior * shorter) / (total + prior).
-    Bigrams of a hot word are counted elsewhere: hot_cls has its parts here, hot_total all counts of
+    cls, u, w, c3: the distinct trigrams of the training texts, with their counts.
+    Bigrams of a word of several parts are counted elsewhere: hot_cls has its parts here, hot_total all counts of
     their words, and hot_pairs (part, word, count) whole counts of all pairs that anyone here asks for.
     """
 
-    def __init__(self, cls: np.ndarray, u: np.ndarray, w: np.ndarray, log_unigram: np.ndarray, hot_cls: np.ndarray, hot_total: np.ndarray, hot_pairs: tuple[np.ndarray, np.ndarray, np.ndarray], prior_2: float, prior_3: float):
+    def __init__(self, cls: np.ndarray, u: np.ndarray, w: np.ndarray, c3: np.ndarray, log_unigram: np.ndarray, hot_cls: np.ndarray, hot_total: np.ndarray, hot_pairs: tuple[np.ndarray, np.ndarray, np.ndarray], prior_2: float, prior_3: float):
         self.log_unigram = log_unigram
         width = np.uint64(len(log_unigram))
         classes = np.union1d(cls, hot_cls)
         of_class = np.searchsorted(classes, cls)
-        total = np.bincount(of_class, minlength=len(classes))
+        total = np.bincount(of_class, c3, minlength=len(classes))
         hot_at = np.searchsorted(classes, hot_cls)
         hot = np.zeros(len(classes), bool)
         hot[hot_at] = True
         total[hot_at] = hot_total
         plain = ~hot[of_class]
-        pair, c2 = np.unique(of_class[plain].astype(np.uint64) * width + w[plain].astype(np.uint64), return_counts=True)
+        pair, at = np.unique(of_class[plain].astype(np.uint64) * width + w[plain].astype(np.uint64), return_inverse=True)
+        c2 = np.bincount(at, c3[plain], minlength=len(pair))
         pair = np.r_[pair, np.searchsorted(classes, hot_pairs[0]).astype(np.uint64) * width + hot_pairs[1].astype(np.uint64)]
         order = np.argsort(pair)
         pair, c2 = pair[order], np.r_[c2, hot_pairs[2]][order]
         p_cls, p_w = (pair // width).astype(np.int64), (pair % width).astype(np.int64)
         p2 = (c2 + prior_2 * 10 ** log_unigram[p_w]) / (total[p_cls] + prior_2)
-        ctx, of_ctx, c_ctx = np.unique(of_class.astype(np.uint64) * width + u.astype(np.uint64), return_inverse=True, return_counts=True)
-        tri, c3 = np.unique(of_ctx.astype(np.uint64) * width + w.astype(np.uint64), return_counts=True)
-        t_ctx, t_w = (tri // width).astype(np.int64), (tri % width).astype(np.int64)
+        ctx, of_ctx = np.unique(of_class.astype(np.uint64) * width + u.astype(np.uint64), return_inverse=True)
+        c_ctx = np.bincount(of_ctx, c3, minlength=len(ctx))
+        order = np.argsort(of_ctx.astype(np.uint64) * width + w.astype(np.uint64))
+        t_ctx, t_w, c3 = of_ctx[order], w[order], c3[order]
         shorter = p2[np.searchsorted(pair, ctx[t_ctx] // width * width + t_w.astype(np.uint64))]
         p3 = (c3 + prior_3 * shorter) / (c_ctx[t_ctx] + prior_3)
         bound = int(classes[-1]) + 1 if len(classes) else 1
@@ -189,43 +193,47 @@ def _unpack(data: bytes, n: int, columns: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(raw[4 * n * i : 4 * n * (i + 1)].reshape(4, n).T).view("<u4").reshape(-1) for i in range(columns)]
 
 
-def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", symbols: int = SYMBOLS, prior_2: float = PRIOR_2, prior_3: float = PRIOR_3) -> DataFrame:
+def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", symbols: int = SYMBOLS, shard_tokens: int = SHARD_TOKENS, prior_2: float = PRIOR_2, prior_3: float = PRIOR_3) -> DataFrame:
     """log10 probability of every whole text under a trigram model of the texts that are not held out.
 
     Tokens: words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, then one end. Every word has n-grams of its own;
     symbols only bounds how many words' counts are broadcast, the other words go by their hash and their
     counts come by a join, with the same scores. Every trigram occurrence travels once, packed, to the shard
-    of its middle word; a hot one is spread over parts by the word before it, and each part is given the
-    counts over all parts of the bigrams that it meets. A shard builds its part of the trie from the training
-    texts and answers for all texts. Per text only sums come back, packed by bucket of ids. No task holds
-    more than its shard; the driver sees totals and symbols.
+    of its middle word; shards follow the number of tokens. A word of more than shard_tokens is dealt to
+    parts by the word before it, and each part is given the counts over all parts of the bigrams that it
+    meets. A shard counts its training trigrams block by block, builds its part of the trie, and answers
+    for all texts block by block: it holds its packed rows, its distinct trigrams and one block. Per text
+    only sums come back, packed by bucket of ids; the driver sees totals and symbols. All the contexts of
+    one pair of words are one shard's.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score. Null and
-    empty text is the end token alone. Rows that repeat an id and its text come back as one row, a null id
-    included. Without training texts every token is unseen: base and score are 0. Empty in, empty out.
+    empty text is the end token alone. Repeated rows and null ids come back as given. Without training texts
+    every token is unseen: base and score are 0. Other columns take no part. Empty in, empty out.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tag = F.expr(f"cast(shiftrightunsigned(xxhash64(coalesce(`{text_col}`, '')), 48) as int)")
+    tag = F.expr(f"cast(shiftright(xxhash64(coalesce(`{text_col}`, '')), 32) as int)")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), tag.alias("_tag"), text.alias("_text"), held_out.alias("_held"))
     vocabulary = _vocabulary(rows.where("NOT _held"))
-    table = _symbols(vocabulary, symbols)
+    table = _symbols(vocabulary, symbols, shard_tokens)
     sent = spark.sparkContext.broadcast(table)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 5 * table.tokens // (4 * shard_tokens))
     all_counted = table.types == len(table.hashes)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (v, w) of a hot v with their count in training and the parts that meet them; other words w with their shard."""
+        """Pairs (v, w) of a v of several parts with their count in training and the parts that meet them, by
+        groups of parts of which a word has 64 at most; other words w with their shard."""
         known = sent.value
-        is_hot = np.r_[known.hot, False]
-        for batch in slices(batches, "_text", 16 << 20):
-            padded, at, doc = _trigrams(binaries(batch.column(0)))
+        parts_of = np.r_[known.parts, 1]
+        for batch in slices(batches, "_text", 8 << 20):
+            padded, at, doc = _trigrams(batch.column(0))
             number = known.number(padded, np.zeros(0, np.uint64))
             number[np.isin(padded, _BEFORE)] = len(known.hashes)
-            hot = is_hot[number[at - 1]]
+            n_parts = parts_of[number[at - 1]]
+            hot = n_parts > 1
             some = at[hot]
             learnt = ~np.asarray(batch.column(1).to_pylist(), bool)[doc[hot]]
-            bit = np.int64(1) << _part(np.ones(len(some), bool), padded[some - 2]).astype(np.int64)
+            bit = np.int64(1) << (_part(n_parts[hot], padded[some - 2]) // np.maximum(1, n_parts[hot] // 64))
             order = np.lexsort((padded[some], number[some - 1]))
             v, w = padded[some - 1][order], padded[some][order]
             first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])]) if len(some) else np.zeros(0, np.int64)
@@ -236,7 +244,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
                 continue
             other = at[number[at] == known.others]
             if len(other):
-                shard = _shard(padded[other - 1], _part(is_hot[number[other - 1]], padded[other - 2]), shards)
+                shard = _shard(padded[other - 1], _part(parts_of[number[other - 1]], padded[other - 2]), shards)
                 order = np.lexsort((padded[other], shard))
                 w, shard = padded[other][order], shard[order]
                 first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (shard[1:] != shard[:-1])])
@@ -244,81 +252,121 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([none, pa.array(w[first].view(np.int64)), pa.array(shard[first].astype(np.int32)), none, none], ["v", "w", "shard", "c", "parts"])
 
     def to_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        parts_of = known.parts
         for batch in batches:
-            v, w, c, parts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            for k in range(HOT_CLASSES):
-                some = np.flatnonzero(parts >> k & 1)
-                shard = _shard(v[some].view(np.uint64), np.full(len(some), k, np.uint64), shards)
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(v[some]), pa.array(np.full(len(some), k, np.int32)), pa.array(w[some]), pa.array(c[some])], ["shard", "v", "part", "w", "c"])
+            v, w, c, mask = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            n_parts = parts_of[known.number(v.view(np.uint64), np.zeros(0, np.uint64))]
+            for k in range(64):
+                some = np.flatnonzero(mask >> k & 1)
+                each = np.maximum(1, n_parts[some] // 64)  # the parts of a group
+                part = np.repeat(k * each, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                some = np.repeat(some, each)
+                if len(some):
+                    shard = _shard(v[some].view(np.uint64), part, shards)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(v[some]), pa.array(part.astype(np.int32)), pa.array(w[some]), pa.array(c[some])], ["shard", "v", "part", "w", "c"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        is_hot = known.hot
-        for batch in slices(batches, "_text", 16 << 20):
-            padded, at, doc = _trigrams(binaries(batch.column(2)))
+        parts_of = known.parts
+        for batch in slices(batches, "_text", 8 << 20):
+            padded, at, doc = _trigrams(batch.column(2))
             number, names = known.split(padded)
             v = number[at - 1]
-            hot = np.zeros(len(v), bool)
-            hot[v < known.others] = is_hot[v[v < known.others]]
-            shard = _shard(padded[at - 1], _part(hot, padded[at - 2]), shards)
-            order = np.argsort(shard, kind="stable")
+            n_parts = np.ones(len(v), np.int64)
+            n_parts[v < known.others] = parts_of[v[v < known.others]]
+            shard = _shard(padded[at - 1], _part(n_parts, padded[at - 2]), shards)
+            order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             ids, tags, held = (np.asarray(batch.column(i).to_pylist(), object) for i in (0, 1, 3))
             out: list[list] = [[], [], [], [], [], [], [], []]
-            for s in range(shards):
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
                 some = order[cuts[s] : cuts[s + 1]]
-                if len(some):
-                    present, runs = np.unique(doc[some], return_counts=True)
-                    block = number[at[some] - np.array([[2], [1], [0]])]
-                    other = block >= known.others
-                    used, place = np.unique(block[other], return_inverse=True)
-                    block[other] = known.others + place
-                    for column, value in zip(out, (s, len(some), _pack(list(block)), names[used - known.others].view(np.int64), ids[present].tolist(), tags[present].tolist(), held[present].tolist(), runs.tolist()), strict=True):
-                        column.append(value)
+                present, runs = np.unique(doc[some], return_counts=True)
+                block = number[at[some] - np.array([[2], [1], [0]])]
+                other = block >= known.others
+                used, place = np.unique(block[other], return_inverse=True)
+                block[other] = known.others + place
+                for column, value in zip(out, (s, len(some), _pack(list(block)), names[used - known.others].view(np.int64), ids[present].tolist(), tags[present].tolist(), held[present].tolist(), runs.tolist()), strict=True):
+                    column.append(value)
             kinds = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["shard", "n", "packed", "names", "ids", "tags", "held", "runs"])
 
     def answer(key: tuple, part: pa.Table, given: pa.Table) -> pa.Table:
         known = sent.value
-        first = known.others
+        if not part.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], ["bucket", *sums])
+        first, parts_of = known.others, known.parts
+        class_of = np.r_[0, np.cumsum(parts_of)]  # of the symbols; every other word has one class
         own = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in part.column("names")]
         names = np.unique(np.concatenate(own))
-        n = part.column("n").to_numpy()
-        u, v, w = (np.empty(int(n.sum()), np.int32) for _ in range(3))
-        end = np.cumsum(n)
-        for data, size, stop, theirs in zip(part.column("packed"), n.tolist(), end.tolist(), own, strict=True):
-            place = (first + np.searchsorted(names, theirs)).astype(np.int32)
-            for to, column in zip((u, v, w), _unpack(data.as_py(), size, 3), strict=True):
-                column = column.astype(np.int32)
-                other = column >= first
-                column[other] = place[column[other] - first]
-                to[stop - size : stop] = column
-        runs = part.column("runs").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        held = part.column("held").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         hashes = np.r_[known.hashes, _BEFORE, names]
-        is_hot = np.r_[known.hot, np.zeros(len(names), bool)]
-        hot = is_hot[v]
-        cls = v.astype(np.int64) * HOT_CLASSES
-        cls[hot] += _part(np.ones(int(hot.sum()), bool), hashes[u[hot]]).astype(np.int64)
+        width = np.uint64(len(hashes))
+        all_runs = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in part.column("runs")]
+        all_held = [x.values.to_numpy(zero_copy_only=False) for x in part.column("held")]
+        sizes = part.column("n").to_pylist()
+        cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(sizes) // shard_tokens)) + 1, len(sizes)]
+
+        def block(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+            """Distinct trigrams (class and u, w) of some packed rows, by columns, and the trigram of each occurrence."""
+            columns = [[], [], []]
+            for k in range(a, b):
+                place = (first + np.searchsorted(names, own[k])).astype(np.int32)
+                for to, column in zip(columns, _unpack(part.column("packed")[k].as_py(), sizes[k], 3), strict=True):
+                    column = column.astype(np.int32)
+                    other = column >= first
+                    column[other] = place[column[other] - first]
+                    to.append(column)
+            u, v, w = (np.concatenate(c) for c in columns)
+            cls = np.where(v < first, class_of[np.minimum(v, first)], class_of[-1] + v - first)
+            hot = np.flatnonzero(np.r_[parts_of, np.ones(len(names), np.int64)][v] > 1)
+            cls[hot] += _part(parts_of[v[hot]], hashes[u[hot]])
+            context, of = np.unique(cls.astype(np.uint64) * width + u.astype(np.uint64), return_inverse=True)
+            tri, at = np.unique(of.astype(np.uint64) * width + w.astype(np.uint64), return_inverse=True)
+            context = context[(tri // width).astype(np.int64)]
+            return np.stack([(context // width), context % width, tri % width]).astype(np.int64), at
+
         g_part, g_w, g_c = (given.column(c).to_numpy() for c in ("part", "w", "c"))
-        g_w = known.number(g_w.view(np.uint64), names)
+        g_hash, g_w = g_w.view(np.uint64), known.number(g_w.view(np.uint64), names)
         counts = np.zeros(len(names), np.int64)
         single = g_part < 0
         counts[g_w[single] - first] = g_c[single]
         g_v = known.number(given.column("v").to_numpy().view(np.uint64)[~single], names)
-        hot_cls = np.unique(cls[hot])
         log_unigram = known.log_unigram(counts)
-        learnt = np.repeat(~held, runs)
-        trie = Trie(cls[learnt], u[learnt], w[learnt], log_unigram, hot_cls, known.counts[hot_cls // HOT_CLASSES], (g_v * HOT_CLASSES + g_part[~single], g_w[~single], g_c[~single]), prior_2, prior_3)
+        found, kept, hot_cls = [], None, []
+        split = np.flatnonzero(parts_of > 1)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            tri, at = block(a, b)
+            kept = (tri, at)  # a shard of one block is not read twice
+            learnt = np.repeat(~np.concatenate(all_held[a:b]), np.concatenate(all_runs[a:b]))
+            c3 = np.bincount(at[learnt], minlength=tri.shape[1])
+            found.append(np.vstack([tri, c3])[:, c3 > 0])
+            present = np.unique(tri[0])
+            near = split[np.maximum(np.searchsorted(class_of[split], present, side="right") - 1, 0)] if len(split) else np.zeros(0, np.int64)
+            hot_cls.append(present[(class_of[near] <= present) & (present < class_of[near + 1])] if len(split) else present[:0])
+        tri = np.concatenate(found, axis=1)
+        if len(found) > 1:
+            order = np.lexsort((tri[2], tri[1], tri[0]))
+            tri = tri[:, order]
+            new = np.flatnonzero(np.r_[True, (tri[:3, 1:] != tri[:3, :-1]).any(0)]) if tri.shape[1] else np.zeros(0, np.int64)
+            tri = np.vstack([tri[:3, new], np.add.reduceat(tri[3], new)[None] if len(new) else tri[3:]])
+        hot = np.unique(np.concatenate(hot_cls))
+        hot_total = known.counts[np.searchsorted(class_of, hot, side="right") - 1]
+        g_cls, g_hash, g_w, g_c = class_of[g_v] + g_part[~single], g_hash[~single], g_w[~single], g_c[~single]
+        met = np.isin(g_cls, hot) & (hashes[np.minimum(g_w, len(hashes) - 1)] == g_hash)  # others of a group of parts may ask for more
+        trie = Trie(*tri, log_unigram, hot, hot_total, (g_cls[met], g_w[met], g_c[met]), prior_2, prior_3)
+        del tri, found
         seen = np.r_[known.counts, 0, 0, counts] > 0
-        score, base, n_known, heads = (np.zeros(len(runs)) for _ in range(4))
-        doc = np.repeat(np.arange(len(runs)), runs)
-        for a in range(0, len(w), 1 << 19):
-            some = slice(a, a + (1 << 19))
-            score += np.bincount(doc[some], trie.log_p(cls[some], u[some], w[some]), minlength=len(runs))
-            base += np.bincount(doc[some], log_unigram[w[some]], minlength=len(runs))
-            n_known += np.bincount(doc[some], seen[w[some]], minlength=len(runs))
-            heads += np.bincount(doc[some], v[some] == first - 1, minlength=len(runs))
+        totals = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            tri, at = kept if len(cuts) == 2 else block(a, b)
+            runs = np.concatenate(all_runs[a:b])
+            doc = np.repeat(np.arange(len(runs)), runs)
+            log_p = np.concatenate([trie.log_p(*tri[:, i : i + (1 << 18)]) for i in range(0, tri.shape[1], 1 << 18)])
+            add_up = lambda x: np.bincount(doc, x[at], minlength=len(runs))  # noqa: B023, E731
+            totals.append(np.stack([add_up(seen[tri[2]]), add_up(tri[1] == first - 2), add_up(log_unigram[tri[2]]), add_up(log_p)]))
+        n_known, heads, base, score = np.concatenate(totals, axis=1)
+        runs, held = np.concatenate(all_runs), np.concatenate(all_held)
         ids, tags = part.column("ids").combine_chunks().flatten(), part.column("tags").combine_chunks().flatten()
         bucket = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 79) % np.uint64(shards)
         order = np.argsort(bucket, kind="stable")
@@ -333,6 +381,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
         summed = pa.table(columns, list(sums)).group_by(["ids", "tags"]).aggregate([("held", "max"), *((c, "sum") for c in list(sums)[3:])])
         return pa.table([summed.column(c) for c in ("ids", "held_max", "n_sum", "known_sum", "rows_sum", "base_sum", "score_sum")], ["_id", "held", "n", "known", "rows", "base", "score"])
 
+    kinds = [pa.int32(), *(pa.list_(k) for k in (pa.int64(), *[pa.int32()] * 5, pa.float64(), pa.float64()))]
     sums = {"ids": "long", "tags": "int", "held": "int", "n": "int", "known": "int", "rows": "int", "base": "double", "score": "double"}
     asked = rows.select("_text", "_held").mapInArrow(ask, "v long, w long, shard int, c long, parts long")
     asked = staged(asked.groupBy("v", "w", "shard").agg(F.sum("c").alias("c"), F.bit_or("parts").alias("parts")), "asked")
@@ -344,7 +393,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     answers = shared.groupBy("shard").cogroup(given.groupBy("shard")).applyInArrow(answer, "bucket int, " + ", ".join(f"{c} array<{kind}>" for c, kind in sums.items()))
     whole = answers.groupBy("bucket").applyInArrow(add, "_id long, held int, n long, known long, rows long, base double, score double")
     count = F.col("rows")
-    return whole.select(
+    return whole.withColumn("_each", F.explode(F.sequence(F.lit(1), count))).select(
         F.col("_id").alias(id_col),
         (F.col("held") > 0).alias("held_out"),
         (F.col("n") / count).cast("long").alias("n_tokens"),
