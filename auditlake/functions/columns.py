@@ -68,8 +68,10 @@ def shorten(text: Column, width: int = 58) -> Column:
 
 
 def mask_tokens(text: Column) -> Column:
-    """F16: tokens with a slash or a bracket are names, not layout."""
-    return F.regexp_replace(F.regexp_replace(text, r"[^ |]*/[^ |]*", "<path>"), r"\[[^\]]*\]", "[]")
+    """F16: words with a slash or backslash, and words with a numbered index, are names, not layout: the whole word goes."""
+    words = F.regexp_extract_all(text, F.lit(r"\S+|\s+"), F.lit(0))
+    named = lambda w: w.contains("/") | w.contains("\\") | w.rlike(r".\[[0-9]+\]")
+    return F.array_join(F.transform(words, lambda w: F.when(named(w), "<name>").otherwise(w)), "")
 
 
 def porcelain_path(line: Column) -> Column:
@@ -154,3 +156,27 @@ def ip_spec(name: Column) -> Column:
     """depth x width of a memory named after its shape, else null."""
     pattern = r"^blk_mem_gen_(\d+)x(\d+)$"
     return F.when(name.rlike(pattern), F.regexp_replace(name, pattern, "$1x$2"))
+
+
+def has_prefix(rule: Column, prefixes: list[str]) -> Column:
+    """An id that starts with any of the prefixes."""
+    return F.greatest(F.lit(False), *(F.startswith(rule, F.lit(p)) for p in prefixes))
+
+
+#: Operating systems and the versions of them that the tools support.
+SUPPORTED_OS = {"rhel": ["8", "9"], "centos": ["8", "9"], "rocky": ["8", "9"], "almalinux": ["8", "9"], "ubuntu": ["20.04", "22.04"], "sles": ["15"], "opensuse-leap": ["15"]}
+
+
+def os_supported(identifier: Column, version: Column) -> Column:
+    """A supported version or a minor one of it; an unknown system is not, and no name is not known."""
+    name, number = F.lower(F.coalesce(identifier, F.lit(""))), F.coalesce(version, F.lit(""))
+    fits = lambda v: (number == v) | F.startswith(number, F.lit(v + "."))
+    known = F.coalesce(*(F.when(name == n, F.greatest(F.lit(False), *map(fits, versions))) for n, versions in SUPPORTED_OS.items()))
+    return F.when(name != "", F.coalesce(known, F.lit(False)))
+
+
+def project_path(raw: Column, project: Column) -> Column:
+    """a path of a project file, its two variables replaced, relative to the project's folder."""
+    folder = F.regexp_replace(project, "/[^/]*$", "")
+    expanded = F.replace(F.replace(raw, F.lit("$PSRCDIR"), F.concat(folder, F.lit("/"), stem(project), F.lit(".srcs"))), F.lit("$PPRDIR"), folder)
+    return resolve_path(expanded, project)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditlake.functions.columns import glob_regex
+from auditlake.functions.columns import fold_path, glob_regex, resolve_path
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -41,38 +41,24 @@ def manifest_diff(previous: DataFrame, current: DataFrame, key: str, digest: str
     return a.join(b, key, "full_outer").select(key, change.alias("change")).where("change IS NOT NULL")
 
 
-def apply_waivers(findings: DataFrame, waivers: DataFrame, unique: str) -> DataFrame:
+def apply_waivers(findings: DataFrame, waivers: DataFrame) -> DataFrame:
     """Findings with waived and expired flags; waived ones block nothing.
 
-    findings: unique, id, attrs MAP<STRING,STRING>, digest, blocks_bringup, blocks_signoff. waivers: ord, id,
+    Waivers are few: they are grouped by id first, so findings go through one join, small enough to be broadcast by
+    the optimiser's own check, and are neither grouped nor shuffled again.
+
+    findings: id, attrs MAP<STRING,STRING>, digest, blocks_bringup, blocks_signoff. waivers: ord, id,
     match MAP<STRING,STRING>, evidence_digest (null binds to nothing). A waiver matches where each of its
-    pairs equals the finding's as text, an absent key being the empty text. The first in order whose
-    digest still holds wins; if all that match have lost it, the finding is not waived but expired.
+    pairs equals the finding's as text, an absent key being the empty text. One whose
+    digest still holds waives; if all that match have lost it, the finding is not waived but expired.
     """
-    w = waivers.select(F.col("ord"), F.col("id").alias("w_id"), "match", "evidence_digest")
-    fits = F.forall(F.map_entries("match"), lambda e: F.coalesce(F.try_element_at(F.col("attrs"), e["key"]), F.lit("")) == e["value"])
-    met = findings.join(w, (F.col("id") == F.col("w_id")) & fits)
-    holds = F.col("evidence_digest").isNull() | (F.col("evidence_digest") == F.col("digest"))
-    hits = met.groupBy(unique).agg(F.min(F.when(holds, F.col("ord"))).alias("waiver_ord"), F.count_if(~holds).alias("n_expired"))
-    out = findings.join(hits, unique, "left")
-    waived = F.col("waiver_ord").isNotNull()
-    return out.withColumns(
-        {
-            "waived": waived,
-            "expired": ~waived & (F.coalesce("n_expired", F.lit(0)) > 0),
-            "blocks_bringup": F.col("blocks_bringup") & ~waived,
-            "blocks_signoff": F.col("blocks_signoff") & ~waived,
-        }
-    ).drop("waiver_ord", "n_expired")
-
-
-def classify(text: Column, rules: Sequence[tuple[str, Column | str]]) -> Column:
-    """The first class in order whose condition holds (a text means: contains it), else null."""
-    out = None
-    for name, rule in rules:
-        condition = F.contains(text, F.lit(rule)) if isinstance(rule, str) else rule
-        out = F.when(condition, name) if out is None else out.when(condition, name)
-    return F.lit(None).cast("string") if out is None else out
+    rules = waivers.groupBy("id").agg(F.collect_list(F.struct("match", "evidence_digest")).alias("_rules"))
+    out = findings.join(rules, "id", "left")
+    fits = lambda r: F.forall(F.map_entries(r["match"]), lambda e: F.coalesce(F.try_element_at(F.col("attrs"), e["key"]), F.lit("")) == e["value"])
+    holds = lambda r: F.coalesce(r["evidence_digest"] == F.col("digest"), r["evidence_digest"].isNull())
+    met = F.filter(F.coalesce("_rules", F.array()), fits)
+    out = out.withColumns({"waived": F.exists(met, holds), "expired": ~F.exists(met, holds) & (F.size(met) > 0)})
+    return out.withColumns({"blocks_bringup": F.col("blocks_bringup") & ~F.col("waived"), "blocks_signoff": F.col("blocks_signoff") & ~F.col("waived")}).drop("_rules")
 
 
 def coverage(expected: DataFrame, reports: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,6 +89,13 @@ def drill_down(spans: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     return near.select(key, "line_start", "line_end", "ln", "value")
 
 
+def violating(paths: DataFrame, keys: list[str], most: int = 50) -> DataFrame:
+    """(keys, endpoints): the first names, in order, of destinations of negative slack."""
+    bad = paths.where("slack_ns < 0 AND destination <> ''").select(*keys, "destination").distinct()
+    first = bad.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("destination"))).where(F.col("_place") <= most)
+    return first.groupBy(*keys).agg(F.sort_array(F.collect_list("destination")).alias("endpoints"))
+
+
 def set_changes(rows: DataFrame, current: str, previous: str) -> DataFrame:
     """What is new and what is gone between two arrays; no previous array, no change."""
     a, b = F.col(current), F.coalesce(F.col(previous), F.col(current))
@@ -120,3 +113,22 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     """The first row of each key by a stated order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def dirty_inputs(inputs: DataFrame, dirty: DataFrame, root: str) -> DataFrame:
+    """Input files (path) that the repository under root calls changed (path, relative to it)."""
+    places = dirty.select(resolve_path(F.col("path"), F.lit(root.rstrip("/") + "/")).alias("_at")).distinct()
+    return inputs.withColumn("_at", fold_path(F.col("path"))).join(places, "_at", "left_semi").drop("_at")
+
+
+def produced(specs: DataFrame, made: DataFrame) -> DataFrame:
+    """Every asked-for spec with what became of it: missing, no output, or made."""
+    have = made.groupBy("spec").agg(F.bool_or("has_output").alias("_out"))
+    state = F.when(F.col("_out").isNull(), "missing").when(~F.col("_out"), "no output").otherwise("made")
+    return specs.select("spec").distinct().join(have, "spec", "left").select("spec", state.alias("state"))
+
+
+def specs_of(lines: DataFrame) -> DataFrame:
+    """(spec, bad): DEPTHxWIDTH lines, each once; a line that is none is bad."""
+    text = lines.select(F.lower(F.trim("value")).alias("spec")).where("spec <> '' AND NOT startswith(spec, '#')")
+    return text.distinct().withColumn("bad", ~F.col("spec").rlike(r"^\d+x\d+$"))

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.columns import severity_of, severity_rank
+from auditlake.operators.rollups import bounded_examples
+from auditlake.sources.reports import clocks, constraints_met, design_summary
+from auditlake.sources.tables import check_items, timing_paths
 
 #: Thresholds, rule ids and class grades (blocks bring-up, blocks sign-off) of the catalogue.
 THRESHOLDS = {
@@ -159,17 +162,23 @@ def cdc_rules() -> list[Rule]:
     ]
 
 
-def clock_facts(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs without a safe relation; a pair that is unsafe is not counted as partly false too."""
+def clock_facts(pairs: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
+    """Pairs (with pos) without a safe relation, their count and the first labels; an unsafe pair is not counted as partly false too."""
     text = F.lower("classification")
     unsafe = F.contains(text, F.lit("unsafe")) | F.contains(text, F.lit("no common"))
-    return pairs.groupBy(*keys).agg(F.count_if(unsafe).alias("n_unsafe"), F.count_if(~unsafe & F.contains(text, F.lit("partial false path"))).alias("n_partial"))
+    kind = F.when(unsafe, "unsafe").when(F.contains(text, F.lit("partial false path")), "partial")
+    rows = pairs.select(*keys, "pos", kind.alias("kind"), F.concat_ws(" -> ", "source_clock", "destination_clock").alias("label"))
+    first = bounded_examples(rows.where("kind IS NOT NULL"), [*keys, "kind"], F.col("pos"), F.col("label"), most)
+    counts = rows.groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("n"))
+    each = counts.join(first, [*keys, "kind"], "left").groupBy(*keys)
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    return each.agg(*(F.coalesce(of(k, "n"), F.lit(0)).alias(f"n_{k}") for k in ("unsafe", "partial")), *(of(k, "examples").alias(f"{k}_pairs") for k in ("unsafe", "partial")))
 
 
 def clock_rules() -> list[Rule]:
     return [
-        Rule("CLK.NO_COMMON_CLOCK", F.col("n_unsafe") > 0, True, True, evidence=("n_unsafe",)),
-        Rule("CLK.PARTIAL_FALSE_PATH", F.col("n_partial") > 0, False, True, evidence=("n_partial",)),
+        Rule("CLK.NO_COMMON_CLOCK", F.col("n_unsafe") > 0, True, True, evidence=("n_unsafe", "unsafe_pairs")),
+        Rule("CLK.PARTIAL_FALSE_PATH", F.col("n_partial") > 0, False, True, evidence=("n_partial", "partial_pairs")),
     ]
 
 
@@ -239,6 +248,43 @@ def worst_first(findings: DataFrame) -> DataFrame:
     return findings.orderBy(severity_rank(F.col("severity")), "id", "evidence")
 
 
+def group_rules(found: DataFrame, keys: list[str]) -> DataFrame:
+    """A5: violations by rule: how many, and severity, title and detail (400 characters) of the first."""
+    first = F.min_by(F.struct("severity", "title", F.left("detail", F.lit(400)).alias("detail")), "pos")
+    return found.groupBy(*keys, "rule").agg(F.count(F.lit(1)).alias("n"), first.alias("f")).select(*keys, "rule", "n", "f.*")
+
+
+def clock_period(paths: DataFrame, clocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Requirement of the first setup path that has one, else the shortest period; zero is none."""
+    asked = (F.col("delay_kind") == "max") & (F.col("requirement_ns") != 0)
+    a = paths.groupBy(*keys).agg(F.min_by("requirement_ns", F.when(asked, F.col("pos"))).alias("_a"))
+    b = clocks.groupBy(*keys).agg(F.min(F.when(F.col("period_ns") != 0, F.col("period_ns"))).alias("_b"))
+    return a.join(b, keys, "full_outer").select(*keys, F.coalesce("_a", "_b").alias("period"))
+
+
+def worst_setup(paths: DataFrame, keys: list[str]) -> DataFrame:
+    """The setup path of least slack of each run; the first of equals."""
+    rows = paths.where("delay_kind = 'max' AND slack_ns IS NOT NULL")
+    return rows.groupBy(*keys).agg(F.min_by(F.struct("route_pct", "logic_levels"), F.struct("slack_ns", "pos")).alias("w")).select(*keys, "w.*")
+
+
+def timing_facts(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of facts per timing report, of summary, checks, clocks and paths (see timing_rules); a report without summary has none."""
+    paths, items = timing_paths(lines, keys), check_items(lines, keys)
+    columns = ("wns", "whs", "wpws", "tns_total_endpoints")
+    of = lambda c, v, names: [F.max(F.when(F.col(c) == n, F.col(v))).alias(n) for n in names]
+    summary = design_summary(lines, keys).groupBy(*keys).agg(*of("name", "number", columns))
+    checks = items.groupBy(*keys).agg(*of("name", "n", ("no_clock", "loops", "latch_loops")), F.max(F.when(F.col("name") == "unconstrained_internal_endpoints", F.col("n"))).alias("unconstrained"), F.sum(F.when(F.col("name").isin("no_input_delay", "no_output_delay"), F.col("n"))).alias("no_io_delay"))
+    out = summary.join(checks, keys, "left").join(clock_period(paths, clocks(lines, keys), keys), keys, "left")
+    return out.join(worst_setup(paths, keys), keys, "left").join(constraints_met(lines, keys), keys, "left")
+
+
+def log_facts(classes: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """J10 inputs: a row per class (A4) and one with the number of error messages."""
+    errors = found.where("severity = 'ERROR'").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_error"))
+    return classes.select(*keys, "risk_class", "n", F.lit(0).cast("long").alias("n_error")).unionByName(errors.select(*keys, F.lit(None).cast("string").alias("risk_class"), F.lit(0).cast("long").alias("n"), "n_error"))
+
+
 def checklist_status(ran: Column, open_: Column, waived: Column) -> Column:
     """V3: not checked comes before everything else."""
     return F.when(~F.coalesce(ran, F.lit(False)), "NOT CHECKED").when(open_ > 0, "FAIL").when(waived > 0, "WAIVED").otherwise("PASS")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditlake.functions.columns import mask_tokens, normalise_column, severity_of, to_float, to_int
 from auditlake.operators import joins as J
 from auditlake.operators import rollups as R
+from auditlake.operators.scratch import written
 from auditlake.plans import rules as P
 from auditlake.sources import logs
 
@@ -106,11 +107,11 @@ def reconcile_both_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.reconcile(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def missing_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J2-J4."""
+    """Customers without an urgent order."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return J.missing_refs(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return J.missing_refs(c, table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("""WITH u AS (SELECT DISTINCT l_partkey AS k FROM lineitem)
@@ -174,14 +175,14 @@ def waiver_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     findings = table(spark, sf_dir, "events").select("event_id", kind.alias("id"), F.create_map(F.lit("user"), (F.col("user_id") % 10).cast("string")).alias("attrs"), F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd").alias("digest"), (kind == "error").alias("blocks_bringup"), kind.isin("error", "purchase").alias("blocks_signoff"))
     waivers = spark.createDataFrame(_WAIVERS, "ord int, id string, match map<string,string>, evidence_digest string")
-    return J.apply_waivers(findings, waivers, "event_id").select("event_id", "waived", "expired", "blocks_bringup", "blocks_signoff")
+    return J.apply_waivers(findings, waivers).select("event_id", "waived", "expired", "blocks_bringup", "blocks_signoff")
 
 
 @query("SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY source, doc_id) AS rn FROM documents) WHERE rn = 1")
 def first_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W6."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "text")
-    return J.first_wins(docs, ["text"], [F.col("source"), F.col("doc_id")]).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.sha2("text", 256).alias("key"))
+    return J.first_wins(docs, ["key"], [F.col("source"), F.col("doc_id")]).drop("key")
 
 
 @query("SELECT sha256(text) AS key, array_to_string(list_transform(list(doc_id ORDER BY doc_id), lambda x: x::VARCHAR), ',') AS owners FROM documents GROUP BY text HAVING count(*) > 1")
@@ -316,10 +317,13 @@ def html_tag_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("tag").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("uses"))
 
 
-@query(r"""SELECT page_id, regexp_replace(regexp_replace(url, '[^ |]*/[^ |]*', '<path>', 'g'), '\[[^\]]*\]', '[]', 'g') AS masked FROM pages""")
+@query(r"""WITH l AS (SELECT page_id, 'cell ' || url || ' at bus_' || page_id || '[' || (page_id % 8) || ']/q and  reg[' || page_id || ']_x |  [3] C:\\work\\' || page_id || ' ok[a]' AS line FROM pages)
+    SELECT page_id, regexp_replace(regexp_replace(line, '\S*[/\\]\S*', '<name>', 'g'), '\S+\[\d+\]\S*', '<name>', 'g') AS masked FROM l""")
 def mask_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16."""
-    return table(spark, sf_dir, "pages").select("page_id", mask_tokens(F.col("url")).alias("masked"))
+    page = F.col("page_id").cast("string")
+    line = F.concat(F.lit("cell "), F.col("url"), F.lit(" at bus_"), page, F.lit("["), (F.col("page_id") % 8).cast("string"), F.lit("]/q and  reg["), page, F.lit("]_x |  [3] C:\\work\\"), page, F.lit(" ok[a]"))
+    return table(spark, sf_dir, "pages").select("page_id", mask_tokens(line).alias("masked"))
 
 
 @query("""SELECT c.conv_id, s.line_start, s.line_end, sha256(string_agg(c.text, chr(10) ORDER BY c.turn)) AS block FROM conversations c
@@ -366,16 +370,19 @@ def scalar_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(F.broadcast(lines)).select("o_orderstatus", F.round(R.share(F.col("a"), F.col("b")), 6).alias("ratio"), F.round(R.share(F.col("n"), F.col("lines")), 6).alias("per_line"))
 
 
-@query("""WITH RECURSIVE up(k, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_size = 50 UNION ALL SELECT k, node // 2, depth + 1 FROM up WHERE node > 0 AND depth < 16)
+@query("""WITH RECURSIVE up(k, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT k, node // 2, depth + 1 FROM up WHERE node > 0 AND depth < 16)
     SELECT node AS p_partkey, min(depth)::INTEGER AS depth, count(*)::BIGINT AS reached FROM up GROUP BY 1""")
 def recursive_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested lists to depth 16, each followed to its parents. Rows that meet are counted and go on
-    as one, so a round never has more rows than there are keys."""
-    level = table(spark, sf_dir, "part").where("p_size = 50").groupBy(F.col("p_partkey").alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    out = level.withColumn("depth", F.lit(0))
+    """H2: every part's chain of parents to depth 16. Rows that meet are counted and go on as one, so a
+    round never has more rows than there are keys; each level is written, and the rounds end with it."""
+    level = written(table(spark, sf_dir, "part").groupBy(F.col("p_partkey").alias("at")).agg(F.count(F.lit(1)).alias("n")).withColumn("depth", F.lit(0)), "level")
+    out = level
     for depth in range(1, 17):
         level = level.where("at > 0").groupBy(F.floor(F.col("at") / 2).alias("at")).agg(F.sum("n").alias("n"))
-        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
+        level = written(level.withColumn("depth", F.lit(depth)), "level")
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
     return out.groupBy(F.col("at").alias("p_partkey")).agg(F.min("depth").alias("depth"), F.sum("n").alias("reached"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from auditlake.operators.rollups import bounded_examples
 
@@ -61,3 +62,25 @@ def summarise_messages(found: DataFrame, keys: list[str], order: list[str]) -> D
 def severity_counts(found: DataFrame, keys: list[str]) -> DataFrame:
     """A2: a column per severity, zero where there is none."""
     return found.groupBy(*keys).agg(*(F.count_if(F.col("severity") == s).alias(s.lower().replace(" ", "_")) for s in SEVERITIES))
+
+
+def in_report_order(summary: DataFrame, keys: list[str]) -> DataFrame:
+    """O3: place of each message in its log: worst severity first, then count, then id."""
+    w = Window.partitionBy(*keys).orderBy(severity_order(F.col("severity")).desc(), F.desc("n"), "id")
+    return summary.withColumn("place", F.row_number().over(w))
+
+
+def by_class(summary: DataFrame, keys: list[str], examples: int = 3) -> DataFrame:
+    """A4: messages by curated class: counts, worst severity, ids and first examples in report order.
+
+    There are as many ids as the tool has messages of a class, whatever the length of the logs.
+    """
+    rows = in_report_order(summary.where("risk_class IS NOT NULL"), keys)
+    ordered = F.array_sort(F.collect_list(F.struct("place", "id", "examples")))
+    found = rows.groupBy(*keys, "risk_class").agg(F.sum("n").alias("n"), F.max_by("severity", severity_order(F.col("severity"))).alias("severity"), ordered.alias("m"))
+    return found.select(*keys, "risk_class", "n", "severity", F.transform("m", lambda x: x["id"]).alias("ids"), F.slice(F.flatten(F.transform("m", lambda x: x["examples"])), 1, examples).alias("examples"))
+
+
+def unreadable(expected: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """Logs that were asked for and could not be read; they are listed, never taken for clean."""
+    return expected.join(files.where("text IS NOT NULL").select(*keys), keys, "left_anti").withColumn("reason", F.lit("file not found"))

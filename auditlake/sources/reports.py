@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditlake.functions.columns import normalise_column, to_float, to_float_timing, to_int
+from auditlake.functions.columns import mask_tokens, normalise_column, to_float, to_float_timing, to_int
 from auditlake.operators.joins import first_wins
 from auditlake.operators.rollups import islands
 from auditlake.sources.tables import cell, column_spans, first_table, pipe_rows, table_rows
@@ -70,7 +70,7 @@ def clock_pairs(lines: DataFrame, keys: list[str]) -> DataFrame:
     rows = first_table(table_rows(lines, keys), keys, ["source_clock", "destination_clock"])
     text = lambda name: F.trim(F.coalesce(cell(name), F.lit(""))).alias(name)
     kind = F.trim(F.coalesce(*map(cell, CLASSIFICATIONS), F.lit(""))).alias("classification")
-    return rows.select(*keys, *map(text, ("source_clock", "destination_clock")), kind, *map(text, ("common_primary_clock", "inter_clock_constraints"))).where("source_clock <> '' AND destination_clock <> ''")
+    return rows.select(*keys, F.col("row_no").alias("pos"), *map(text, ("source_clock", "destination_clock")), kind, *map(text, ("common_primary_clock", "inter_clock_constraints"))).where("source_clock <> '' AND destination_clock <> ''")
 
 
 def _number_beside(lines: DataFrame, rows: DataFrame, keys: list[str], pattern: str, label: str, name: str) -> DataFrame:
@@ -152,3 +152,18 @@ def constraints_met(lines: DataFrame, keys: list[str]) -> DataFrame:
 def expected_reports(runs: DataFrame, kinds: list[str]) -> DataFrame:
     """Every kind of report for every run; the kinds are a fixed list, so this is no growing product."""
     return runs.select("*", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+
+
+#: Lines that describe a report's layout: borders, rows, rulers, numbered titles, counts, heads and column names.
+LAYOUT = [
+    r"^\s*\+[-+]+\+\s*$", r"^\s*\|.*\|\s*$", r"^\s*-{2,}(\s+-{2,})+\s*$", r"^\s*\d+(\.\d+)*\.\s+\S",
+    r"^\s*Violations found:", r"^[A-Z][A-Z0-9_]*-\d+#\d+\s+", r"^\s*(Severity|Rule|Site Type|Source Clock|Clock)\b",
+]
+
+
+def fingerprint(lines: DataFrame, keys: list[str], most: int = 40, width: int = 160) -> DataFrame:
+    """(keys, place, shape): the first layout lines of a file, names masked, for a report that no parser knows."""
+    shape = F.left(mask_tokens(F.rtrim("value")), F.lit(width))
+    kept = lines.where(F.greatest(*(F.col("value").rlike(p) for p in LAYOUT))).select(*keys, "ln", shape.alias("shape"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("ln"))
+    return kept.withColumn("place", place).where(F.col("place") <= most).select(*keys, "place", "shape")

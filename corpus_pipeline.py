@@ -34,21 +34,29 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each linked group the document with the smallest doc_id stays; rows without id all do."""
+    """Of each linked group the document with the smallest doc_id stays; rows without id all do. Rows that
+    share an id but not their text are one document and stay or go together; of equal ones one stays."""
     groups = jaccard_groups(docs)
     standing = groups.where("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.where("doc_id IS NOT NULL").join(standing, "doc_id", "left_semi").withColumn("_place", F.row_number().over(once)).where("_place = 1")
+    kept = docs.where("doc_id IS NOT NULL").join(standing, "doc_id", "left_semi")
+    same = Window.partitionBy("doc_id", F.md5(text_of("text"))).orderBy(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))
+    kept = kept.withColumn("_place", F.row_number().over(same)).where("_place = 1")
     return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
+#: A passage of 50 words and more: so many bytes of one that starts elsewhere too.
+PASSAGE_BYTES = 200
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 400-byte strings that start elsewhere too go."""
-    return _with_text(docs, suffix_dedup(docs, length=400))
+    """Bytes of PASSAGE_BYTES-byte strings that start elsewhere too go."""
+    return _with_text(docs, suffix_dedup(docs, length=PASSAGE_BYTES))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 words and ends, no two documents of one source or one text in any."""
+    """Sequences of 2048 words and ends, no two documents of one source or one text in any. The group of near
+    copies is the text itself here: of every linked group one document is left. A text that lines or passages
+    emptied is its end alone."""
     words = F.regexp_count(text_of("text"), F.lit(r"[^\x20\x09-\x0D]+"))
     return pack_documents(docs, words + 1, F.col("source"), F.xxhash64(ascii_lower(text_of("text"))), capacity=2048)
 
