@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.operators.scratch import written
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = " \t\n\x0b\x0c\r"
 MAX_LONG = (1 << 63) - 1
@@ -22,26 +22,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
-        kept = context._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            root = kept.get()
-        else:
-            root = tempfile.mkdtemp(prefix="spark-scratch-")
-            spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write df to a table in the shared scratch folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A table written between the steps of an operator."""
+    return written(df, label, codec)
 
 
 def without(docs: DataFrame, *names: str) -> DataFrame:
@@ -163,14 +146,28 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Bytes of text whose words are hashed at a time, but for a longer text.
+HASH_BYTES = 1 << 18
+
+
+def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all rows, row after row, and where each row's begin, with the end."""
+    batch = pa.RecordBatch.from_arrays([column], ["text"])
+    words, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for part in slices(iter([batch]), "text", HASH_BYTES):
+        raw, starts, ends, first = word_table(part.column(0))
+        words.append(span_hashes(raw, starts, ends))
+        counts.append(np.diff(first))
+    return np.concatenate(words), np.cumsum(np.concatenate(counts))
+
+
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64), 11) | np.uint64(1)
 
 
 def shingle_table(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit hashes of each row's width-word shingles, row after row, and where each row's
     begin, with the end; fewer words: one hash for the whole sequence; none: no hash."""
-    raw, starts, ends, first = word_table(column)
-    words = span_hashes(raw, starts, ends)
+    words, first = hashed_words(column)
     counts = np.diff(first)
     base = np.r_[0, np.cumsum(np.where(counts, np.maximum(1, counts - width + 1), 0))]
     out = np.empty(base[-1], np.uint64)

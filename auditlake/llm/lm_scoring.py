@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import mix, slices, span_hashes, staged, word_table
+from auditlake.llm.common import hashed_words, mix, slices, staged
 from auditlake.llm.elias_fano import Level, mapped
 
 #: Words that are symbols, whose counts go to every task (the broadcast's bound); tokens of a shard, and of a part
@@ -70,8 +70,7 @@ class Symbols:
 def _vocabulary(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            words = span_hashes(*word_table(batch.column(0))[:3])
-            token, n = np.unique(np.r_[words, np.repeat(_END, batch.num_rows)], return_counts=True)
+            token, n = np.unique(np.r_[hashed_words(batch.column(0))[0], np.repeat(_END, batch.num_rows)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], ["token", "c"])
 
     return staged(rows.select("_text").mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "vocabulary")
@@ -106,13 +105,13 @@ def _shard(v: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
 
 def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words and ends with two before each text; places of the words themselves; the text of each."""
-    raw, starts, ends, first = word_table(column)
+    words, first = hashed_words(column)
     counts = np.diff(first)
     rows = np.arange(len(counts))
     heads = first[:-1] + 3 * rows
-    padded = np.empty(len(starts) + 3 * len(counts), np.uint64)
+    padded = np.empty(len(words) + 3 * len(counts), np.uint64)
     padded[heads], padded[heads + 1], padded[heads + counts + 2] = *_BEFORE, _END[0]
-    padded[np.arange(len(starts)) + np.repeat(3 * rows + 2, counts)] = span_hashes(raw, starts, ends)
+    padded[np.arange(len(words)) + np.repeat(3 * rows + 2, counts)] = words
     keep = np.ones(len(padded), bool)
     keep[heads] = keep[heads + 1] = False
     return padded, np.flatnonzero(keep), np.repeat(rows, counts + 1)
@@ -162,20 +161,25 @@ class Trie:
         self.bound = bound
 
     def log_p(self, cls: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 p of distinct trigrams in order of cls, u, w; each class, context and pair is looked up once."""
+        first = lambda x: np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+        heads = first(cls)
+        own = cls[heads]
+        at = np.where(own < self.bound, self.classes.find(np.zeros(len(own), np.int64), np.minimum(own, self.bound - 1)), -1)
+        parent = np.repeat(at, np.diff(np.r_[heads, len(cls)]))
+        some = np.flatnonzero(parent >= 0)
         out = self.log_unigram[w].copy()
-        at = np.where(cls < self.bound, self.classes.find(np.zeros(len(cls), np.int64), np.minimum(cls, self.bound - 1)), -1)
-        some = np.flatnonzero(at >= 0)
-        if not len(some):
-            return out
-        parent = at[some]
-        pair = self.pairs.find(parent, w[some])
-        seen = pair >= 0
-        part = out[some]
-        part[seen] = self.pairs.value(0, pair[seen])
-        part[~seen] += self.classes.value(0, parent[~seen])
-        context = self.contexts.find(parent, u[some])
+        parent, u, w = parent[some], u[some], w[some]
+        width = np.uint64(len(self.log_unigram))
+        pairs, of = np.unique(parent.astype(np.uint64) * width + w.astype(np.uint64), return_inverse=True)
+        above, below = (pairs // width).astype(np.int64), (pairs % width).astype(np.int64)
+        pair = self.pairs.find(above, below)
+        short = np.where(pair >= 0, self.pairs.value(0, np.maximum(pair, 0)) if self.pairs.keys.n else 0.0, self.log_unigram[below] + self.classes.value(0, above))
+        heads = first(parent.astype(np.uint64) * width + u.astype(np.uint64))
+        context = np.repeat(self.contexts.find(parent[heads], u[heads]), np.diff(np.r_[heads, len(u)]))
+        part = short[of]
         known = np.flatnonzero(context >= 0)
-        triple = self.triples.find(context[known], w[some[known]])
+        triple = self.triples.find(context[known], w[known])
         full = triple >= 0
         part[known[full]] = self.triples.value(0, triple[full])
         part[known[~full]] += self.contexts.value(0, context[known[~full]])
@@ -225,7 +229,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
         groups of parts of which a word has 64 at most; other words w with their shard."""
         known = sent.value
         parts_of = np.r_[known.parts, 1]
-        for batch in slices(batches, "_text", 8 << 20):
+        for batch in slices(batches, "_text"):
             padded, at, doc = _trigrams(batch.column(0))
             number = known.number(padded, np.zeros(0, np.uint64))
             number[np.isin(padded, _BEFORE)] = len(known.hashes)
@@ -269,7 +273,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         parts_of = known.parts
-        for batch in slices(batches, "_text", 8 << 20):
+        for batch in slices(batches, "_text"):
             padded, at, doc = _trigrams(batch.column(2))
             number, names = known.split(padded)
             v = number[at - 1]

@@ -19,7 +19,8 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import Split
 
 from auditlake.llm.bpe import SliceCoder, load, printable
-from auditlake.llm.common import binaries, scratch_root, slices, staged
+from auditlake.llm.common import binaries, slices, staged
+from auditlake.operators.scratch import scratch_root
 
 #: Longest code in bits, ids between two bit-offset checkpoints, ids of a block at most.
 MAX_BITS, CHECKPOINT_IDS, BLOCK_IDS = 16, 512, 1 << 18

@@ -232,7 +232,7 @@ def test_lm_repeats_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("own")).repartition(3)
     got = collected(lm_score(docs, F.lit(False)))
     assert sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"]) for r in got) == [(0, 4, 4), (1, 4, 4), (1, 4, 4), (2, 1, 1), (2, 3, 3), (3, 3001, 3001)]
-    assert len({r["score"] for r in got if r["n_tokens"] == 4}) == 1
+    assert len({round(r["score"], 6) for r in got if r["n_tokens"] == 4}) == 1
 
 
 def test_elias_fano_successor():
