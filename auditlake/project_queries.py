@@ -77,7 +77,7 @@ _EDGES = """u AS (SELECT DISTINCT '/s/o' || l_orderkey || '.v' AS path, 'm' || 8
 
 def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lit = F.lit
-    use = F.concat(lit("  m"), (8 * F.col("l_partkey")).cast("string"), F.when(F.col("pos") % 3 == 0, " #(.W(3), .F(f(1)))\n    ").when(F.col("pos") % 3 == 1, " ").otherwise(" #( .D ( 2 ) ) "), lit("u"), text_of("pos"), F.when(F.col("pos") % 2 == 0, " [3:0] (.a(x));").otherwise("(.a(x));"))
+    use = F.concat(lit("  m"), (8 * F.col("l_partkey")).cast("string"), F.when(F.col("pos") % 3 == 0, " #(\n    .W(3), .F(f(1))) ").when(F.col("pos") % 3 == 1, " ").otherwise(" #( .D ( 2 ) ) "), lit("u"), text_of("pos"), F.when(F.col("pos") % 2 == 0, " [3:0] (.a(x));").otherwise("(.a(x));"))
     noise = lit("\n  // gone g (\n  /* also\n  h u (1); */\n  if (x) y = z(1);\n  assign q = r (2);\n")
     found = texts(order_lines(spark, sf_dir), RUN, F.concat(use, noise), F.concat(lit("// head\nmodule m"), text_of("l_orderkey"), lit(" (input a);\n")), "endmodule\n")
     return found.select(*RUN, F.concat(lit("/s/o"), text_of("l_orderkey"), lit(".v")).alias("path"), "text")
