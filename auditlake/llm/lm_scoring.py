@@ -14,8 +14,8 @@ from auditlake.llm.common import hashed_words, mix, slices, staged
 from auditlake.llm.elias_fano import Level, mapped
 
 #: Words that are symbols, whose counts go to every task (the broadcast's bound); tokens of a shard, and of a part
-#: of a word that has more (of all tokens / SYMBOLS where that is more); prior weights of bigrams and trigrams.
-SYMBOLS, SHARD_TOKENS, PRIOR_2, PRIOR_3 = 1 << 19, 1 << 20, 1000.0, 1.0
+#: of a word that has more (of all tokens / SYMBOLS where that is more); blocks of a shard; prior weights of bigrams and trigrams.
+SYMBOLS, SHARD_TOKENS, BLOCKS, PRIOR_2, PRIOR_3 = 1 << 19, 1 << 21, 4, 1000.0, 1.0
 _END = mix(np.array([1], np.uint64), 900)
 _BEFORE = mix(np.array([2, 3], np.uint64), 900)
 
@@ -273,7 +273,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         parts_of = known.parts
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", 8 << 20):
             padded, at, doc = _trigrams(batch.column(2))
             number, names = known.split(padded)
             v = number[at - 1]
@@ -299,7 +299,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     def answer(key: tuple, part: pa.Table, given: pa.Table) -> pa.Table:
         known = sent.value
         if not part.num_rows:
-            return pa.table([pa.array([], k) for k in kinds], ["bucket", *sums])
+            return pa.table([pa.array([], k) for k in (pa.int32(), pa.int64(), pa.binary())], list(sums))
         first, parts_of = known.others, known.parts
         class_of = np.r_[0, np.cumsum(parts_of)]  # of the symbols; every other word has one class
         own = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in part.column("names")]
@@ -309,7 +309,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
         all_runs = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in part.column("runs")]
         all_held = [x.values.to_numpy(zero_copy_only=False) for x in part.column("held")]
         sizes = part.column("n").to_pylist()
-        cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(sizes) // shard_tokens)) + 1, len(sizes)]
+        cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(sizes) // max(1, shard_tokens // BLOCKS))) + 1, len(sizes)]
 
         def block(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
             """Distinct trigrams (class and u, w) of some packed rows, by columns, and the trigram of each occurrence."""
@@ -371,22 +371,30 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
             totals.append(np.stack([add_up(seen[tri[2]]), add_up(tri[1] == first - 2), add_up(log_unigram[tri[2]]), add_up(log_p)]))
         n_known, heads, base, score = np.concatenate(totals, axis=1)
         runs, held = np.concatenate(all_runs), np.concatenate(all_held)
-        ids, tags = part.column("ids").combine_chunks().flatten(), part.column("tags").combine_chunks().flatten()
-        bucket = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 79) % np.uint64(shards)
-        order = np.argsort(bucket, kind="stable")
+        ids, tags = part.column("ids").combine_chunks().flatten(), part.column("tags").combine_chunks().flatten().to_numpy()
+        flags = held + 2 * ids.is_null().to_numpy(zero_copy_only=False) + 4 * (heads > 0)
+        ids = ids.fill_null(0).to_numpy().view(np.uint64)
+        bucket = mix(ids, 79) % np.uint64(shards)
+        order = np.lexsort((ids, bucket))
         present, starts = np.unique(bucket[order], return_index=True)
-        offsets = pa.array(np.r_[starts, len(order)].astype(np.int32))
-        whole = [pa.array(x.astype(np.int32)) for x in (held, runs, n_known, heads)]
-        lists = [pa.ListArray.from_arrays(offsets, x.take(pa.array(order))) for x in (ids, tags, *whole, pa.array(base), pa.array(score))]
-        return pa.table([pa.array(present.astype(np.int32)), *lists], ["bucket", *sums])
+        packed, ends = [], [*starts[1:].tolist(), len(order)]
+        for a, b in zip(starts.tolist(), ends, strict=True):
+            some = order[a:b]
+            step = np.diff(ids[some], prepend=np.uint64(0))
+            columns = [step & np.uint64(0xFFFFFFFF), step >> np.uint64(32), tags[some].view(np.uint32), flags[some], runs[some], n_known[some], *(x[some].astype("<f4").view(np.uint32) for x in (base, score))]
+            packed.append(_pack(columns))
+        return pa.table([pa.array(present.astype(np.int32)), pa.array(np.diff(np.r_[starts, len(order)])), pa.array(packed, pa.binary())], list(sums))
 
     def add(key: tuple, part: pa.Table) -> pa.Table:
-        columns = [part.column(c).combine_chunks().flatten() for c in sums]
-        summed = pa.table(columns, list(sums)).group_by(["ids", "tags"]).aggregate([("held", "max"), *((c, "sum") for c in list(sums)[3:])])
+        read = [_unpack(data.as_py(), n.as_py(), 8) for n, data in zip(part.column("n"), part.column("packed"), strict=True)]
+        ids = np.concatenate([np.cumsum(c[0].astype(np.uint64) + (c[1].astype(np.uint64) << np.uint64(32)), dtype=np.uint64) for c in read]).view(np.int64)
+        tags, flags, n, known, base, score = (np.concatenate([c[i] for c in read]) for i in range(2, 8))
+        columns = {"ids": pa.array(ids, mask=(flags & 2) > 0), "tags": tags, "held": flags & 1, "rows": flags >> 2, "n": n, "known": known, "base": base.view("<f4").astype(np.float64), "score": score.view("<f4").astype(np.float64)}
+        columns |= {c: pa.array(columns[c].astype(np.int64)) for c in ("held", "rows", "n", "known")}
+        summed = pa.table(columns).group_by(["ids", "tags"]).aggregate([("held", "max"), *((c, "sum") for c in ("n", "known", "rows", "base", "score"))])
         return pa.table([summed.column(c) for c in ("ids", "held_max", "n_sum", "known_sum", "rows_sum", "base_sum", "score_sum")], ["_id", "held", "n", "known", "rows", "base", "score"])
 
-    kinds = [pa.int32(), *(pa.list_(k) for k in (pa.int64(), *[pa.int32()] * 5, pa.float64(), pa.float64()))]
-    sums = {"ids": "long", "tags": "int", "held": "int", "n": "int", "known": "int", "rows": "int", "base": "double", "score": "double"}
+    sums = {"bucket": "int", "n": "long", "packed": "binary"}
     asked = rows.select("_text", "_held").mapInArrow(ask, "v long, w long, shard int, c long, parts long")
     asked = staged(asked.groupBy("v", "w", "shard").agg(F.sum("c").alias("c"), F.bit_or("parts").alias("parts")), "asked")
     given = asked.where("c > 0").select("v", "w", "c", "parts").mapInArrow(to_parts, "shard int, v long, part int, w long, c long")
@@ -394,10 +402,10 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
         single = asked.where("v IS NULL").select("shard", F.col("w").alias("token")).join(vocabulary, "token")
         given = given.unionByName(single.select("shard", F.lit(0).cast("long").alias("v"), F.lit(-1).alias("part"), F.col("token").alias("w"), "c"))
     shared = rows.mapInArrow(spread, "shard int, n long, packed binary, names array<long>, ids array<long>, tags array<int>, held array<boolean>, runs array<int>")
-    answers = shared.groupBy("shard").cogroup(given.groupBy("shard")).applyInArrow(answer, "bucket int, " + ", ".join(f"{c} array<{kind}>" for c, kind in sums.items()))
-    whole = answers.groupBy("bucket").applyInArrow(add, "_id long, held int, n long, known long, rows long, base double, score double")
+    answers = shared.groupBy("shard").cogroup(given.groupBy("shard")).applyInArrow(answer, ", ".join(f"{c} {kind}" for c, kind in sums.items()))
+    whole = answers.groupBy("bucket").applyInArrow(add, "_id long, held long, n long, known long, rows long, base double, score double")
     count = F.col("rows")
-    return whole.withColumn("_each", F.explode(F.sequence(F.lit(1), count))).select(
+    return whole.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), count))).select(
         F.col("_id").alias(id_col),
         (F.col("held") > 0).alias("held_out"),
         (F.col("n") / count).cast("long").alias("n_tokens"),
