@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import ascii_lower, hash128, staged, text_of
 
 
+#: Rows of a group that one task compares.
+SHARE_ROWS = 10_000
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """Label every row with the id that stands for its text: the smallest or the largest of equal texts.
 
@@ -22,16 +26,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("_id"), ascii_lower(text_of(text_col)).alias("_text")).withColumn("_hash", hash128(F.col("_text")))
     stand = F.min if keep == "smallest" else F.max
     groups = rows.groupBy("_hash").agg(stand("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    groups = staged(groups.select("_hash", "_first"), "copy-groups")
-    members = staged(rows.join(groups, "_hash"), "copy-members")
-    standing = members.where(F.col("_id").eqNullSafe(F.col("_first"))).groupBy("_hash").agg(F.min("_text").alias("_standing"))
-    standing = staged(standing, "copy-standing")
+    groups = staged(groups.select("_hash", "_first", F.ceil(F.col("_n") / SHARE_ROWS).cast("int").alias("_shares")), "copy-groups")
+    # A large group is dealt to shares, and what stands for it goes to each of them.
+    share = F.pmod(F.monotonically_increasing_id(), F.col("_shares")).cast("int")
+    members = staged(rows.join(groups, "_hash").withColumn("_share", share), "copy-members")
+    every = F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share")
+    standing = members.where(F.col("_id").eqNullSafe(F.col("_first"))).groupBy("_hash", "_shares").agg(F.min("_text").alias("_standing"))
+    standing = staged(standing, "copy-standing").select("_hash", every, "_standing")
     # _other is empty for bytes equal to the standing row's, else the text itself: the collision classes.
-    compared = members.join(standing, "_hash").select(
-        "_hash", "_id", "_text", F.when(F.col("_text") == F.col("_standing"), F.lit("")).otherwise(F.concat(F.lit("="), F.col("_text"))).alias("_other")
+    compared = members.join(standing, ["_hash", "_share"]).select(
+        "_hash", "_share", "_shares", "_id", "_text", F.when(F.col("_text") == F.col("_standing"), F.lit("")).otherwise(F.concat(F.lit("="), F.col("_text"))).alias("_other")
     )
-    classes = staged(compared.groupBy("_hash", "_other").agg(stand("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "copy-classes")
-    copies = compared.join(classes, ["_hash", "_other"]).select("_id", "keep_id", "group_size", F.sha2("_text", 256).alias("text_sha256"))
+    classes = staged(compared.groupBy("_hash", "_other", "_shares").agg(stand("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "copy-classes")
+    classes = classes.select("_hash", "_other", every, "keep_id", "group_size")
+    copies = compared.join(classes, ["_hash", "_other", "_share"]).select("_id", "keep_id", "group_size", F.sha2("_text", 256).alias("text_sha256"))
     singles = (
         rows.select("_id", "_hash", F.sha2("_text", 256).alias("text_sha256"))
         .join(groups, "_hash", "left_anti")
