@@ -20,7 +20,7 @@ FOCUS, COORDINATE_FROM = 5, 0.6
 
 
 def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(_id, _vec, _dim, _norm): floor(scale * x) as little-endian int64 bytes; unusable vectors are left out."""
+    """(_id, _vec, _dim, _norm): floor(scale * x), held to 2^52 either way, as little-endian int64 bytes; unusable vectors are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -31,8 +31,7 @@ def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Da
                 x = np.floor(scale * np.asarray(v, np.float64))
                 if not np.isfinite(x).all():
                     continue
-                if len(x) and np.abs(x).max() >= 2.0**53:
-                    raise ValueError(f"a component of vector {i} is too large for exact products")
+                x = np.clip(x, -(2.0**52), 2.0**52)
                 ids.append(i)
                 vecs.append(x.astype("<i8").tobytes())
                 dims.append(len(x))
@@ -129,7 +128,8 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
     need, joined on the bucket number.
 
     Returns query_id, rank, vec_id, score. Vectors null, or with null or non-finite components, or
-    without id, take no part; vectors meet only those of their own dimension. A row repeated with the
+    without id, take no part; vectors meet only those of their own dimension. Components beyond 2^52 count as 2^52, and
+    scores beyond 64 bits as the last number of 64 bits. A row repeated with the
     same id and vector is one row. Fewer than k others: all of them. Empty in, empty out.
     """
     spark = vectors.sparkSession
@@ -166,7 +166,10 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
     head_of = heads.select(F.col("_id").alias("_head"), "_vec")
     ids = copies.join(head_of, "_vec").select(F.col("_head").alias("_p"), F.col("_id").alias("vec_id"))
     owners = asked.distinct().join(head_of, "_vec").select(F.col("_head").alias("_q"), F.col("_id").alias("query_id"))
-    listed = found.join(ids, "_p").join(owners, "_q").where("query_id != vec_id")
+    # An owner can be none of its own answers, so k + 1 ids of a query vector's list are enough for each of its owners.
+    enough = Window.partitionBy("_q").orderBy(F.col("_score").desc(), "vec_id")
+    listed = found.join(ids, "_p").withColumn("_r", F.row_number().over(enough)).where(F.col("_r") <= k + 1).drop("_r")
+    listed = listed.join(owners, "_q").where("query_id != vec_id")
     final = Window.partitionBy("query_id").orderBy(F.col("_score").desc(), "vec_id")
     return listed.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("_score").alias("score"))
 
