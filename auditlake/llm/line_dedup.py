@@ -45,14 +45,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("_id", "_row")
         .agg(F.collect_set("_pos").alias("_drop"))
     )
-    dropped = dropped.withColumnsRenamed({"_id": "__id", "_row": "__row", "_drop": "__drop"})
-    joined = base.withColumns({"__id": owner_id, "__row": F.xxhash64(text_col)}).join(dropped, ["__id", "__row"], "left")
-    joined = joined.withColumn("__lines", F.split(F.col(text_col), "\n", -1))
-    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
-    kept = F.array_join(F.transform(places, lambda i: F.get(F.col("__lines"), i)), "\n")
-    clean = F.col("__drop").isNull()
+    # The input's columns go by number, so that none has the name of one of ours.
+    own = [F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(base.columns)]
+    joined = base.select(*own, owner_id.alias("_id"), F.xxhash64(text_col).alias("_row")).join(dropped, ["_id", "_row"], "left")
+    text = F.col(f"own_{base.columns.index(text_col)}")
+    joined = joined.withColumn("_lines", F.split(text, "\n", -1))
+    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
+    kept = F.array_join(F.transform(places, lambda i: F.get(F.col("_lines"), i)), "\n")
+    clean = F.col("_drop").isNull()
     return joined.select(
-        *(F.when(clean, F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
-        F.size("__lines").cast("long").alias("n_lines"),
-        F.when(clean, F.lit(0)).otherwise(F.size("__drop")).cast("long").alias("n_dropped"),
+        *(F.when(clean, text).otherwise(kept).alias(c) if c == text_col else F.col(f"own_{k}").alias(c) for k, c in enumerate(base.columns)),
+        F.size("_lines").cast("long").alias("n_lines"),
+        F.when(clean, F.lit(0)).otherwise(F.size("_drop")).cast("long").alias("n_dropped"),
     )
