@@ -20,9 +20,8 @@ PARITY_WORDS, ORDERS, MIN_HASHES, STAR_ROUNDS, PICKS = 16, 2, 8, 2, 3
 SKETCH_BITS, SKETCH_BLOCK = (20, 22), 1 << 14
 #: A token's rows are spread over all parts from this sketched count on, and where it is so many times the mean counter.
 HOT_TOKEN, HOT_MEAN = 1 << 20, 64
-#: Prefix tokens of one part, and bytes of text that are shingled at a time.
-PART_TOKENS, BLOCK_BYTES = 1 << 21, 1 << 20
-FILTER_BITS = 23
+#: Bits of the filter of ids (as powers of two), prefix tokens of one part, and bytes of text that are shingled at a time.
+FILTER_BITS, PART_TOKENS, BLOCK_BYTES = (20, 26), 1 << 21, 1 << 20
 
 
 def _each(values: np.ndarray, bounds: np.ndarray, reduce_: np.ufunc, none: int) -> np.ndarray:
@@ -82,14 +81,21 @@ def _prefix(key: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
 
 
 def bounded_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """2^FILTER_BITS bits with those of a column's hashes set: 1 MB at any size, false positives only."""
-    at = f"shiftrightunsigned(xxhash64({column}), {64 - FILTER_BITS})"
+    """A bit for the hash of each of a column's values, about eight for each value and 2^FILTER_BITS[1] (8 MB) at
+    most: false positives only."""
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (8 * ids.count()).bit_length()))
+    at = f"shiftrightunsigned(xxhash64({column}), {64 - bits})"
     rows = ids.groupBy(F.expr(f"cast(shiftright({at}, 6) as int)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({at} % 64 as int))")).alias("bits")).toPandas()
-    words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    words = np.zeros(1 << (bits - 6), np.uint64)
     words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return words
 
 
+def filter_place(column: str, words: np.ndarray) -> Column:
+    """The bit of bounded_filter that stands for a value."""
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - (64 * len(words)).bit_length() + 1)
+
+
 def _ceil_overlap(n: Column, m: Column, numerator: int, denominator: int) -> Column:
     """Fewest shared tokens at which sizes n and m reach the similarity."""
     return F.ceil((n + m) * numerator / (numerator + denominator))
@@ -105,7 +111,8 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, nu
     near = staged(near.select("a", "b", "na", "nb", "ra", "rb"), "near-pairs")
     wanted = near.select(F.col("ra").alias("rep"), F.col("a").alias("node")).union(near.select("rb", "b")).distinct()
     wanted = staged(wanted, "wanted-sets")
-    sent = docs.sparkSession.sparkContext.broadcast(bounded_filter(wanted, "rep"))
+    words = bounded_filter(wanted, "rep")
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sent.value
@@ -116,8 +123,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, nu
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_nodes(tokens, bounds)), lists], ["rep", "node", "tokens"])
 
-    place = F.shiftrightunsigned(F.xxhash64("_id"), 64 - FILTER_BITS)
-    some = docs.withColumn("_at", place).mapInArrow(sets, "rep long, node long, tokens array<long>")
+    some = docs.withColumn("_at", filter_place("_id", words)).mapInArrow(sets, "rep long, node long, tokens array<long>")
     some = staged(some.join(wanted, ["rep", "node"]).groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
     side = lambda s: some.select(F.col("node").alias(s), F.col("tokens").alias(f"t{s}"))
     shared = F.size(F.array_intersect("ta", "tb"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import _powers, binaries, mix, slices, span_hashes, staged, without
-from auditlake.llm.jaccard_join import FILTER_BITS, bounded_filter
+from auditlake.llm.jaccard_join import bounded_filter, filter_place
 
 #: Bytes of a gram; cores with more distinct surroundings than this are compared row by row in a shuffle.
 GRAM, WIDE_CORE = 8, 2000
@@ -100,30 +100,34 @@ def _first_ranks(rows: DataFrame, w: int, length: int) -> DataFrame:
     return rows.mapInArrow(run, "_id long, _tag int, t int, j int, rank long")
 
 
-def _repeated(ranked: DataFrame, label: str) -> DataFrame:
-    """The rows whose (t, rank) occurs again."""
-    again = ranked.groupBy("t", "rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "rank")
-    return staged(ranked.join(staged(again, f"{label}-names"), ["t", "rank"], "left_semi"), label)
+def _reranked(pairs: DataFrame, label: str) -> DataFrame:
+    """(_id, _tag, t, j, rank) of the positions whose (t, a, b) occurs again: the repeated pairs are sorted by range and
+    numbered in that order, which is their new rank; unique ones drop out. Equal pairs are counted before they
+    are sorted, so that a pair found everywhere is one row."""
+    key = ["t", "a", "b"]
+    again = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+    ordered = again.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("rank", F.monotonically_increasing_id())
+    return staged(pairs.join(staged(ordered, f"{label}-order"), key).select("_id", "_tag", "t", "j", "rank"), label)
 
 
 def _doubled(rows: DataFrame, w: int, length: int) -> DataFrame:
     """Surviving (_id, _tag, t, j): the 2^t phrases from anchor j on occur again as a whole.
 
-    Prefix doubling over the sampled suffixes, with hash names in place of sorted ranks: nothing is sorted
-    or reranked. A rank is an xxhash64 that is counted, unique ones drop out, and the hash of the pair of
-    ranks 2^t phrases apart names the next, until a run of phrases is past the length of a string.
+    Prefix doubling over the sampled suffixes: positions are ranked by their phrase (by its 64-bit hash), then by
+    the pair of ranks 1, 2, 4 and more phrases apart, until a rank is unique or its run of phrases is past the
+    length of a string.
     """
-    ranked = staged(_first_ranks(rows, w, length), "phrases")
-    bare = ranked.where("t = 9").select("_id", "_tag", "t", "j")
-    alive = _repeated(ranked.where("t < 9"), "ranks")
+    first = staged(_first_ranks(rows, w, length), "phrases")
+    bare = first.where("t = 9").select("_id", "_tag", "t", "j")
+    alive = _reranked(first.where("t < 9").select("_id", "_tag", "t", "j", F.col("rank").alias("a"), F.lit(0).cast("long").alias("b")), "ranks")
     out, t = [bare, alive.select("_id", "_tag", "t", "j")], 0
     alive = alive.where("t = 0")
     longest = (length - 2 * w - GRAM) // (w + 1)
     while 2 << t <= longest:
-        ahead = alive.select(F.col("_id").alias("_id2"), F.col("_tag").alias("_tag2"), (F.col("j") - (1 << t)).alias("j2"), F.col("rank").alias("next"))
+        ahead = alive.select(F.col("_id").alias("_id2"), F.col("_tag").alias("_tag2"), (F.col("j") - (1 << t)).alias("j2"), F.col("rank").alias("b"))
         keys = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_tag") == F.col("_tag2")) & (F.col("j") == F.col("j2"))
-        paired = alive.join(ahead, keys).select("_id", "_tag", F.lit(t + 1).alias("t"), "j", F.xxhash64("rank", "next").alias("rank"))
-        alive = _repeated(paired, f"ranks-{t + 1}")
+        paired = alive.join(ahead, keys).select("_id", "_tag", F.lit(t + 1).alias("t"), "j", F.col("rank").alias("a"), "b")
+        alive = _reranked(paired, f"ranks-{t + 1}")
         out.append(alive.select("_id", "_tag", "t", "j"))
         t += 1
     return reduce(DataFrame.unionByName, out)
@@ -131,8 +135,8 @@ def _doubled(rows: DataFrame, w: int, length: int) -> DataFrame:
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(_id, _tag, _z) of the rows whose id may be in wanted (a bounded bit filter): packed texts for a join."""
-    sent = rows.sparkSession.sparkContext.broadcast(bounded_filter(wanted, "_id"))
-    place = F.shiftrightunsigned(F.xxhash64("_id"), 64 - FILTER_BITS)
+    bits = bounded_filter(wanted, "_id")
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sent.value
@@ -142,7 +146,7 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             packed = [len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in binaries(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["_id", "_tag", "_z"])
 
-    return rows.withColumn("_at", place).mapInArrow(run, "_id long, _tag int, _z binary")
+    return rows.withColumn("_at", filter_place("_id", bits)).mapInArrow(run, "_id long, _tag int, _z binary")
 
 
 def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
@@ -353,7 +357,6 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     own = [F.col(f"own_{k}") for k in range(own_columns) if k != text_at]
     words = bounded_filter(lists, "_id")
     sent = docs.sparkSession.sparkContext.broadcast(words)
-    place = F.shiftrightunsigned(F.xxhash64("_id"), 64 - FILTER_BITS)
 
     def split(keep: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +367,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
 
         return run
 
-    marked = whole.withColumn("_at", place)
+    marked = whole.withColumn("_at", filter_place("_id", words))
     schema = marked.schema
     # Texts that surely keep all their bytes need no join.
     clear = marked.mapInArrow(split(False), schema).select(*own, "_text", F.lit(None).cast("array<long>").alias("starts"))
