@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from auditlake.llm.bpe import Bpe, bpe_round_trip, slice_coder
+from auditlake.llm.components import connected_components
 from auditlake.llm.elias_fano import EliasFano
 from auditlake.llm.exact_dedup import exact_dedup
 from auditlake.llm.exact_topk import exact_topk
@@ -25,7 +26,7 @@ from auditlake.llm.packing import best_fit, pack_documents
 from auditlake.llm.queries import op2_best_fit_packing
 from auditlake.llm.suffix_dedup import suffix_dedup
 from auditlake.llm.token_store import Huffman, code_lengths, library_coder, token_store
-from auditlake.llm.toxicity import tag_toxicity, train
+from auditlake.llm.toxicity import Tagger, _chain_fit, tag_toxicity, train
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RNG = random.Random(3)
@@ -80,6 +81,28 @@ def test_line_dedup(docs, empty):
     assert {r["doc_id"]: r["n_dropped"] for r in collected(line_dedup(docs.where("doc_id IN (11, 12)"), min_docs=3))} == {11: 0, 12: 0}
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["_drop", "_lines", "__drop", "__lines", "_id", "_row", "own_0", "n_dropped"]
+    rows = [(1, "a shared line of text\nx", *names), (2, "y\nA shared line of text", *names)]
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)))
+    got = {r["doc_id"]: r for r in collected(out)}
+    assert got[2]["text"] == "y" and got[2]["n_dropped"] == 1 and all(got[2][n] == n for n in names[:-1])
+
+
+def test_exact_dedup_deals_large_groups_to_shares(spark, monkeypatch):
+    monkeypatch.setattr("auditlake.llm.exact_dedup.SHARE_ROWS", 7)
+    rows = [(i, "Same" if i % 2 else "sAME") for i in range(50)] + [(None, "same"), (3, "same"), (60, "other"), (60, "OTHER"), (61, None), (62, "")]
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[(t or "").lower()].append(i)
+    want = []
+    for t, ids in groups.items():
+        best = max(i for i in ids if i is not None)
+        want += [(i, best, len(ids), i == best, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
+    got = [tuple(r) for r in exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep="largest").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_exact_dedup(docs, empty):
     groups = collections.defaultdict(list)
     for r in docs.collect():
@@ -98,18 +121,30 @@ def test_topk(spark):
     rng = np.random.default_rng(1)
     vecs = rng.normal(size=(130, 6)) * rng.uniform(0.1, 3, size=(130, 1))
     vecs[40:90] = vecs[40]
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)] + [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (202, [float("nan")] * 6), (203, [0.0] * 6), (220, [1.0, 2.0]), (240, [2.0, 2.0])]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)] + [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (202, [float("nan")] * 6), (203, [0.0] * 6), (220, [1.0, 2.0]), (240, [2.0, 2.0]), (300, [1e300, 1.0, 0.0, 0.0, 0.0, 0.0]), (301, [-1e300, 0.5, 0.0, 0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)}
+    whole = {i: [max(-(2**52), min(2**52, math.floor(64 * x))) for x in v] for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)}
     want = []
     for q in (i for i in whole if i % 20 == 0):
-        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:20]
+        best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:20]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     got = [tuple(r) for r in exact_topk(df, F.col("vec_id") % 20 == 0).collect()]
     assert sorted(got) == sorted(want)
     assert exact_topk(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_of_repeated_vectors_and_queries(spark):
+    """A vector of many queries, ties in and across buckets, an extra column; repeated rows are one."""
+    rows = [(i, [float(i % 3), 1.0], "x") for i in range(400)] + [(20, [2.0, 1.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(3)
+    whole = {i: [int(64 * x) for x in v] for i, v, _ in rows}
+    want = []
+    for q in range(0, 400, 20):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:20]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in exact_topk(df, F.col("vec_id") % 20 == 0).collect()) == sorted(want)
+
+
 def brute_windows(rows, length):
     seen = collections.Counter(d[a : a + length] for _, d in rows for a in range(len(d) - length + 1))
     out = []
@@ -264,6 +299,63 @@ def test_toxicity(spark, empty):
     assert {r["predicted"] for r in collected(tag_toxicity(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), none))} == {0}
 
 
+def test_chain_marginals_are_those_of_all_taggings():
+    rng = np.random.default_rng(4)
+    model = Tagger(np.zeros(0, np.uint64), np.zeros(0), -0.7, np.array([[0.3, -0.9], [-0.2, 0.6]]), np.zeros(3), 0.1)
+    for words, places in ((1, [0]), (6, [1, 2, 5]), (7, [0, 6]), (5, [3])):
+        pulls = rng.normal(size=len(places)) * 3
+        pull = np.full(words, model.bias)
+        pull[places] = pulls
+        mass, toxic = 0.0, np.zeros(words)
+        for tags in itertools.product((0, 1), repeat=words):
+            p = math.exp(sum(model.turn[a, b] + b * pull[i] for i, (a, b) in enumerate(zip((0, *tags), tags))))
+            mass += p
+            toxic += p * np.array(tags)
+        (got,) = model.marginals([words], [np.array(places)], [pulls])
+        assert got == pytest.approx((toxic / mass)[places], abs=1e-9)
+
+
+def test_chain_fit_climbs_the_likelihood_of_the_labels():
+    """Weights that fit a planted feature, and a likelihood, counted over all taggings, above that of the start."""
+    rng = np.random.default_rng(6)
+    at = rng.integers(0, 4, (60, 5, 1))
+    label = (at[:, :, 0] == 2).astype(np.int64)
+    at[:10, 3:], label[:10, 3:] = 4, -1
+    w, bias, turn = _chain_fit(at, label, 4)
+
+    def likelihood(w, bias, turn):
+        total = 0.0
+        for row, y in zip(at[:, :, 0], label):
+            n = int((y >= 0).sum())
+            score = lambda tags: sum(turn[a, b] + b * (np.r_[w, 0.0][row[i]] + bias) for i, (a, b) in enumerate(zip((0, *tags), tags)))  # noqa: B023, E731
+            total += score(tuple(y[:n])) - math.log(sum(math.exp(score(t)) for t in itertools.product((0, 1), repeat=n)))
+        return total
+
+    assert w[2] > max(w[[0, 1, 3]]) + 2
+    assert likelihood(w, bias, turn) > likelihood(np.zeros(4), -3.0, np.array([[0.0, -1.0], [0.0, 0.5]])) + 10
+
+
+def test_components_of_long_chains(spark):
+    n = 300
+    order = RNG.sample(range(1000), n)
+    links = spark.createDataFrame([*zip(order, order[1:]), (5000, 5001), (6000, 6000)], "a long, b long")
+    got = {r.node: r.comp for r in connected_components(links).collect()}
+    assert {got[i] for i in order} == {min(order)} and got[5001] == 5000 and len(got) == n + 2
+
+
+def test_packing_ties_and_repeats(spark):
+    rows = [(7, 4, "a"), (7, 4, "a"), (None, 4, None), (None, None, None), (1, -3, "b"), (2, 25, "b"), (3, 10, "c"), (4, 6, "c")]
+    out = collected(pack_documents(spark.createDataFrame(rows, "doc_id long, n int, bin string"), F.col("n"), F.col("bin"), F.lit(None), capacity=10))
+    units, fill = collections.Counter(), collections.Counter()
+    for r in out:
+        units[r["doc_id"]] += r["n_tokens"]
+        fill[r["bin"]] += r["n_tokens"]
+        assert r["start"] == 10 * r["piece"]
+    assert units == {7: 8, None: 5, 1: 1, 2: 25, 3: 10, 4: 6} and max(fill.values()) == 10
+    assert len({r["bin"] for r in out if r["doc_id"] == 7}) == 2
+    assert len(out) == len(rows) + 2
+
+
 def test_bpe(docs, empty):
     library = Tokenizer.from_file(VOCABULARY)
     own = Bpe(VOCABULARY)
