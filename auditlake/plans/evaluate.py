@@ -46,6 +46,11 @@ def summarise(runs: DataFrame, findings: DataFrame, keys: list[str]) -> DataFram
     return out.withColumns({"bringup_ok": F.col("bringup_blocker_count") == 0, "signoff_ok": F.col("signoff_blocker_count") == 0})
 
 
+def open_blockers(findings: DataFrame) -> DataFrame:
+    """P10: blockers that no waiver lifts."""
+    return findings.where("severity = 'BLOCKER' AND NOT waived")
+
+
 def first_seen(findings: DataFrame, keys: list[str], stage_order: Column, title: Column) -> DataFrame:
     """A finding that several stages make counts once, for the earliest."""
     return first_wins(findings.withColumn("_title", title), [*keys, "id", "_title"], [stage_order, F.col("place")]).drop("_title")

@@ -274,17 +274,22 @@ def timing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.join(facts.select(*RUN, head.alias("head")), RUN).select(*RUN, F.concat("head", "text").alias("text"))
 
 
+def timing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dealt by run once, for all the parsers that read them."""
+    return lines_of(timing_texts(spark, sf_dir)).repartition(*RUN)
+
+
 @query(f"WITH {_L}, {_TIMING_FACTS}, {_TIMING} SELECT * FROM timing")
 def timing_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S8-S14, A11, A15, P1, F2, F7, TIMING.*"""
-    facts = P.timing_facts(lines_of(timing_texts(spark, sf_dir)), RUN)
+    facts = P.timing_facts(timing_lines(spark, sf_dir), RUN)
     return graded(P.findings_of(facts, RUN, P.timing_rules(False), "timing"))
 
 
 @query(f"""WITH {_L}, {_TIMING_FACTS} SELECT l_orderkey, wns, wns >= 0 AS met, 4.0 AS period, 'order ' || l_orderkey AS design FROM f""")
 def timing_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S8, S9, S13, A15."""
-    lines = lines_of(timing_texts(spark, sf_dir))
+    lines = timing_lines(spark, sf_dir)
     design = tables.banner_fields(lines, RUN).where("key = 'Design'").select(*RUN, F.col("value").alias("design"))
     return P.timing_facts(lines, RUN).join(design, RUN).select(*RUN, "wns", F.col("constraints_met").alias("met"), "period", "design")
 
@@ -298,6 +303,19 @@ def timing_report_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.timing_paths(lines_of(timing_texts(spark, sf_dir)), RUN).drop("status", "path_type")
 
 
+@query(f"""WITH {_L}, k AS (SELECT DISTINCT l_orderkey, unnest(['no_clock', 'loops', 'unconstrained_internal_endpoints', 'no_input_delay', 'no_output_delay']) AS name, unnest([l_orderkey % 7 // 6, l_orderkey % 13 // 12, l_orderkey % 4, l_orderkey % 3, l_orderkey % 2])::BIGINT AS n FROM l)
+    SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, name))::INTEGER AS place FROM k WHERE n <> 0""")
+def open_check_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S10, A11, P7, O4."""
+    return tables.open_items(tables.check_items(lines_of(timing_texts(spark, sf_dir)), RUN), RUN)
+
+
+@query(f"WITH {_L} SELECT l_orderkey, (pos - 1)::BIGINT AS pos, 'a' || l_partkey || '/C' AS source, 'b' || l_suppkey || '/D' AS destination FROM l WHERE contains('a' || l_partkey || '/C', 'a7') OR contains('b' || l_suppkey || '/D', 'a7')")
+def searched_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9."""
+    return tables.search_paths(tables.timing_paths(lines_of(timing_texts(spark, sf_dir)), RUN), "A7").select(*RUN, "pos", "source", "destination")
+
+
 # --- logs --------------------------------------------------------------------------------------
 
 _IDS = ["Vivado 12-507", "Synth  8-327", "Common 17-1", "Synth 8-6014", "Place 30-575", "Odd 1-2"]
@@ -375,7 +393,7 @@ def order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         P.findings_of(rule_facts(spark, sf_dir).where(key % 9 != 0), RUN, P.drc_rules(), "drc"),
         P.findings_of(cdc_facts(spark, sf_dir).withColumnRenamed("id", "crossing").where(key % 8 != 0), RUN, P.cdc_rules(), "cdc"),
         clock_findings(spark, sf_dir),
-        P.findings_of(P.timing_facts(lines_of(timing_texts(spark, sf_dir)), RUN), RUN, P.timing_rules(False), "timing"),
+        P.findings_of(P.timing_facts(timing_lines(spark, sf_dir), RUN), RUN, P.timing_rules(False), "timing"),
         P.findings_of(order_statuses(spark, sf_dir).withColumn("checked", F.col("available")), RUN, P.coverage_rules(), "coverage"),
     ]
     waivers = spark.createDataFrame(_WAIVERS, "ord int, id string, match map<string,string>, evidence_digest string")
@@ -389,6 +407,12 @@ def evaluated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_findings(spark, sf_dir).drop("source", "digest")
 
 
+@query(f"WITH {_FINDINGS} SELECT l_orderkey, id, evidence FROM e WHERE severity = 'BLOCKER' AND NOT waived")
+def open_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10."""
+    return E.open_blockers(order_findings(spark, sf_dir)).select(*RUN, "id", "evidence")
+
+
 @query(f"""WITH {_FINDINGS} SELECT o_orderkey AS l_orderkey, count(*) FILTER (severity = 'BLOCKER') AS blocker, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'INFO') AS info,
     count(*) FILTER (waived) AS waived, count(*) FILTER (expired) AS expired, count(*) FILTER (bb) AS bringup_blocker_count, count(*) FILTER (bs) AS signoff_blocker_count, count(*) FILTER (bb) = 0 AS bringup_ok, count(*) FILTER (bs) = 0 AS signoff_ok
     FROM orders LEFT JOIN e ON l_orderkey = o_orderkey GROUP BY 1""")

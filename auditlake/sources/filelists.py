@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.functions.columns import project_path, resolve_path, stem, strip_comment, strip_hdl_comments
+from auditlake.functions.columns import glob_regex, project_path, resolve_path, stem, strip_comment, strip_hdl_comments
 from auditlake.operators.scratch import written
 from auditlake.sources.lines import lines_of
 
@@ -176,3 +176,10 @@ def file_records(spark: SparkSession, folder: str, pattern: str = "*") -> DataFr
     """(path, sha256, size, mtime) of all files under a folder."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     return read.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("mtime"))
+
+
+def checksums(records: DataFrame, excluded: list[str] | None = None) -> DataFrame:
+    """Path and first 12 digits of every file that no pattern leaves out."""
+    out = [F.col("path").rlike(glob_regex(p)) for p in excluded or []]
+    kept = records.where(~F.greatest(F.lit(False), *out)) if out else records
+    return kept.select(F.left("sha256", F.lit(12)).alias("sha256"), "path")

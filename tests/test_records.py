@@ -90,3 +90,11 @@ def test_specs_and_shapes(spark):  # S43, J16, K14
     text = "\n".join(["prose", "1. Title", "| a/b | c |", *["+--+"] * 50])
     got = reports.fingerprint(lines_of(spark.createDataFrame([("r", text)], "run string, text string")), ["run"]).orderBy("place").collect()
     assert [r.shape for r in got[:2]] == ["1. Title", "| <name> | c |"] and len(got) == 40
+
+
+def test_checksums_leave_out_patterns(spark, tmp_path):  # S32, S33, K15
+    (tmp_path / "a.v").write_text("x")
+    (tmp_path / "b.log").write_text("y")
+    found = filelists.checksums(filelists.file_records(spark, str(tmp_path)), ["*.log"]).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.sha256) for r in found] == [("a.v", "2d711642b726")]
+    assert filelists.checksums(filelists.file_records(spark, str(tmp_path))).count() == 2
