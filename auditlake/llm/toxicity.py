@@ -18,6 +18,8 @@ SAMPLE_DOCS, SAMPLE_BYTES = 3000, 30_000
 SUPPORT, LOG_ODDS = 10, 2.3
 PREFIXES = (4, 5, 6)
 WINDOW, WINDOWS, STEPS, MIN_HASHES = 24, 16_000, 60, 6
+#: Texts whose features are held at a time in the fit.
+BLOCK_DOCS = 128
 
 
 def _features(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,6 +188,16 @@ def _chain_fit(at: np.ndarray, label: np.ndarray, size: int) -> tuple[np.ndarray
     return w[:size], float(bias), turn
 
 
+def _tally(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the texts, and in how many of them each is; blocks of texts are added up in turn."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for i in range(0, len(texts), BLOCK_DOCS):
+        own, n = np.unique(np.concatenate([np.unique(_features(x)[2]) for x in texts[i : i + BLOCK_DOCS]]), return_counts=True)
+        keys, at = np.unique(np.r_[keys, own], return_inverse=True)
+        counts = np.bincount(at, np.r_[counts, n], minlength=len(keys)).astype(np.int64)
+    return keys, counts
+
+
 def _unlike(texts: list[bytes]) -> list[int]:
     """Positions of texts that share no min-hash with an earlier one: words of a text that was copied
     often would else look typical of its label."""
@@ -212,21 +224,24 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Tagger:
         return Tagger(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.zeros((2, 2)), np.array([edge, 0.0, 0.0]), prior)
     kept = _unlike(texts)
     texts, toxic = [texts[i] for i in kept], toxic[kept]
-    hashes = [_features(x)[2] for x in texts]
-    each = [np.unique(h) for h in hashes]
     n = [int((toxic == 0).sum()), int((toxic == 1).sum())]
-    keys, bad = np.unique(np.concatenate([e for e, y in zip(each, toxic, strict=True) if y] or [np.zeros(0, np.uint64)]), return_counts=True)
-    clean_keys, clean = np.unique(np.concatenate([e for e, y in zip(each, toxic, strict=True) if not y] or [np.zeros(0, np.uint64)]), return_counts=True)
-    at = np.minimum(np.searchsorted(clean_keys, keys), max(0, len(clean_keys) - 1))
-    good = np.where(clean_keys[at] == keys, clean[at], 0) if len(clean_keys) else np.zeros(len(keys))
+    keys, bad = _tally([x for x, y in zip(texts, toxic, strict=True) if y])
+    often = bad >= min(SUPPORT, max(2, n[1] // 20))
+    keys, bad = keys[often], bad[often]
+    good = np.zeros(len(keys), np.int64)
+    for x, y in zip(texts, toxic, strict=True):
+        if not y and len(keys):
+            own = np.unique(_features(x)[2])
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            good[at[keys[at] == own]] += 1
     odds = np.log((bad + 0.5) / (n[1] + 1)) - np.log((good + 0.5) / (n[0] + 1))
-    chosen = (bad >= min(SUPPORT, max(2, n[1] // 20))) & (odds >= LOG_ODDS)
-    keys = keys[chosen]
+    keys = keys[odds >= LOG_ODDS]
     model = Tagger(keys, np.zeros(len(keys)), 0.0, np.zeros((2, 2)), np.zeros(3), float(toxic.mean()))
     rng = np.random.default_rng(seed)
-    width = hashes[0].shape[1]
+    width = 1 + len(PREFIXES)
     windows, labels = [], []
-    for h, y in zip(hashes, toxic, strict=True):
+    for x, y in zip(texts, toxic, strict=True):
+        h = _features(x)[2]
         if not len(h):
             continue
         place = model.lookup(h)
@@ -243,7 +258,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Tagger:
     if len(pick):
         weights, bias, turn = _chain_fit(stacked, np.stack([labels[i] for i in pick]), len(keys))
         model = Tagger(keys, weights, bias, turn, np.zeros(3), model.prior)
-    x = _aggregates([m for _, _, m in model.read(texts)])
+    x = np.concatenate([_aggregates([m for _, _, m in model.read(texts[i : i + BLOCK_DOCS])]) for i in range(0, len(texts), BLOCK_DOCS)])
     model.calibration = _logistic(x, toxic.astype(float))
     return model
 
@@ -256,8 +271,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     order = [F.xxhash64(id_col), F.col(id_col)]
     picked = marked.where("_y = 1").orderBy(*order).limit(sample_docs).union(marked.where("_y = 0").orderBy(*order).limit(sample_docs))
     texts = docs.select(id_col, F.col(text_col).alias("_text")).where(F.octet_length("_text") <= sample_bytes)
-    rows = texts.join(F.broadcast(picked.select(id_col, "_y")), id_col).select(id_col, "_text", "_y").toPandas().sort_values([id_col, "_text"])
-    return fit([t.encode() for t in rows["_text"]], rows["_y"].to_numpy(np.int64))
+    rows = texts.join(F.broadcast(picked.select(id_col, "_y")), id_col).select(F.col(id_col).alias("_id"), "_text", "_y").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
+    return fit(binaries(rows.column("_text").combine_chunks()), rows.column("_y").to_numpy().astype(np.int64))
 
 
 def tag_toxicity(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
