@@ -67,7 +67,8 @@ def _levels(counts: DataFrame, bits: int) -> np.ndarray:
 
     parts = (1 << bits) // SKETCH_BLOCK
     out = np.zeros((parts, SKETCH_BLOCK), np.uint8)
-    for row in counts.repartition(parts, "part").mapInArrow(add, "part int, levels binary").collect():
+    tasks = min(parts, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    for row in counts.repartition(tasks, "part").mapInArrow(add, "part int, levels binary").collect():
         out[row["part"]] = np.frombuffer(row["levels"], np.uint8)
     return out.reshape(-1)
 
@@ -173,7 +174,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     usable = profiles.where("n > 0 AND _id IS NOT NULL")
     reps = staged(usable.groupBy("node").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("mins").alias("mins")), "nodes")
 
-    keyed = staged(reps.select("node", F.posexplode("mins").alias("k", "m")), "min-hashes")
+    # Only buckets of two nodes and more can link any.
+    met = F.count(F.lit(1)).over(Window.partitionBy("k", "m"))
+    keyed = reps.select("node", F.posexplode("mins").alias("k", "m")).withColumn("met", met).where("met > 1").drop("met")
+    keyed = staged(keyed, "min-hashes")
     comps = reps.select("node", F.col("node").alias("comp"), F.lit(0).cast("long").alias("degree"))
     links: DataFrame | None = None
     for salt in range(STAR_ROUNDS):
@@ -186,11 +190,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     total = profiles.agg(F.sum("n")).first()[0] or 0
     listed = _shared_prefixes(rows, levels, total, width, numerator, denominator)
-    sized = reps.select("node", "n").join(comps.select("node", "comp"), "node")
-    listed = listed.join(sized, "node")
+    listed = staged(listed.join(comps.select("node", "comp"), "node"), "placed-prefixes")
+    several = listed.groupBy("k", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k", "token")
+    listed = staged(listed.join(several, ["k", "token"], "left_semi"), "mixed-prefixes")
     counts = listed.groupBy("k", "token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    hubs = counts.groupBy("k", "token").agg(F.max_by("comp", F.struct("c", "comp")).alias("hub"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    hubs = staged(hubs.select("k", "token", "hub"), "mixed-tokens")
+    hubs = counts.groupBy("k", "token").agg(F.max_by("comp", F.struct("c", "comp")).alias("hub"))
+    listed = listed.join(reps.select("node", "n"), "node")
     # own: how many tokens before this one no other component lists; no node of another component has them.
     ahead = F.count(F.lit(1)).over(Window.partitionBy("k", "node").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     mixed = staged(listed.join(hubs, ["k", "token"]).withColumn("own", F.col("pos") - ahead), "mixed-lists")
