@@ -203,7 +203,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = _near_prefixes(mixed.join(reps.select("node", folded.alias("parity")), "node"), numerator, denominator)
     second = _verified(rows, reps, pairs, width, numerator, denominator)
 
-    grouped = connected_components(links.union(second))
+    # Texts of one id are one document.
+    twins = usable.groupBy("_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("_id", "a")
+    twins = usable.select("_id", F.col("node").alias("b")).join(twins, "_id").where("a != b").select("a", "b").distinct()
+    grouped = connected_components(links.union(second).union(twins))
     label = reps.join(grouped, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     smallest = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_node = staged(label.join(smallest, "comp").select("node", "component_id"), "components")

@@ -186,6 +186,12 @@ def test_jaccard(docs, empty):
     assert jaccard_groups(empty).count() == 0
 
 
+def test_jaccard_links_the_texts_of_one_id(spark):
+    rows = [(5, BASE), (5, "some other text of six words"), (9, "some other text of six words"), (2, BASE + " tail"), (7, None), (7, "alone")]
+    got = {(r["doc_id"], r["component_id"]) for r in collected(jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got == {(5, 2), (9, 2), (2, 2), (7, 7)}
+
+
 def test_jaccard_part_copies(spark):
     """Texts around a common passage, with own words before, inside and after it, near the threshold."""
     rng = random.Random(8)

@@ -51,7 +51,8 @@ def test_empty_table(spark, docs, stage):
 
 
 def test_toxicity_drops_what_the_tagger_rejects(spark, tmp_path):
-    rows = [(i, words(20) + (" scoundrelly " if i % 3 == 0 else " ") + words(20), "s1") for i in range(240)] + [(None, "scoundrelly", "s1"), (900, None, "s1"), (901, "", None), (6, words(9), "s1")]
+    common = lambda n: " ".join(f"w{RNG.randrange(60)}" for _ in range(n))
+    rows = [(i, common(20) + (" scoundrelly " if i % 3 == 0 else " ") + common(20), "s1") for i in range(240)] + [(None, "scoundrelly", "s1"), (900, None, "s1"), (901, "", None), (241, common(9), "s1")]
     own = table(spark, rows)
     own.select("doc_id", F.lit(1).alias("quality"), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("toxic")).where("doc_id < 240").dropDuplicates(["doc_id"]).write.parquet(f"{tmp_path}/labels.parquet")
     out = P.toxicity(spark, own, str(tmp_path))
