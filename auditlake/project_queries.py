@@ -209,7 +209,7 @@ def environment_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.findings_of(facts, ["s_suppkey"], P.environment_rules(), "environment").select("s_suppkey", "id", "severity")
 
 
-@query("""WITH r AS (SELECT o_custkey, o_orderkey AS seq, round((o_totalprice - 250000) / 100000, 3) AS wns FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 10 <> 7),
+@query("""WITH r AS (SELECT o_custkey, o_orderkey AS seq, round((o_totalprice - 250000) / 100000, 3) + 0 AS wns FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 10 <> 7),
     t AS (SELECT *, lag(wns) OVER (PARTITION BY o_custkey ORDER BY seq) AS previous, row_number() OVER (PARTITION BY o_custkey ORDER BY seq DESC) AS rn FROM r)
     SELECT o_custkey, seq, wns, previous, CASE WHEN previous IS NULL THEN NULL WHEN abs(wns - previous) <= 1e-9 THEN 'same' WHEN wns > previous THEN 'better' ELSE 'worse' END AS direction FROM t WHERE rn <= 8""")
 def history_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
