@@ -328,7 +328,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
             context, of = np.unique(cls.astype(np.uint64) * width + u.astype(np.uint64), return_inverse=True)
             tri, at = np.unique(of.astype(np.uint64) * width + w.astype(np.uint64), return_inverse=True)
             context = context[(tri // width).astype(np.int64)]
-            return np.stack([(context // width), context % width, tri % width]).astype(np.int64), at
+            return np.stack([(context // width).astype(np.int32), (context % width).astype(np.int32), (tri % width).astype(np.int32)]), at
 
         g_part, g_w, g_c = (given.column(c).to_numpy() for c in ("part", "w", "c"))
         g_hash, g_w = g_w.view(np.uint64), known.number(g_w.view(np.uint64), names)
@@ -344,12 +344,13 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
             kept = (tri, at)  # a shard of one block is not read twice
             learnt = np.repeat(~np.concatenate(all_held[a:b]), np.concatenate(all_runs[a:b]))
             c3 = np.bincount(at[learnt], minlength=tri.shape[1])
-            found.append(np.vstack([tri, c3])[:, c3 > 0])
+            found.append(np.vstack([tri, c3.astype(np.int32)])[:, c3 > 0])
             present = np.unique(tri[0])
             near = split[np.maximum(np.searchsorted(class_of[split], present, side="right") - 1, 0)] if len(split) else np.zeros(0, np.int64)
             hot_cls.append(present[(class_of[near] <= present) & (present < class_of[near + 1])] if len(split) else present[:0])
-        tri = np.concatenate(found, axis=1)
-        if len(found) > 1:
+        n_found, tri = len(found), np.concatenate(found, axis=1)
+        del found
+        if n_found > 1:
             order = np.lexsort((tri[2], tri[1], tri[0]))
             tri = tri[:, order]
             new = np.flatnonzero(np.r_[True, (tri[:3, 1:] != tri[:3, :-1]).any(0)]) if tri.shape[1] else np.zeros(0, np.int64)
@@ -359,7 +360,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
         g_cls, g_hash, g_w, g_c = class_of[g_v] + g_part[~single], g_hash[~single], g_w[~single], g_c[~single]
         met = np.isin(g_cls, hot) & (hashes[np.minimum(g_w, len(hashes) - 1)] == g_hash)  # others of a group of parts may ask for more
         trie = Trie(*tri, log_unigram, hot, hot_total, (g_cls[met], g_w[met], g_c[met]), prior_2, prior_3)
-        del tri, found
+        del tri
         seen = np.r_[known.counts, 0, 0, counts] > 0
         totals = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
