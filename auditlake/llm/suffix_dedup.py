@@ -369,7 +369,12 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
 
     marked = whole.withColumn("_at", filter_place("_id", words))
     schema = marked.schema
-    # Texts that surely keep all their bytes need no join.
-    clear = marked.mapInArrow(split(False), schema).select(*own, "_text", F.lit(None).cast("array<long>").alias("starts"))
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in split(False)(batches):
+            columns = [*(batch.column(k) for k in range(own_columns - 1)), batch.column(batch.num_columns - 2), pa.nulls(batch.num_rows, pa.list_(pa.int64()))]
+            yield from cut(iter([pa.RecordBatch.from_arrays(columns, [*map(str, range(own_columns - 1)), "_text", "starts"])]))
+
+    out = f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary"
+    # Texts that surely keep all their bytes need no join. Either side runs one Python worker a task.
     hit = _same_row(marked.mapInArrow(split(True), schema), lists, "left").select(*own, "_text", "starts")
-    return clear.unionByName(hit).mapInArrow(cut, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return marked.mapInArrow(clear, out).unionByName(hit.mapInArrow(cut, out))
