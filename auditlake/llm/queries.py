@@ -17,6 +17,7 @@ from auditlake.llm.line_dedup import line_dedup
 from auditlake.llm.lm_scoring import lm_score
 from auditlake.llm.packing import pack_documents
 from auditlake.llm.periodic_runs import run_digests
+from auditlake.llm.sharding import shard_digests
 from auditlake.llm.suffix_dedup import suffix_dedup
 from auditlake.llm.token_store import token_store
 from auditlake.llm.toxicity import tag_toxicity, train
@@ -75,12 +76,16 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digests(read_table(spark, sf_dir, "documents"), shards=24)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_exact_topk, op4_suffix_array_dedup, op5_jaccard_join, op6_lm_scoring, op7_toxicity, op8_bpe, op9_exact_dedup, op10_token_store, op13_periodic_runs)
+    f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_exact_topk, op4_suffix_array_dedup, op5_jaccard_join, op6_lm_scoring, op7_toxicity, op8_bpe, op9_exact_dedup, op10_token_store, op11_sharding, op13_periodic_runs)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
