@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.bpe import bpe_round_trip
+from auditlake.llm.collocations import collocations
 from auditlake.llm.common import ascii_lower, in_fold, read_table, text_of
 from auditlake.llm.exact_dedup import exact_dedup
 from auditlake.llm.exact_topk import exact_topk
@@ -80,12 +81,16 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digests(read_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_exact_topk, op4_suffix_array_dedup, op5_jaccard_join, op6_lm_scoring, op7_toxicity, op8_bpe, op9_exact_dedup, op10_token_store, op11_sharding, op13_periodic_runs)
+    f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_exact_topk, op4_suffix_array_dedup, op5_jaccard_join, op6_lm_scoring, op7_toxicity, op8_bpe, op9_exact_dedup, op10_token_store, op11_sharding, op12_collocations, op13_periodic_runs)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -122,4 +127,19 @@ ORACLE: dict[str, str] = {
         WITH n AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)""",
+    "op12_collocations": f"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+        t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) AS s(k)),
+        f AS (SELECT lang, phrase, count(*) AS f FROM g GROUP BY lang, phrase HAVING count(*) >= 100),
+        c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE contains(phrase, ' ')),
+        i AS (SELECT DISTINCT c.lang, array_to_string(c.w[x:x + y - 1], ' ') AS phrase, c.a FROM c, range(1, 5) AS s(x), range(2, 5) AS u(y) WHERE y < len(c.w) AND x + y - 1 <= len(c.w)),
+        k AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 100 * c.a)),
+        u AS (SELECT k.lang, k.phrase, k.a, t.n, x, l.f AS l, r.f AS r, (1000::HUGEINT * k.a * t.n) // (l.f::HUGEINT * r.f) AS score
+              FROM k JOIN t ON t.lang = k.lang, range(1, 5) AS s(x) JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:x], ' ')
+              JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[x + 1:], ' ') WHERE x < len(k.w)),
+        b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, x) = 1),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+        SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000""",
 }
