@@ -72,8 +72,8 @@ def _level(m: np.ndarray) -> np.ndarray:
 
 
 def _first_ranks(rows: DataFrame, w: int, length: int) -> DataFrame:
-    """(_id, _tag, t, j, rank): t 0: the phrase from anchor j to the next; t 8: anchor j alone, where a
-    string holds no other; t 9: the text has strings without anchors."""
+    """(_id, _tag, t, j, rank, m); _id and _tag: a text's 128-bit name, m: rows. t 0: the phrase from anchor j to the
+    next; t 8: anchor j alone, where a string holds no other; t 9: the text has strings without anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
@@ -97,17 +97,18 @@ def _first_ranks(rows: DataFrame, w: int, length: int) -> DataFrame:
                 ["_id", "_tag", "t", "j", "rank"],
             )
 
-    return rows.mapInArrow(run, "_id long, _tag int, t int, j int, rank long")
+    return rows.mapInArrow(run, "_id long, _tag long, t int, j int, rank long").withColumn("m", F.lit(1).cast("long"))
 
 
 def _reranked(pairs: DataFrame, label: str) -> DataFrame:
-    """(_id, _tag, t, j, rank) of the positions whose (t, a, b) occurs again: the repeated pairs are sorted by range and
-    numbered in that order, which is their new rank; unique ones drop out. Equal pairs are counted before they
-    are sorted, so that a pair found everywhere is one row."""
+    """(_id, _tag, t, j, rank, m) of the positions whose (t, a, b) occurs again: the repeated pairs are sorted by range
+    and numbered in that order, which is their new rank; unique ones drop out. Equal pairs are counted before they
+    are sorted, so that a pair found everywhere is one row; a position of equal texts is one row, m of them."""
     key = ["t", "a", "b"]
-    again = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+    again = pairs.groupBy(*key).agg(F.sum("m").alias("n")).where("n > 1").select(*key)
     ordered = again.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("rank", F.monotonically_increasing_id())
-    return staged(pairs.join(staged(ordered, f"{label}-order"), key).select("_id", "_tag", "t", "j", "rank"), label)
+    joined = pairs.join(staged(ordered, f"{label}-order"), key)
+    return staged(joined.groupBy("_id", "_tag", "t", "j", "rank").agg(F.sum("m").alias("m")), label)
 
 
 def _doubled(rows: DataFrame, w: int, length: int) -> DataFrame:
@@ -118,15 +119,14 @@ def _doubled(rows: DataFrame, w: int, length: int) -> DataFrame:
     length of a string.
     """
     first = staged(_first_ranks(rows, w, length), "phrases")
-    bare = first.where("t = 9").select("_id", "_tag", "t", "j")
-    alive = _reranked(first.where("t < 9").select("_id", "_tag", "t", "j", F.col("rank").alias("a"), F.lit(0).cast("long").alias("b")), "ranks")
+    bare = first.where("t = 9").select("_id", "_tag", "t", "j").distinct()
+    alive = _reranked(first.where("t < 9").select("_id", "_tag", "t", "j", F.col("rank").alias("a"), F.lit(0).cast("long").alias("b"), "m"), "ranks")
     out, t = [bare, alive.select("_id", "_tag", "t", "j")], 0
     alive = alive.where("t = 0")
     longest = (length - 2 * w - GRAM) // (w + 1)
     while 2 << t <= longest:
-        ahead = alive.select(F.col("_id").alias("_id2"), F.col("_tag").alias("_tag2"), (F.col("j") - (1 << t)).alias("j2"), F.col("rank").alias("b"))
-        keys = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_tag") == F.col("_tag2")) & (F.col("j") == F.col("j2"))
-        paired = alive.join(ahead, keys).select("_id", "_tag", F.lit(t + 1).alias("t"), "j", F.col("rank").alias("a"), "b")
+        ahead = alive.select("_id", "_tag", (F.col("j") - (1 << t)).alias("j"), F.col("rank").alias("b"))
+        paired = alive.join(ahead, ["_id", "_tag", "j"]).select("_id", "_tag", F.lit(t + 1).alias("t"), "j", F.col("rank").alias("a"), "b", "m")
         alive = _reranked(paired, f"ranks-{t + 1}")
         out.append(alive.select("_id", "_tag", "t", "j"))
         t += 1
@@ -134,7 +134,8 @@ def _doubled(rows: DataFrame, w: int, length: int) -> DataFrame:
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_id, _tag, _z) of the rows whose id may be in wanted (a bounded bit filter): packed texts for a join."""
+    """(_id, _tag, _z, m) of the texts whose name may be in wanted (a bounded bit filter): each once, packed for a join,
+    with the number of rows that hold it."""
     bits = bounded_filter(wanted, "_id")
     sent = rows.sparkSession.sparkContext.broadcast(bits)
 
@@ -146,7 +147,8 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             packed = [len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in binaries(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["_id", "_tag", "_z"])
 
-    return rows.withColumn("_at", filter_place("_id", bits)).mapInArrow(run, "_id long, _tag int, _z binary")
+    packed = rows.withColumn("_at", filter_place("_id", bits)).mapInArrow(run, "_id long, _tag long, _z binary")
+    return packed.groupBy("_id", "_tag").agg(F.first("_z").alias("_z"), F.count(F.lit(1)).alias("m"))
 
 
 def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
@@ -159,14 +161,8 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8)
 
 
-def _same_row(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on (_id, _tag), a null id being equal to itself."""
-    b = b.withColumnsRenamed({"_id": "_id2", "_tag": "_tag2"})
-    return a.join(b, a["_id"].eqNullSafe(b["_id2"]) & (a["_tag"] == b["_tag2"]), how).drop("_id2", "_tag2")
-
-
 def _candidates(rows: DataFrame, alive: DataFrame, w: int, length: int) -> DataFrame:
-    """(_id, _tag, lo, hi, a, z, core, h1, h2) of each class whose anchors' phrases all occur again.
+    """(_id, _tag, m, lo, hi, a, z, core, h1, h2) of each class whose anchors' phrases all occur again.
 
     core names the bytes from a to z: the anchors with their surroundings, the same in equal strings
     wherever they stand; h1, h2 name the bytes that any string of the class covers.
@@ -177,7 +173,7 @@ def _candidates(rows: DataFrame, alive: DataFrame, w: int, length: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, tag, z, keys in zip(*(batch.column(c).to_pylist() for c in range(3)), _lists(batch.column(3)), strict=True):
+            for i, tag, z, m_rows, keys in zip(*(batch.column(c).to_pylist() for c in range(4)), _lists(batch.column(4)), strict=True):
                 raw = _unpacked(z)
                 at = anchors(raw, w)
                 lo, hi, first, last = classes(len(raw), at, w, length)
@@ -196,12 +192,12 @@ def _candidates(rows: DataFrame, alive: DataFrame, w: int, length: int) -> DataF
                 if n:
                     cores = pa.array(np.r_[core, np.zeros(len(none), np.uint64)].view(np.int64), mask=np.r_[np.zeros(len(core), bool), np.ones(len(none), bool)])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([i] * n, pa.int64()), pa.array([tag] * n, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(a, pa.int32()), pa.array(z, pa.int32()), cores, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
-                        ["_id", "_tag", "lo", "hi", "a", "z", "core", "h1", "h2"],
+                        [*(pa.array([x] * n, pa.int64()) for x in (i, tag, m_rows)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(a, pa.int32()), pa.array(z, pa.int32()), cores, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                        ["_id", "_tag", "m", "lo", "hi", "a", "z", "core", "h1", "h2"],
                     )
 
-    joined = _same_row(_texts(rows, lists), lists).select("_id", "_tag", "_z", "alive")
-    return staged(joined.mapInArrow(run, "_id long, _tag int, lo int, hi int, a int, z int, core long, h1 long, h2 long"), "classes")
+    joined = _texts(rows, lists).join(lists, ["_id", "_tag"]).select("_id", "_tag", "_z", "m", "alive")
+    return staged(joined.mapInArrow(run, "_id long, _tag long, m long, lo int, hi int, a int, z int, core long, h1 long, h2 long"), "classes")
 
 
 def _surroundings(rows: DataFrame, tests: DataFrame, length: int) -> DataFrame:
@@ -217,15 +213,15 @@ def _surroundings(rows: DataFrame, tests: DataFrame, length: int) -> DataFrame:
                     values = (i, tag, r["core"], r["n"], r["wide"], r["lo"], raw[r["lo"] : r["a"]], raw[r["z"] : r["hi"] + length], length - (r["z"] - r["a"]))
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["_id", "_tag", "core", "n", "wide", "lo", "left", "right", "room"])
 
     lists = staged(lists, "tests")
-    joined = _same_row(_texts(rows, lists), lists).select("_id", "_tag", "_z", "tests")
-    return staged(joined.mapInArrow(run, "_id long, _tag int, core long, n long, wide boolean, lo int, left binary, right binary, room int"), "surroundings")
+    joined = _texts(rows, lists).join(lists, ["_id", "_tag"]).select("_id", "_tag", "_z", "tests")
+    return staged(joined.mapInArrow(run, "_id long, _tag long, core long, n long, wide boolean, lo int, left binary, right binary, room int"), "surroundings")
 
 
-_SPANS = "_id long, _tag int, lo int, hi int"
+_SPANS = "_id long, _tag long, lo int, hi int"
 
 
 def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +248,7 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         columns = zip(*found, strict=True) if found else [[], [], [], []]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["_id", "_tag", "lo", "hi"])
 
@@ -279,22 +275,23 @@ def _one_by_one(wide: DataFrame) -> DataFrame:
                 starts = np.arange(m)
                 h1, h2 = digests(raw, starts, starts + room)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i] * m, pa.int64()), pa.array([tag] * m, pa.int32()), pa.array([core] * m, pa.int64()), pa.array([n] * m, pa.int64()), pa.array(starts + lo, pa.int32()), pa.array(len(left) - starts, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                    [pa.array([i] * m, pa.int64()), pa.array([tag] * m, pa.int64()), pa.array([core] * m, pa.int64()), pa.array([n] * m, pa.int64()), pa.array(starts + lo, pa.int32()), pa.array(len(left) - starts, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
                     ["_id", "_tag", "core", "n", "lo", "d", "h1", "h2"],
                 )
 
-    rows = wide.mapInArrow(run, "_id long, _tag int, core long, n long, lo int, d int, h1 long, h2 long")
+    rows = wide.mapInArrow(run, "_id long, _tag long, core long, n long, lo int, d int, h1 long, h2 long")
     key = ["core", "d", "h1", "h2"]
     again = staged(rows.groupBy(*key).agg(F.sum("n").alias("m")).where("m > 1").select(*key), "wide-names")
     return rows.where("n = 1").join(again, key, "left_semi").select("_id", "_tag", "lo", F.col("lo").alias("hi"))
 
 
 def repeated_starts(rows: DataFrame, length: int) -> DataFrame:
-    """(_id, _tag, lo, hi): intervals of starts of length-byte strings that also start elsewhere."""
+    """(_id, _tag, lo, hi): by text, intervals of starts of length-byte strings that also start elsewhere: in another
+    row, be its text the same or not, or again in this one."""
     w = reach(length)
     found = _candidates(rows, _doubled(rows, w, length), w, length)
     hull = ["core", "h1", "h2"]
-    hulls = found.groupBy(*hull).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_tag", "lo", "hi", "a", "z")).alias("one"))
+    hulls = found.groupBy(*hull).agg(F.sum("m").alias("n"), F.min(F.struct("_id", "_tag", "lo", "hi", "a", "z")).alias("one"))
     hulls = staged(hulls, "hulls")
     many = hulls.where("n > 1").select(*hull)
     whole = found.join(many, [found[c].eqNullSafe(many[c]) for c in hull], "left_semi").select("_id", "_tag", "lo", "hi")
@@ -307,7 +304,7 @@ def repeated_starts(rows: DataFrame, length: int) -> DataFrame:
     return whole.unionByName(narrow).unionByName(_one_by_one(around.where("wide").select(*columns)))
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
     """Cut from every text the bytes covered by a length-byte string that also starts anywhere else.
 
     Texts are UTF-8 bytes, matches stay inside a document, overlapping starts count, and all strings are
@@ -320,12 +317,15 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     Returns every input column with text replaced by what is left (less the bytes of a character that
     was cut through), and n_bytes, n_removed, n_spans, kept (the exact bytes), in place of columns so
     named. Null and empty texts, and
-    all shorter than length, come back whole. Equal rows are each other's elsewhere. Null ids are kept.
+    all shorter than length, come back whole. Work goes by distinct text, named by the 128 bits of its md5, with the
+    number of rows that hold it: a text of several rows repeats as a whole. Ids take no part, so rows may share an
+    id or have none, and repeated rows cost no more than one of them, but for being read and cut.
     """
     docs = without(docs, "n_bytes", "n_removed", "n_spans", "kept")
-    tag = F.expr(f"cast(shiftrightunsigned(xxhash64(coalesce(`{text_col}`, '')), 40) as int)")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    half = lambda at: F.conv(F.substring(F.md5(text), at, 16), 16, -10).cast("long")
     own = [F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(docs.columns) if c != text_col]
-    whole = docs.select(*own, F.col(id_col).cast("long").alias("_id"), tag.alias("_tag"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    whole = docs.select(*own, half(1).alias("_id"), half(17).alias("_tag"), text.alias("_text"))
     rows = whole.select("_id", "_tag", "_text")
     spans = repeated_starts(rows, length)
     lists = staged(spans.groupBy("_id", "_tag").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("starts")), "spans")
@@ -376,5 +376,5 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
 
     out = f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary"
     # Texts that surely keep all their bytes need no join. Either side runs one Python worker a task.
-    hit = _same_row(marked.mapInArrow(split(True), schema), lists, "left").select(*own, "_text", "starts")
+    hit = marked.mapInArrow(split(True), schema).join(lists, ["_id", "_tag"], "left").select(*own, "_text", "starts")
     return marked.mapInArrow(clear, out).unionByName(hit.mapInArrow(cut, out))
