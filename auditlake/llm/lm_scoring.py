@@ -16,6 +16,8 @@ from auditlake.llm.elias_fano import Level, mapped
 #: Words that are symbols, whose counts go to every task (the broadcast's bound); tokens of a shard, and of a part
 #: of a word that has more (of all tokens / SYMBOLS where that is more); blocks of a shard; prior weights of bigrams and trigrams.
 SYMBOLS, SHARD_TOKENS, BLOCKS, PRIOR_2, PRIOR_3 = 1 << 19, 1 << 21, 4, 1000.0, 1.0
+#: Steps of a sum of logarithms.
+FIXED = float(1 << 32)
 _END = mix(np.array([1], np.uint64), 900)
 _BEFORE = mix(np.array([2, 3], np.uint64), 900)
 
@@ -207,8 +209,8 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     parts by the word before it, and each part is given the counts over all parts of the bigrams that it
     meets. A shard counts its training trigrams block by block, builds its part of the trie, and answers
     for all texts block by block: it holds its packed rows, its distinct trigrams and one block. Per text
-    only sums come back, packed by bucket of ids; the driver sees totals and symbols. All the contexts of
-    one pair of words are one shard's.
+    only sums come back, packed by bucket of names, in whole steps of 2^-32, so no order of adding changes
+    them; the driver sees totals and symbols. All the contexts of one pair of words are one shard's.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score. Null and
     empty text is the end token alone. Repeated rows and null ids come back as given. Without training texts
@@ -216,8 +218,9 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tag = F.expr(f"cast(shiftright(xxhash64(coalesce(`{text_col}`, '')), 32) as int)")
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), tag.alias("_tag"), text.alias("_text"), held_out.alias("_held"))
+    half = lambda at: F.conv(F.substring(F.md5(text), at, 16), 16, -10).cast("long")
+    # A text goes by the 128 bits of its md5: rows that share an id are not mixed, equal texts are scored as one.
+    rows = docs.select(F.col(id_col).alias("_own"), half(1).alias("_id"), half(17).alias("_tag"), text.alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
     vocabulary = _vocabulary(rows.where("NOT _held"))
     table = _symbols(vocabulary, symbols, shard_tokens)
     sent = spark.sparkContext.broadcast(table)
@@ -282,7 +285,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
             shard = _shard(padded[at - 1], _part(n_parts, padded[at - 2]), shards)
             order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            ids, tags, held = (np.asarray(batch.column(i).to_pylist(), object) for i in (0, 1, 3))
+            ids, tags, held = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
             out: list[list] = [[], [], [], [], [], [], [], []]
             for s in np.flatnonzero(np.diff(cuts)).tolist():
                 some = order[cuts[s] : cuts[s + 1]]
@@ -293,7 +296,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
                 block[other] = known.others + place
                 for column, value in zip(out, (s, len(some), _pack(list(block)), names[used - known.others].view(np.int64), ids[present].tolist(), tags[present].tolist(), held[present].tolist(), runs.tolist()), strict=True):
                     column.append(value)
-            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
+            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["shard", "n", "packed", "names", "ids", "tags", "held", "runs"])
 
     def answer(key: tuple, part: pa.Table, given: pa.Table) -> pa.Table:
@@ -369,31 +372,32 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
             doc = np.repeat(np.arange(len(runs)), runs)
             log_p = np.concatenate([trie.log_p(*tri[:, i : i + (1 << 18)]) for i in range(0, tri.shape[1], 1 << 18)])
             add_up = lambda x: np.bincount(doc, x[at], minlength=len(runs))  # noqa: B023, E731
-            totals.append(np.stack([add_up(seen[tri[2]]), add_up(tri[1] == first - 2), add_up(log_unigram[tri[2]]), add_up(log_p)]))
-        n_known, heads, base, score = np.concatenate(totals, axis=1)
-        runs, held = np.concatenate(all_runs), np.concatenate(all_held)
-        ids, tags = part.column("ids").combine_chunks().flatten(), part.column("tags").combine_chunks().flatten().to_numpy()
-        flags = held + 2 * ids.is_null().to_numpy(zero_copy_only=False) + 4 * (heads > 0)
-        ids = ids.fill_null(0).to_numpy().view(np.uint64)
+            totals.append(np.stack([add_up(seen[tri[2]]), add_up(log_unigram[tri[2]]), add_up(log_p)]))
+        n_known, base, score = np.concatenate(totals, axis=1)
+        runs = np.concatenate(all_runs)
+        ids, tags = (part.column(c).combine_chunks().flatten().to_numpy().view(np.uint64) for c in ("ids", "tags"))
         bucket = mix(ids, 79) % np.uint64(shards)
-        order = np.lexsort((ids, bucket))
+        order = np.lexsort((tags, ids, bucket))
+        # Rows of one text have the same sums; one of them goes back.
+        order = order[np.r_[True, (ids[order][1:] != ids[order][:-1]) | (tags[order][1:] != tags[order][:-1])]]
+        base, score = (np.round(x * FIXED).astype(np.int64).view(np.uint64) for x in (base, score))
         present, starts = np.unique(bucket[order], return_index=True)
         packed, ends = [], [*starts[1:].tolist(), len(order)]
         for a, b in zip(starts.tolist(), ends, strict=True):
             some = order[a:b]
             step = np.diff(ids[some], prepend=np.uint64(0))
-            columns = [step & np.uint64(0xFFFFFFFF), step >> np.uint64(32), tags[some].view(np.uint32), flags[some], runs[some], n_known[some], *(x[some].astype("<f4").view(np.uint32) for x in (base, score))]
+            halves = [h for x in (step, tags[some], base[some], score[some]) for h in (x & np.uint64(0xFFFFFFFF), x >> np.uint64(32))]
+            columns = [*halves, runs[some], n_known[some]]
             packed.append(_pack(columns))
         return pa.table([pa.array(present.astype(np.int32)), pa.array(np.diff(np.r_[starts, len(order)])), pa.array(packed, pa.binary())], list(sums))
 
     def add(key: tuple, part: pa.Table) -> pa.Table:
-        read = [_unpack(data.as_py(), n.as_py(), 8) for n, data in zip(part.column("n"), part.column("packed"), strict=True)]
-        ids = np.concatenate([np.cumsum(c[0].astype(np.uint64) + (c[1].astype(np.uint64) << np.uint64(32)), dtype=np.uint64) for c in read]).view(np.int64)
-        tags, flags, n, known, base, score = (np.concatenate([c[i] for c in read]) for i in range(2, 8))
-        columns = {"ids": pa.array(ids, mask=(flags & 2) > 0), "tags": tags, "held": flags & 1, "rows": flags >> 2, "n": n, "known": known, "base": base.view("<f4").astype(np.float64), "score": score.view("<f4").astype(np.float64)}
-        columns |= {c: pa.array(columns[c].astype(np.int64)) for c in ("held", "rows", "n", "known")}
-        summed = pa.table(columns).group_by(["ids", "tags"]).aggregate([("held", "max"), *((c, "sum") for c in ("n", "known", "rows", "base", "score"))])
-        return pa.table([summed.column(c) for c in ("ids", "held_max", "n_sum", "known_sum", "rows_sum", "base_sum", "score_sum")], ["_id", "held", "n", "known", "rows", "base", "score"])
+        read = [_unpack(data.as_py(), n.as_py(), 10) for n, data in zip(part.column("n"), part.column("packed"), strict=True)]
+        whole = lambda c, i: c[i].astype(np.uint64) + (c[i + 1].astype(np.uint64) << np.uint64(32))
+        columns = {"_id": [np.cumsum(whole(c, 0), dtype=np.uint64) for c in read]} | {name: [whole(c, i) for c in read] for name, i in (("_tag", 2), ("base", 4), ("score", 6))}
+        columns = {k: pa.array(np.concatenate(x).view(np.int64)) for k, x in columns.items()} | {k: pa.array(np.concatenate([c[i] for c in read]).astype(np.int64)) for k, i in (("n", 8), ("known", 9))}
+        summed = pa.table(columns).group_by(["_id", "_tag"]).aggregate([(c, "sum") for c in ("n", "known", "base", "score")])
+        return pa.table([summed.column(c) for c in ("_id", "_tag", "n_sum", "known_sum", "base_sum", "score_sum")], ["_id", "_tag", "n", "known", "base", "score"])
 
     sums = {"bucket": "int", "n": "long", "packed": "binary"}
     asked = rows.select("_text", "_held").mapInArrow(ask, "v long, w long, shard int, c long, parts long")
@@ -402,16 +406,15 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     if not all_counted:
         single = asked.where("v IS NULL").select("shard", F.col("w").alias("token")).join(vocabulary, "token")
         given = given.unionByName(single.select("shard", F.lit(0).cast("long").alias("v"), F.lit(-1).alias("part"), F.col("token").alias("w"), "c"))
-    shared = rows.mapInArrow(spread, "shard int, n long, packed binary, names array<long>, ids array<long>, tags array<int>, held array<boolean>, runs array<int>")
+    shared = rows.select("_id", "_tag", "_text", "_held").mapInArrow(spread, "shard int, n long, packed binary, names array<long>, ids array<long>, tags array<long>, held array<boolean>, runs array<int>")
     answers = shared.groupBy("shard").cogroup(given.groupBy("shard")).applyInArrow(answer, ", ".join(f"{c} {kind}" for c, kind in sums.items()))
-    whole = answers.groupBy("bucket").applyInArrow(add, "_id long, held long, n long, known long, rows long, base double, score double")
-    count = F.col("rows")
-    return whole.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), count))).select(
-        F.col("_id").alias(id_col),
-        (F.col("held") > 0).alias("held_out"),
-        (F.col("n") / count).cast("long").alias("n_tokens"),
-        (F.col("known") / count).cast("long").alias("n_known"),
+    whole = answers.groupBy("bucket").applyInArrow(add, "_id long, _tag long, n long, known long, base long, score long")
+    return rows.select("_own", "_id", "_tag", "_held").join(whole, ["_id", "_tag"]).select(
+        F.col("_own").alias(id_col),
+        F.col("_held").alias("held_out"),
+        F.col("n").alias("n_tokens"),
+        F.col("known").alias("n_known"),
         F.lit(table.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") / count).alias("base_score"),
-        (F.col("score") / count).alias("score"),
+        (F.col("base") / FIXED).alias("base_score"),
+        (F.col("score") / FIXED).alias("score"),
     )
