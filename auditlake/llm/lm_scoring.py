@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import hashed_words, mix, slices, staged
+from auditlake.llm.common import flat_bytes, hashed_words, mix, slices, staged
 from auditlake.llm.elias_fano import Level, mapped
 
 #: Words that are symbols, whose counts go to every task (the broadcast's bound); tokens of a shard, and of a part
@@ -208,9 +210,11 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     of its middle word; shards follow the number of tokens. A word of more than shard_tokens is dealt to
     parts by the word before it, and each part is given the counts over all parts of the bigrams that it
     meets. A shard counts its training trigrams block by block, builds its part of the trie, and answers
-    for all texts block by block: it holds its packed rows, its distinct trigrams and one block. Per text
-    only sums come back, packed by bucket of names, in whole steps of 2^-32, so no order of adding changes
-    them; the driver sees totals and symbols. All the contexts of one pair of words are one shard's.
+    for all texts block by block: it holds its packed rows, its distinct trigrams and one block. Only sums
+    come back, for the texts of a batch by their places in it, in whole steps of 2^-32, so no order of adding
+    changes them; ids take no part but to be given back, so rows may share one. The driver sees totals and
+    symbols. All the contexts of one pair of words are one shard's. docs is read several times and must give
+    the same rows each time, as a table does.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score. Null and
     empty text is the end token alone. Repeated rows and null ids come back as given. Without training texts
@@ -218,9 +222,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    half = lambda at: F.conv(F.substring(F.md5(text), at, 16), 16, -10).cast("long")
-    # A text goes by the 128 bits of its md5: rows that share an id are not mixed, equal texts are scored as one.
-    rows = docs.select(F.col(id_col).alias("_own"), half(1).alias("_id"), half(17).alias("_tag"), text.alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
     vocabulary = _vocabulary(rows.where("NOT _held"))
     table = _symbols(vocabulary, symbols, shard_tokens)
     sent = spark.sparkContext.broadcast(table)
@@ -277,7 +279,10 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
         known = sent.value
         parts_of = known.parts
         for batch in slices(batches, "_text", 8 << 20):
-            padded, at, doc = _trigrams(batch.column(2))
+            data, offsets = flat_bytes(batch.column(1))
+            # Batches of the same texts have one name, and the same sums.
+            name = hashlib.blake2b(data, digest_size=16, key=hashlib.blake2b(offsets.tobytes()).digest()).digest()
+            padded, at, doc = _trigrams(batch.column(1))
             number, names = known.split(padded)
             v = number[at - 1]
             n_parts = np.ones(len(v), np.int64)
@@ -285,8 +290,10 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
             shard = _shard(padded[at - 1], _part(n_parts, padded[at - 2]), shards)
             order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            ids, tags, held = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            out: list[list] = [[], [], [], [], [], [], [], []]
+            held = batch.column(2).to_numpy(zero_copy_only=False)
+            ids, none = batch.column(0).fill_null(0).to_numpy().view(np.uint64), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            own = _pack([ids & np.uint64(0xFFFFFFFF), ids >> np.uint64(32), none + 2 * held])
+            out: list[list] = [[int.from_bytes(name[:4], "little") % shards], [0], [None], [None], [name], [len(held)], [own]]
             for s in np.flatnonzero(np.diff(cuts)).tolist():
                 some = order[cuts[s] : cuts[s + 1]]
                 present, runs = np.unique(doc[some], return_counts=True)
@@ -294,23 +301,27 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
                 other = block >= known.others
                 used, place = np.unique(block[other], return_inverse=True)
                 block[other] = known.others + place
-                for column, value in zip(out, (s, len(some), _pack(list(block)), names[used - known.others].view(np.int64), ids[present].tolist(), tags[present].tolist(), held[present].tolist(), runs.tolist()), strict=True):
+                rows_of = _pack([np.diff(present, prepend=0), runs, held[present]])
+                for column, value in zip(out, (s, len(some), _pack(list(block)), names[used - known.others].view(np.int64), name, len(present), rows_of), strict=True):
                     column.append(value)
-            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["shard", "n", "packed", "names", "ids", "tags", "held", "runs"])
+            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["shard", "n", "packed", "names", "batch", "n_rows", "rows"])
 
     def answer(key: tuple, part: pa.Table, given: pa.Table) -> pa.Table:
         known = sent.value
+        passed = part.filter(pc.equal(part.column("n"), 0)).select(["batch", "n_rows", "rows"])
+        passed = passed.append_column("sums", pa.array([False] * passed.num_rows, pa.bool_()))
+        part = part.filter(pc.greater(part.column("n"), 0))
         if not part.num_rows:
-            return pa.table([pa.array([], k) for k in (pa.int32(), pa.int64(), pa.binary())], list(sums))
+            return passed
         first, parts_of = known.others, known.parts
         class_of = np.r_[0, np.cumsum(parts_of)]  # of the symbols; every other word has one class
         own = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in part.column("names")]
         names = np.unique(np.concatenate(own))
         hashes = np.r_[known.hashes, _BEFORE, names]
         width = np.uint64(len(hashes))
-        all_runs = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in part.column("runs")]
-        all_held = [x.values.to_numpy(zero_copy_only=False) for x in part.column("held")]
+        all_docs, all_runs, all_held = zip(*(_unpack(x.as_py(), m.as_py(), 3) for x, m in zip(part.column("rows"), part.column("n_rows"), strict=True)), strict=True)
+        all_runs, all_held = [x.astype(np.int64) for x in all_runs], [x > 0 for x in all_held]
         sizes = part.column("n").to_pylist()
         cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(sizes) // max(1, shard_tokens // BLOCKS))) + 1, len(sizes)]
 
@@ -374,43 +385,44 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
             add_up = lambda x: np.bincount(doc, x[at], minlength=len(runs))  # noqa: B023, E731
             totals.append(np.stack([add_up(seen[tri[2]]), add_up(log_unigram[tri[2]]), add_up(log_p)]))
         n_known, base, score = np.concatenate(totals, axis=1)
-        runs = np.concatenate(all_runs)
-        ids, tags = (part.column(c).combine_chunks().flatten().to_numpy().view(np.uint64) for c in ("ids", "tags"))
-        bucket = mix(ids, 79) % np.uint64(shards)
-        order = np.lexsort((tags, ids, bucket))
-        # Rows of one text have the same sums; one of them goes back.
-        order = order[np.r_[True, (ids[order][1:] != ids[order][:-1]) | (tags[order][1:] != tags[order][:-1])]]
+        packed, seen_batches, a = [], {}, 0
         base, score = (np.round(x * FIXED).astype(np.int64).view(np.uint64) for x in (base, score))
-        present, starts = np.unique(bucket[order], return_index=True)
-        packed, ends = [], [*starts[1:].tolist(), len(order)]
-        for a, b in zip(starts.tolist(), ends, strict=True):
-            some = order[a:b]
-            step = np.diff(ids[some], prepend=np.uint64(0))
-            halves = [h for x in (step, tags[some], base[some], score[some]) for h in (x & np.uint64(0xFFFFFFFF), x >> np.uint64(32))]
-            columns = [*halves, runs[some], n_known[some]]
-            packed.append(_pack(columns))
-        return pa.table([pa.array(present.astype(np.int32)), pa.array(np.diff(np.r_[starts, len(order)])), pa.array(packed, pa.binary())], list(sums))
-
-    def add(key: tuple, part: pa.Table) -> pa.Table:
-        read = [_unpack(data.as_py(), n.as_py(), 10) for n, data in zip(part.column("n"), part.column("packed"), strict=True)]
-        whole = lambda c, i: c[i].astype(np.uint64) + (c[i + 1].astype(np.uint64) << np.uint64(32))
-        columns = {"_id": [np.cumsum(whole(c, 0), dtype=np.uint64) for c in read]} | {name: [whole(c, i) for c in read] for name, i in (("_tag", 2), ("base", 4), ("score", 6))}
-        columns = {k: pa.array(np.concatenate(x).view(np.int64)) for k, x in columns.items()} | {k: pa.array(np.concatenate([c[i] for c in read]).astype(np.int64)) for k, i in (("n", 8), ("known", 9))}
-        summed = pa.table(columns).group_by(["_id", "_tag"]).aggregate([(c, "sum") for c in ("n", "known", "base", "score")])
-        return pa.table([summed.column(c) for c in ("_id", "_tag", "n_sum", "known_sum", "base_sum", "score_sum")], ["_id", "_tag", "n", "known", "base", "score"])
-
-    sums = {"bucket": "int", "n": "long", "packed": "binary"}
+        for k, (name, steps, runs) in enumerate(zip(part.column("batch").to_pylist(), all_docs, all_runs, strict=True)):
+            b = a + len(steps)
+            if name not in seen_batches:
+                seen_batches[name] = k
+                halves = [h for x in (base[a:b], score[a:b]) for h in (x & np.uint64(0xFFFFFFFF), x >> np.uint64(32))]
+                packed.append(_pack([steps, runs, n_known[a:b], *halves]))
+            a = b
+        kept = part.take(pa.array(seen_batches.values(), pa.int64())).select(["batch", "n_rows"])
+        told = kept.append_column("rows", pa.array(packed, pa.binary())).append_column("sums", pa.array([True] * len(packed), pa.bool_()))
+        return pa.concat_tables([passed, told.cast(passed.schema)])
+
+    def add(part: pa.Table) -> pa.Table:
+        """The rows of the batches of one name, from the sums that every shard has of them."""
+        told = [x for x in part.select(["n_rows", "rows", "sums"]).to_pylist() if x["sums"]]
+        own = [_unpack(x["rows"], x["n_rows"], 3) for x in part.select(["n_rows", "rows", "sums"]).to_pylist() if not x["sums"]]
+        sums = np.zeros((4, len(own[0][0])), np.int64)
+        for x in told:
+            steps, runs, known, *halves = _unpack(x["rows"], x["n_rows"], 7)
+            whole = [(lo.astype(np.uint64) + (hi.astype(np.uint64) << np.uint64(32))).view(np.int64) for lo, hi in (halves[:2], halves[2:])]
+            sums[:, np.cumsum(steps)] += np.stack([runs.astype(np.int64), known.astype(np.int64), *whole])
+        n, known, base, score = (np.tile(x, len(own)) for x in sums)
+        lo, hi, flags = (np.concatenate([o[i] for o in own]) for i in range(3))
+        ids = (lo.astype(np.uint64) + (hi.astype(np.uint64) << np.uint64(32))).view(np.int64)
+        return pa.table({"_id": pa.array(ids, mask=(flags & 1) > 0), "_held": pa.array((flags & 2) > 0), "n": n, "known": known, "base": base, "score": score})
+
     asked = rows.select("_text", "_held").mapInArrow(ask, "v long, w long, shard int, c long, parts long")
     asked = staged(asked.groupBy("v", "w", "shard").agg(F.sum("c").alias("c"), F.bit_or("parts").alias("parts")), "asked")
     given = asked.where("c > 0").select("v", "w", "c", "parts").mapInArrow(to_parts, "shard int, v long, part int, w long, c long")
     if not all_counted:
         single = asked.where("v IS NULL").select("shard", F.col("w").alias("token")).join(vocabulary, "token")
         given = given.unionByName(single.select("shard", F.lit(0).cast("long").alias("v"), F.lit(-1).alias("part"), F.col("token").alias("w"), "c"))
-    shared = rows.select("_id", "_tag", "_text", "_held").mapInArrow(spread, "shard int, n long, packed binary, names array<long>, ids array<long>, tags array<long>, held array<boolean>, runs array<int>")
-    answers = shared.groupBy("shard").cogroup(given.groupBy("shard")).applyInArrow(answer, ", ".join(f"{c} {kind}" for c, kind in sums.items()))
-    whole = answers.groupBy("bucket").applyInArrow(add, "_id long, _tag long, n long, known long, base long, score long")
-    return rows.select("_own", "_id", "_tag", "_held").join(whole, ["_id", "_tag"]).select(
-        F.col("_own").alias(id_col),
+    shared = rows.mapInArrow(spread, "shard int, n long, packed binary, names array<long>, batch binary, n_rows int, rows binary")
+    answers = shared.groupBy("shard").cogroup(given.groupBy("shard")).applyInArrow(answer, "batch binary, n_rows int, rows binary, sums boolean")
+    whole = answers.groupBy("batch").applyInArrow(add, "_id long, _held boolean, n long, known long, base long, score long")
+    return whole.select(
+        F.col("_id").alias(id_col),
         F.col("_held").alias("held_out"),
         F.col("n").alias("n_tokens"),
         F.col("known").alias("n_known"),
