@@ -2,32 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from auditlake.functions.columns import glob_regex, project_path, resolve_path, stem, strip_comment, strip_hdl_comments
 from auditlake.operators.scratch import written
 from auditlake.sources.lines import lines_of
 
-#: Commands and value options of Tcl lists, extensions of sources, words that start a
-#: statement and name no module.
+#: Commands and value options of Tcl lists, extensions of sources.
 TCL_COMMAND = r"^\s*(?:add_files|read_verilog|read_vhdl|read_xdc|read_ip|read_mem|import_files)\b(.*)$"
 TCL_VALUE_OPTIONS = ["-fileset", "-of_objects", "-copy_to", "-library", "-sub_design"]
 SOURCES, VERILOG = r"(?i)\.(v|sv|vhd|vhdl|vh|svh)$", r"(?i)\.(v|sv|vh|svh)$"
-NOT_MODULES = [
-    # statements
-    "if", "else", "for", "while", "do", "repeat", "forever", "foreach", "case", "casex", "casez", "begin", "end", "fork", "join", "return", "wait", "disable", "unique", "unique0", "priority", "when", "others", "null", "report", "severity",
-    # processes and assertions
-    "always", "always_comb", "always_ff", "always_latch", "initial", "assign", "generate", "endgenerate", "process", "assert", "assume", "cover", "expect", "property", "sequence",
-    # declarations
-    "module", "endmodule", "function", "task", "interface", "endinterface", "modport", "package", "endpackage", "class", "endclass", "entity", "architecture", "component", "port", "map", "signal", "variable", "constant", "type", "subtype", "is", "of", "import", "export", "extern", "virtual", "pure", "context",
-    # types and ports
-    "input", "output", "inout", "wire", "reg", "logic", "parameter", "localparam", "integer", "real", "time", "genvar", "signed", "unsigned", "automatic", "static", "typedef", "struct", "union", "enum",
-    # randomisation
-    "with", "inside", "dist", "solve", "before", "constraint", "rand", "randc", "randcase",
-    # edges and gates
-    "posedge", "negedge", "and", "or", "not", "xor", "nand", "nor", "xnor", "buf", "bufif0", "bufif1",
-]
+#: Reserved words of IEEE 1364-2005, of IEEE 1800-2017 beside them, and of IEEE 1076-2008: none of them names a module.
+VERILOG_2005 = """always and assign automatic begin buf bufif0 bufif1 case casex casez cell cmos config deassign default defparam
+    design disable edge else end endcase endconfig endfunction endgenerate endmodule endprimitive endspecify endtable endtask event
+    for force forever fork function generate genvar highz0 highz1 if ifnone incdir include initial inout input instance integer join
+    large liblist library localparam macromodule medium module nand negedge nmos nor noshowcancelled not notif0 notif1 or output
+    parameter pmos posedge primitive pull0 pull1 pulldown pullup pulsestyle_ondetect pulsestyle_onevent rcmos real realtime reg
+    release repeat rnmos rpmos rtran rtranif0 rtranif1 scalared showcancelled signed small specify specparam strong0 strong1 supply0
+    supply1 table task time tran tranif0 tranif1 tri tri0 tri1 triand trior trireg unsigned use uwire vectored wait wand weak0 weak1
+    while wire wor xnor xor""".split()
+SYSTEM_VERILOG_2017 = """accept_on alias always_comb always_ff always_latch assert assume before bind bins binsof bit break byte
+    chandle checker class clocking const constraint context continue cover covergroup coverpoint cross dist do endchecker endclass
+    endclocking endgroup endinterface endpackage endprogram endproperty endsequence enum eventually expect export extends extern
+    final first_match foreach forkjoin global iff ignore_bins illegal_bins implements implies import inside int interconnect
+    interface intersect join_any join_none let local logic longint matches modport nettype new nexttime null package packed priority
+    program property protected pure rand randc randcase randsequence ref reject_on restrict return s_always s_eventually s_nexttime
+    s_until s_until_with sequence shortint shortreal soft solve static string strong struct super sync_accept_on sync_reject_on
+    tagged this throughout timeprecision timeunit type typedef union unique unique0 until until_with untyped var virtual void
+    wait_order weak wildcard with within""".split()
+VHDL_2008 = """abs access after alias all and architecture array assert assume assume_guarantee attribute begin block body buffer bus
+    case component configuration constant context cover default disconnect downto else elsif end entity exit fairness file for force
+    function generate generic group guarded if impure in inertial inout is label library linkage literal loop map mod nand new next
+    nor not null of on open or others out package parameter port postponed procedure process property protected pure range record
+    register reject release rem report restrict restrict_guarantee return rol ror select sequence severity shared signal sla sll sra
+    srl strong subtype then to transport type unaffected units until use variable vmode vprop vunit wait when while with xnor
+    xor""".split()
+#: A name, and what may stand between the name of a module and that of its instance, and after that one.
+_NAME = r"[A-Za-z_]\w*+"
+_PARAMETERS, _RANGE = r"[ \t]*+#[ \t]*+\([^;]*?\)[ \t]*+", r"(?:\[[^\]]*+\][ \t]*+)?+"
+INSTANCE = rf"(?m)^[ \t]*+({_NAME})(?:{_PARAMETERS}|[ \t]++){_NAME}[ \t]*+{_RANGE}\("
+DECLARATION, VHDL_USE = rf"(?m)^\s*(?:module|entity)\s+({_NAME})", rf"(?i)\b(?:entity\s+(?:\w+\.)?|component\s+)({_NAME})"
 DEPTH = 16
 
 
@@ -39,22 +55,17 @@ def list_entries(lists: DataFrame) -> DataFrame:
     """
     lines = lines_of(lists.select("path", "text")).withColumn("value", F.trim(strip_comment(F.col("value"))))
     words = lines.select("path", "ln", F.posexplode(F.split("value", r"\s+")).alias("at", "token")).where("token <> ''")
-    ordered = F.array_sort(F.collect_list(F.struct("ln", "at", "token")))
-    state = "struct<wait boolean, found array<struct<kind string, value string>>>"
-
-    def step(acc: Column, word: Column) -> Column:
-        token, waiting = word["token"], acc["wait"]
-        opens = ~waiting & token.isin("-f", "-F")
-        kind = F.when(waiting, "list").when(F.startswith(token, F.lit("+incdir+")), "incdir").when(F.startswith(token, F.lit("+define+")), "define").when(~token.rlike("^[-+]"), "file")
-        value = F.when(kind.isin("incdir", "define"), F.substring(token, 9, 1 << 20)).otherwise(token)
-        one = F.array(F.struct(kind.alias("kind"), value.alias("value")))
-        found = F.when(opens | kind.isNull(), acc["found"]).otherwise(F.concat(acc["found"], one))
-        return F.struct(opens.alias("wait"), found.alias("found")).cast(state)
-
-    start = F.struct(F.lit(False).alias("wait"), F.array().cast("array<struct<kind string, value string>>").alias("found")).cast(state)
-    read = words.groupBy("path").agg(ordered.alias("words")).select("path", F.posexplode(F.aggregate("words", start, step, lambda acc: acc["found"])).alias("ord", "e"))
-    value = F.when(F.col("e.kind") == "define", F.col("e.value")).otherwise(resolve_path(F.col("e.value"), F.col("path")))
-    return read.select("path", "ord", F.col("e.kind").alias("kind"), value.alias("value"))
+    by_list = Window.partitionBy("path").orderBy("ln", "at")
+    # Of switches in a row that want a name the second is the first one's name, the third wants one again.
+    words = words.withColumns({"_wants": F.col("token").isin("-f", "-F"), "_row": F.count_if(~F.col("token").isin("-f", "-F")).over(by_list)})
+    in_row = F.count_if("_wants").over(Window.partitionBy("path", "_row").orderBy("ln", "at"))
+    words = words.withColumn("_opens", F.col("_wants") & (in_row % 2 == 1))
+    words = words.withColumn("_named", F.coalesce(F.lag("_opens").over(by_list), F.lit(False)))
+    token = F.col("token")
+    kind = F.when(F.col("_named"), "list").when(F.startswith(token, F.lit("+incdir+")), "incdir").when(F.startswith(token, F.lit("+define+")), "define").when(~token.rlike("^[-+]"), "file")
+    read = words.where("NOT _opens").withColumn("kind", kind).where("kind IS NOT NULL").withColumn("ord", F.row_number().over(by_list) - 1)
+    bare = F.when(F.col("kind").isin("incdir", "define"), F.substring(token, 9, 1 << 20)).otherwise(token)
+    return read.select("path", "ord", "kind", F.when(F.col("kind") == "define", bare).otherwise(resolve_path(bare, F.col("path"))).alias("value"))
 
 
 def list_counts(entries: DataFrame) -> DataFrame:
@@ -71,17 +82,59 @@ def ignored_modules(named: DataFrame, files: DataFrame) -> DataFrame:
 def tcl_entries(lists: DataFrame) -> DataFrame:
     """Files named by reading commands of Tcl lists; an option that takes a value takes the next word."""
     lines = lines_of(lists.select("path", "text")).withColumn("tail", F.regexp_extract(strip_comment(F.col("value")), TCL_COMMAND, 1)).where("tail <> ''")
-    words = F.filter(F.transform(F.regexp_extract_all("tail", F.lit(r'\{[^{}]*\}|"[^"]*"|\S+'), F.lit(0)), lambda t: F.regexp_replace(t, r'^[{"]|[}"]$', "")), lambda t: t != "")
-    state = "struct<skip boolean, found array<string>>"
-
-    def step(acc: Column, word: Column) -> Column:
-        option = word.rlike(r"^-\S+$")
-        found = F.when(acc["skip"] | option, acc["found"]).otherwise(F.concat(acc["found"], F.array(word)))
-        return F.struct((~acc["skip"] & word.isin(TCL_VALUE_OPTIONS)).alias("skip"), found.alias("found")).cast(state)
-
-    start = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("found")).cast(state)
-    files = lines.select("path", "ln", F.posexplode(F.aggregate(words, start, step, lambda acc: acc["found"])).alias("at", "entry"))
-    return files.select("path", "ln", "at", F.lit("file").alias("kind"), resolve_path(F.col("entry"), F.col("path")).alias("value"))
+    bare = F.filter(F.transform(F.regexp_extract_all("tail", F.lit(r'\{[^{}]*\}|"[^"]*"|\S+'), F.lit(0)), lambda t: F.regexp_replace(t, r'^[{"]|[}"]$', "")), lambda t: t != "")
+    words = lines.select("path", "ln", F.posexplode(bare).alias("at", "word"))
+    by_line = Window.partitionBy("path", "ln").orderBy("at")
+    # An option in the place of another's value is that value, whatever it looks like.
+    wants = F.col("word").isin(TCL_VALUE_OPTIONS)
+    words = words.withColumns({"_wants": wants, "_row": F.count_if(~wants).over(by_line)})
+    in_row = F.count_if("_wants").over(Window.partitionBy("path", "ln", "_row").orderBy("at"))
+    words = words.withColumn("_skips", F.col("_wants") & (in_row % 2 == 1))
+    words = words.withColumn("_value", F.coalesce(F.lag("_skips").over(by_line), F.lit(False)))
+    files = words.where(~F.col("_value") & ~F.col("word").rlike(r"^-\S+$"))
+    return files.select("path", "ln", "at", F.lit("file").alias("kind"), resolve_path(F.col("word"), F.col("path")).alias("value"))
+
+
+def entries_of(lists: DataFrame) -> DataFrame:
+    """(path, ord, kind, value) of lists (path, text) of both kinds; those named .tcl are Tcl."""
+    tcl = F.endswith(F.lower("path"), F.lit(".tcl"))
+    ordered = F.row_number().over(Window.partitionBy("path").orderBy("ln", "at")) - 1
+    return list_entries(lists.where(~tcl)).unionByName(tcl_entries(lists.where(tcl)).withColumn("ord", ordered).select("path", "ord", "kind", "value"))
+
+
+def flattened_lists(roots: DataFrame, entries: DataFrame, lists: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(root, ord, kind, value): all that a root list (path) names, itself and through others, depth first.
+
+    kind: list (each visited list, the root first), file, incdir, define, or error. A list is read where it is met
+    first in this order, so a list that names one above it, or one already read, adds nothing. A list that is not
+    among lists (path) is an error, as is every mention of one more than `depth` levels down. entries are those of
+    entries_of. A root without text is an error row; an empty table gives none.
+
+    A list's place is a key: the ordinals on the way to it from the root. Keys sort as the order sorts, a list's key is
+    the least that any list read on the way gives it, and all keys are improved together, round by round and written
+    each time, until none changes. Edges between lists alone take part in the rounds.
+    """
+    edges = written(entries.where("kind = 'list'").select("path", "ord", F.col("value").alias("nested")), "list-edges")
+    start = roots.select(F.col("path").alias("root")).distinct().select("root", F.col("root").alias("path"), F.array().cast("array<int>").alias("key"))
+    at, was = written(start, "list-keys"), None
+    for _ in range(64 * depth):
+        now = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("root", "path", "key").cast("decimal(38,0)"))).first()
+        if now == was:
+            break
+        was = now
+        met = at.where(F.size("key") < depth).join(edges, "path").select("root", F.col("nested").alias("path"), F.concat("key", F.array("ord")).alias("key"))
+        at = written(start.unionByName(met).groupBy("root", "path").agg(F.min("key").alias("key")), "list-keys")
+    else:
+        raise RuntimeError("the keys of lists did not settle")
+    known = lists.select("path").distinct().withColumn("_known", F.lit(True))
+    read = at.join(known, "path", "left")
+    own = read.select("root", "key", F.lit("list").alias("kind"), F.col("path").alias("value"))
+    gone = read.where("_known IS NULL").select("root", F.concat("key", F.array(F.lit(-1))).alias("key"), F.lit("error").alias("kind"), F.concat(F.lit("file list not found: "), "path").alias("value"))
+    named = at.join(entries.withColumnRenamed("kind", "_kind"), "path").where((F.col("_kind") != "list") | (F.size("key") == depth))
+    deep = F.col("_kind") == "list"
+    rows = named.select("root", F.concat("key", F.array("ord")).alias("key"), F.when(deep, "error").otherwise(F.col("_kind")).alias("kind"), F.when(deep, F.concat(F.lit("file list nesting too deep at "), "value")).otherwise(F.col("value")).alias("value"))
+    every = own.unionByName(gone).unionByName(rows)
+    return every.select("root", (F.row_number().over(Window.partitionBy("root").orderBy("key")) - 1).alias("ord"), "kind", "value")
 
 
 def reached_lists(roots: DataFrame, entries: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -99,34 +152,20 @@ def reached_lists(roots: DataFrame, entries: DataFrame, depth: int = DEPTH) -> D
     return out
 
 
-def _uses(body: Column) -> Column:
-    """Names of what a Verilog text instantiates, by a scan of its tokens: a name that begins a line, a list of
-    parameters or none, the name of the instance, a range or none, and an opening bracket."""
-    tokens = F.regexp_extract_all(F.regexp_replace(body, r"(?m)^[ \t]*", "\u0001"), F.lit(r"\u0001?[A-Za-z_]\w*|[#()\[\];]|[^\s\u0001]"), F.lit(0))
-    state = "struct<at string, depth int, module string, found array<string>>"
-
-    def step(acc: Column, token: Column) -> Column:
-        at, depth = acc["at"], acc["depth"]
-        first = F.startswith(token, F.lit("\u0001"))
-        name = token.rlike(r"^[A-Za-z_]")
-        opened = depth + F.when(token == "(", 1).when(token == ")", -1).otherwise(0)
-        to = lambda where, n=F.lit(0), module=acc["module"], found=acc["found"]: F.struct(F.lit(where).alias("at"), n.cast("int").alias("depth"), module.alias("module"), found.alias("found")).cast(state)
-        return (
-            F.when(first & (at != "parameters"), to("module", module=F.substring(token, 2, 1 << 20)))
-            .when((at == "module") & (token == "#"), to("before"))
-            .when((at == "before") & (token == "("), to("parameters", F.lit(1)))
-            .when((at == "parameters") & (token != ";") & (opened > 0), to("parameters", opened))
-            .when((at == "parameters") & (token != ";"), to("instance"))
-            .when(at.isin("module", "instance") & name, to("named"))
-            .when((at == "named") & (token == "["), to("range"))
-            .when((at == "range") & (token != "]"), to("range"))
-            .when(at == "range", to("ranged"))
-            .when(at.isin("named", "ranged") & (token == "("), to("out", found=F.concat(acc["found"], F.array(acc["module"]))))
-            .otherwise(to("out"))
-        )
-
-    start = F.struct(F.lit("out").alias("at"), F.lit(0).alias("depth"), F.lit("").alias("module"), F.array().cast("array<string>").alias("found")).cast(state)
-    return F.array_distinct(F.aggregate(tokens, start, step, lambda acc: acc["found"]))
+def module_sides(files: DataFrame) -> DataFrame:
+    """(path, module, declares, uses, raw) of source files (path, text), once for each name of a file: whether it
+    is declared there, instantiated there, and declared in the text with its comments. A source's own reserved words are no
+    modules."""
+    src = files.where(F.col("path").rlike(SOURCES)).withColumn("_verilog", F.col("path").rlike(VERILOG))
+    body = F.when(F.col("_verilog"), strip_hdl_comments(F.col("text"))).otherwise(strip_hdl_comments(F.col("text"), False))
+    src = src.withColumn("_body", body)
+    found = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    uses = F.when(F.col("_verilog"), found("_body", INSTANCE)).otherwise(found("_body", VHDL_USE))
+    words = F.when(F.col("_verilog"), F.lit(VERILOG_2005 + SYSTEM_VERILOG_2017)).otherwise(F.lit(VHDL_2008))
+    tagged = lambda names, side: F.transform(F.array_distinct(names), lambda m: F.struct(m.alias("module"), F.lit(side).alias("side")))
+    sides = F.concat(tagged(found("_body", DECLARATION), "declares"), tagged(F.filter(uses, lambda m: ~F.array_contains(words, F.lower(m))), "uses"), tagged(found("text", DECLARATION), "raw"))
+    rows = src.select("path", F.explode(sides).alias("s")).select("path", "s.module", "s.side")
+    return rows.groupBy("path", "module").agg(*(F.bool_or(F.col("side") == s).alias(s) for s in ("declares", "uses", "raw")))
 
 
 def module_edges(files: DataFrame) -> DataFrame:
@@ -134,15 +173,16 @@ def module_edges(files: DataFrame) -> DataFrame:
 
     Names that only the files declaring them use are declarations, not uses.
     """
-    src = files.where(F.col("path").rlike(SOURCES))
-    verilog = F.col("path").rlike(VERILOG)
-    src = src.select("path", verilog.alias("verilog"), F.when(verilog, strip_hdl_comments(F.col("text"))).otherwise(strip_hdl_comments(F.col("text"), False)).alias("body"))
-    after = lambda words: F.array_distinct(F.regexp_extract_all("body", F.lit(words + r"([A-Za-z_]\w*)"), F.lit(1)))
-    declares = src.select("path", F.explode(after(r"(?m)^\s*(?:module|entity)\s+")).alias("module"))
-    uses = src.select("path", F.explode(F.when(F.col("verilog"), _uses(F.col("body"))).otherwise(after(r"(?i)\b(?:entity\s+(?:\w+\.)?|component\s+)"))).alias("module")).where(~F.lower("module").isin(NOT_MODULES))
-    sides = declares.withColumn("d", F.lit(1)).withColumn("u", F.lit(0)).unionByName(uses.withColumn("d", F.lit(0)).withColumn("u", F.lit(1))).groupBy("module", "path").agg(F.max("d").alias("d"), F.max("u").alias("u"))
-    own = sides.groupBy("module").agg(F.min(F.least("d", "u")).alias("same")).where("same = 1").select("module")
-    return declares.withColumn("edge", F.lit("declares")).unionByName(uses.join(own, "module", "left_anti").withColumn("edge", F.lit("instantiates")).select("path", "module", "edge"))
+    sides = written(module_sides(files).select("path", "module", "declares", "uses"), "sides")
+    return edges_of(sides, [])
+
+
+def edges_of(sides: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path, module, edge) of rows of module_sides, those of one key together."""
+    own = sides.where("declares OR uses").groupBy(*keys, "module").agg(F.bool_and(F.col("declares") & F.col("uses")).alias("_same")).where("_same").select(*keys, "module")
+    uses = sides.where("uses").join(own, [*keys, "module"], "left_anti")
+    edge = lambda rows, name: rows.select(*keys, "path", "module", F.lit(name).alias("edge"))
+    return edge(sides.where("declares"), "declares").unionByName(edge(uses, "instantiates"))
 
 
 _PROJECT = "FileSets struct<FileSet: array<struct<_Name: string, File: array<struct<_Path: string>>, Config: array<struct<Option: array<struct<_Name: string, _Val: string>>>>>>>"
