@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Cells that mean "no number", in tables and in timing summaries.
 NO_NUMBER = ["", "NA", "N/A", "-", "--"]
@@ -137,19 +140,96 @@ def resolve_path(entry: Column, owner: Column) -> Column:
     return fold_path(F.when(F.startswith(entry, F.lit("/")), entry).otherwise(F.concat(folder, entry)))
 
 
-def json_text(value: Column) -> Column:
-    """A scalar as JSON text; null as null."""
-    return F.when(value.isNull(), "null").otherwise(F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))
-
-
-def evidence_digest(rule: Column, evidence: dict[str, Column]) -> Column:
-    """F8: 12 hex digits over a finding's id and evidence, keys sorted, with the separators ", " and ": ".
-
-    Nulls are kept. Doubles agree with other writers of JSON between 0.001 and 10 million, where both print plain digits.
-    """
-    fields = [F.concat(F.lit(f'"{name}": '), json_text(evidence[name])) for name in sorted(evidence)]
-    inner = F.array_join(F.array(*fields), ", ") if fields else F.lit("")
-    return F.left(F.sha2(F.concat(F.lit('{"evidence": {'), inner, F.lit('}, "id": '), json_text(rule), F.lit("}")), 256), F.lit(12))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def number_text(x: Column) -> Column:
+    """A double in the fewest digits that give it back: plain from 0.0001 to below 10^16, else with an exponent of two
+    digits at least; a whole number keeps ".0"."""
+
+    def digits_of(text: Column) -> Column:
+        """Digits without zeros at either end, and how many of them stand before the point."""
+        mantissa, power = F.substring_index(text, "E", 1), F.when(F.contains(text, F.lit("E")), F.substring_index(text, "E", -1).cast("int")).otherwise(0)
+        whole = F.substring_index(mantissa, ".", 1)
+        every = F.concat(whole, F.substring_index(mantissa, ".", -1))
+        bare = F.ltrim(every, F.lit("0"))
+        return F.struct(F.rtrim(bare, F.lit("0")).alias("digits"), (F.length(whole) + power - F.length(every) + F.length(bare)).alias("point"))
+
+    def shorter(d: Column) -> Column:
+        """The runtime may print a digit more than it takes: the two neighbours with one less are tried."""
+        n = F.length(d["digits"]) - 1
+        low = F.left(d["digits"], n)
+        high = (low.cast("decimal(20,0)") + 1).cast("string")
+        fits = lambda t: (n > 0) & (F.concat(t, F.lit("E"), (d["point"] - n).cast("string")).try_cast("double") == F.abs(x))
+        as_digits = lambda t: F.struct(F.rtrim(t, F.lit("0")).alias("digits"), (d["point"] - n + F.length(t)).alias("point"))
+        up = F.right(d["digits"], F.lit(1)) >= "5"
+        return F.when(up & fits(high), as_digits(high)).when(fits(low), as_digits(low)).when(fits(high), as_digits(high)).otherwise(d)
+
+    def laid_out(d: Column) -> Column:
+        digits, point = d["digits"], d["point"]
+        n = F.length(digits)
+        zeros = lambda k: F.repeat(F.lit("0"), k)
+        tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
+        power = F.when(F.abs(point - 1) < 10, F.concat(F.lit("0"), F.abs(point - 1).cast("string"))).otherwise(F.abs(point - 1).cast("string"))
+        return (
+            F.when(digits == "", "0.0")
+            .when((point > 16) | (point < -3), F.concat(F.left(digits, F.lit(1)), tail, F.when(point < 1, "e-").otherwise("e+"), power))
+            .when(point <= 0, F.concat(F.lit("0."), zeros(-point), digits))
+            .when(point >= n, F.concat(digits, zeros(point - n), F.lit(".0")))
+            .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+        )
+
+    text = F.abs(x).cast("string")
+    sign = F.when(F.startswith(x.cast("string"), F.lit("-")), "-").otherwise("")
+    plain = F.concat(sign, let(digits_of(text), lambda d: let(shorter(d), laid_out)))
+    return F.when(F.isnan(x), "NaN").when(text == "Infinity", F.concat(sign, F.lit("Infinity"))).otherwise(plain)
+
+
+def json_string(text: Column) -> Column:
+    """A string as JSON: quotes, backslashes and control characters are escaped, everything else stands as it is."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+    for code in range(32):
+        out = F.replace(out, F.lit(chr(code)), F.lit(short.get(code, f"\\u{code:04x}")))
+    return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1f"\\]'), out).otherwise(text), F.lit('"'))
+
+
+def canonical_json(value: Column, kind: T.DataType) -> Column:
+    """F8, H4: a value of any type as JSON text: keys sorted, nulls kept, ", " and ": " between, doubles as number_text."""
+    if isinstance(kind, T.StructType):
+        fields = [F.concat(json_string(F.lit(f.name)), F.lit(": "), canonical_json(value[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        text = F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda v: canonical_json(v, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        entry = lambda e: F.concat(json_string(e["key"]), F.lit(": "), canonical_json(e["value"], kind.valueType))
+        by_key = F.array_sort(F.map_entries(value), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(by_key, entry), ", "), F.lit("}"))
+    elif isinstance(kind, T.StringType):
+        text = json_string(value)
+    elif isinstance(kind, T.FractionalType):
+        text = number_text(value.cast("double"))
+    elif isinstance(kind, (T.IntegralType, T.BooleanType)):
+        text = value.cast("string")
+    else:
+        text = F.lit("null") if isinstance(kind, T.NullType) else json_string(value.cast("string"))
+    return F.coalesce(F.when(value.isNotNull(), text), F.lit("null"))
+
+
+def evidence_digest(rule: Column, evidence: Column) -> Column:
+    """F8: the first 12 hex digits of the sha256 of a finding's evidence, already canonical JSON, and id."""
+    return F.left(F.sha2(F.concat(F.lit('{"evidence": '), evidence, F.lit(', "id": '), json_string(rule), F.lit("}")), 256), F.lit(12))
+
+
+def variant_text(value: Column) -> Column:
+    """A VARIANT as the text that another value is held against: strings as they are, whole numbers in digits,
+    other numbers as number_text, True, False and None by name, lists and objects as compact JSON."""
+    kind, text = F.schema_of_variant(value), value.cast("string")
+    whole = kind.rlike(r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL\((19|[23]\d),0\))$")
+    number = kind.rlike("^(DECIMAL|DOUBLE|FLOAT)")
+    return F.when(value.isNull(), None).when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).when(number & ~whole, number_text(text.try_cast("double"))).otherwise(text)
 
 
 def ip_spec(name: Column) -> Column:

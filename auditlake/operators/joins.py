@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from auditlake.functions.columns import fold_path, glob_regex, resolve_path
+from auditlake.functions.columns import fold_path, glob_regex, resolve_path, variant_text
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -42,23 +43,59 @@ def manifest_diff(previous: DataFrame, current: DataFrame, key: str, digest: str
 
 
 def apply_waivers(findings: DataFrame, waivers: DataFrame) -> DataFrame:
-    """Findings with waived and expired flags; waived ones block nothing.
+    """Findings with waived and expired flags and the waivers behind them; waived ones block nothing.
 
     Waivers are few: they are grouped by id first, so findings go through one join, small enough to be broadcast by
     the optimiser's own check, and are neither grouped nor shuffled again.
 
-    findings: id, attrs MAP<STRING,STRING>, digest, blocks_bringup, blocks_signoff. waivers: ord, id,
-    match MAP<STRING,STRING>, evidence_digest (null binds to nothing). A waiver matches where each of its
-    pairs equals the finding's as text, an absent key being the empty text. One whose
-    digest still holds waives; if all that match have lost it, the finding is not waived but expired.
+    findings: id, attrs VARIANT (the evidence, an object), digest, blocks_bringup, blocks_signoff. waivers: ord, id,
+    match VARIANT (an object or null; both may also be maps of text), evidence_digest (null and empty bind to nothing), and reason, approved_by, date
+    where there are any. A waiver matches where each of its pairs equals the finding's as text (variant_text), an absent
+    key being the empty text. Waivers are tried in their order: one whose digest has changed is stale, the first that
+    holds waives and ends the search. If only stale ones match, the finding is not waived but expired.
+
+    waiver: the one that holds (ord, reason, approved_by, date, digest_pinned); stale: those before it (ord, reason,
+    recorded_digest).
     """
-    rules = waivers.groupBy("id").agg(F.collect_list(F.struct("match", "evidence_digest")).alias("_rules"))
-    out = findings.join(rules, "id", "left")
-    fits = lambda r: F.forall(F.map_entries(r["match"]), lambda e: F.coalesce(F.try_element_at(F.col("attrs"), e["key"]), F.lit("")) == e["value"])
-    holds = lambda r: F.coalesce(r["evidence_digest"] == F.col("digest"), r["evidence_digest"].isNull())
-    met = F.filter(F.coalesce("_rules", F.array()), fits)
-    out = out.withColumns({"waived": F.exists(met, holds), "expired": ~F.exists(met, holds) & (F.size(met) > 0)})
-    return out.withColumns({"blocks_bringup": F.col("blocks_bringup") & ~F.col("waived"), "blocks_signoff": F.col("blocks_signoff") & ~F.col("waived")}).drop("_rules")
+    said = [F.coalesce(F.col(c) if c in waivers.columns else F.lit(None).cast("string"), F.lit("")).alias(c) for c in ("reason", "approved_by", "date")]
+    wanted = F.coalesce(F.map_entries(_texts(waivers, "match")), F.array())
+    one = F.struct("ord", wanted.alias("wanted"), F.nullif("evidence_digest", F.lit("")).alias("recorded"), *said)
+    rules = waivers.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("_rules"))
+    out = findings.join(rules, "id", "left").withColumn("_texts", _texts(findings, "attrs"))
+    fits = lambda r: F.forall(r["wanted"], lambda e: F.coalesce(F.try_element_at(F.col("_texts"), e["key"]), F.lit("")) == F.coalesce(e["value"], F.lit("None")))
+    holds = lambda r: r["recorded"].isNull() | (r["recorded"] == F.col("digest"))
+    out = out.withColumn("_met", F.filter(F.coalesce("_rules", F.array()), fits))
+    first = F.get(F.filter("_met", holds), F.lit(0))
+    out = out.withColumn("_first", first)
+    stale = F.filter("_met", lambda r: ~holds(r) & (F.col("_first").isNull() | (r["ord"] < F.col("_first.ord"))))
+    out = out.withColumns({
+        "waived": F.col("_first").isNotNull(),
+        "expired": F.col("_first").isNull() & (F.size("_met") > 0),
+        "waiver": F.when(F.col("_first").isNotNull(), F.struct(*(F.col(f"_first.{c}").alias(c) for c in ("ord", "reason", "approved_by", "date")), F.col("_first.recorded").isNotNull().alias("digest_pinned"))),
+        "stale": F.transform(stale, lambda r: F.struct(r["ord"].alias("ord"), r["reason"].alias("reason"), r["recorded"].alias("recorded_digest"))),
+    })
+    blocks = {c: F.col(c) & ~F.col("waived") for c in ("blocks_bringup", "blocks_signoff")}
+    return out.withColumns(blocks).drop("_rules", "_texts", "_met", "_first")
+
+
+def _texts(rows: DataFrame, name: str) -> Column:
+    """The values of an object (VARIANT) as text by name; a map of text is that already."""
+    if isinstance(rows.schema[name].dataType, T.MapType):
+        return F.col(name)
+    return F.transform_values(F.col(name).try_cast("map<string,variant>"), lambda _, v: F.coalesce(variant_text(v), F.lit("None")))
+
+
+def waiver_events(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, event, ord, reason, approved_by, date, recorded_digest, current_digest, digest_pinned): a row for
+    every waiver that took effect (applied) or no longer holds (expired), also where another one waives the finding."""
+    text = F.lit(None).cast("string")
+    applied = F.when(F.col("waived"), F.array(F.struct(F.lit("applied").alias("event"), F.col("waiver.ord"), F.col("waiver.reason"), F.col("waiver.approved_by"), F.col("waiver.date"), text.alias("recorded_digest"), F.col("waiver.digest_pinned"))))
+    expired = F.transform("stale", lambda r: F.struct(F.lit("expired").alias("event"), r["ord"].alias("ord"), r["reason"].alias("reason"), text.alias("approved_by"), text.alias("date"), r["recorded_digest"].alias("recorded_digest"), F.lit(True).alias("digest_pinned")))
+    every = F.concat(expired, F.coalesce(applied, F.array().cast(EVENTS)))
+    return findings.select(*keys, "id", F.explode(every).alias("e"), F.col("digest").alias("current_digest")).select(*keys, "id", "e.*", "current_digest")
+
+
+EVENTS = "array<struct<event:string,ord:int,reason:string,approved_by:string,date:string,recorded_digest:string,digest_pinned:boolean>>"
 
 
 def coverage(expected: DataFrame, reports: DataFrame, keys: list[str]) -> DataFrame:

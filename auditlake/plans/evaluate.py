@@ -24,12 +24,11 @@ CHECKLIST = [
 def evaluate(families: list[DataFrame], waivers: DataFrame, keys: list[str]) -> DataFrame:
     """V1, V2, O2: the findings of all families with waivers applied and their place in the run's report.
 
-    families: results of rules.findings_of. A waiver's pairs are held against the evidence, and its digest against
-    that of the evidence.
+    families: results of rules.findings_of. A waiver's pairs are held against the evidence, whatever its types, and its
+    digest against that of the rule and its evidence (F8). waiver and stale say what was decided (joins.waiver_events).
     """
-    found = reduce(DataFrame.unionByName, (f.select(*keys, "id", "severity", "blocks_bringup", "blocks_signoff", "evidence", "source") for f in families))
-    marked = found.withColumns({"attrs": F.from_json("evidence", "map<string,string>"), "digest": F.left(F.sha2("evidence", 256), F.lit(12))})
-    out = apply_waivers(marked, waivers).drop("attrs")
+    found = reduce(DataFrame.unionByName, (f.select(*keys, "id", "severity", "blocks_bringup", "blocks_signoff", "evidence", "source", "digest") for f in families))
+    out = apply_waivers(found.withColumn("attrs", F.parse_json("evidence")), waivers).drop("attrs")
     order = Window.partitionBy(*keys).orderBy(severity_rank(F.col("severity")), "id", "evidence")
     return out.withColumn("place", F.row_number().over(order))
 

@@ -230,7 +230,7 @@ def waiver_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("c_custkey") % 4
     text = F.when(turn == 0, listed).when(turn == 1, F.concat(F.lit('{"waivers": '), listed, F.lit("}"))).when(turn == 2, F.left(listed, F.length(listed) - 3)).otherwise('{"waivers": "none"}')
     found = records.waivers_of(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), ["c_custkey"])
-    return found.select("c_custkey", "ord", "id", F.try_element_at("match", F.lit("k")).alias("k"))
+    return found.select("c_custkey", "ord", "id", F.try_variant_get("match", "$.k", "string").alias("k"))
 
 
 @query("""WITH b AS (SELECT p_partkey, p_size FROM part WHERE p_size < 45)

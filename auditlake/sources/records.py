@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_WAIVERS = "waivers array<struct<id: string, match: map<string,string>, reason: string, approved_by: string, date: string, evidence_digest: string>>"
+_WAIVERS = "waivers array<struct<id: string, match: variant, reason: string, approved_by: string, date: string, evidence_digest: string>>"
 
 
 def json_rows(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
@@ -27,12 +27,13 @@ def last_records(history: DataFrame, keys: list[str], seq: str, stage: str | Non
 
 
 def waivers_of(files: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, ord, id, match, evidence_digest) of waiver files (keys, text): an object with a list of waivers or the
-    list alone. What cannot be read waives nothing; entries without an id are left out."""
+    """(keys, ord, id, match VARIANT, reason, approved_by, date, evidence_digest) of waiver files (keys, text): an
+    object with a list of waivers or the list alone. What cannot be read waives nothing; entries without an id are left
+    out. The values of match are of any type."""
     text = F.trim("text")
     whole = F.when(F.startswith(text, F.lit("[")), F.concat(F.lit('{"waivers":'), text, F.lit("}"))).otherwise(text)
     read = json_rows(files.select(*keys, whole.alias("value")), _WAIVERS).select(*keys, F.posexplode("waivers").alias("ord", "w"))
-    return read.where("w.id <> ''").select(*keys, "ord", "w.id", F.coalesce("w.match", F.create_map().cast("map<string,string>")).alias("match"), "w.evidence_digest")
+    return read.where("w.id <> ''").select(*keys, "ord", "w.id", F.coalesce("w.match", F.parse_json(F.lit("{}"))).alias("match"), "w.reason", "w.approved_by", "w.date", "w.evidence_digest")
 
 
 def tool_versions(files: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.functions.columns import evidence_digest, fold_path, ip_spec
+from auditlake.functions.columns import canonical_json, evidence_digest, fold_path, ip_spec
 from auditlake.plans import rules as P
 from auditlake.sources import filelists, reports, tables
 from auditlake.sources.lines import lines_of
@@ -101,7 +101,9 @@ def test_module_scan(spark):  # S29
 
 
 def test_digest_and_remaining_rules(spark):  # F8, PROV, FILELIST, ENV, BITSTREAM, CTRLSET
-    row = spark.range(1).select(evidence_digest(F.lit("A.B"), {"b": F.lit('q"é'), "a": F.lit(3), "n": F.lit(None).cast("string"), "d": F.lit(2.5)})).first()[0]
+    evidence = F.struct(F.lit('q"é').alias("b"), F.lit(3).alias("a"), F.lit(None).cast("string").alias("n"), F.lit(2.5).alias("d"))
+    found = spark.range(1).select(evidence.alias("e"))
+    row = found.select(evidence_digest(F.lit("A.B"), canonical_json(F.col("e"), found.schema["e"].dataType))).first()[0]
     want = json.dumps({"id": "A.B", "evidence": {"b": 'q"é', "a": 3, "n": None, "d": 2.5}}, sort_keys=True, ensure_ascii=False)
     assert row == hashlib.sha256(want.encode()).hexdigest()[:12]
     facts = spark.sql("SELECT 'r' AS run, 1 AS n_missing_file, 0 AS n_missing_incdir, 2 AS n_file_missing, 0 AS n_undefined, CAST(NULL AS BOOLEAN) AS top_found, CAST(NULL AS BOOLEAN) AS consistent, 1 AS n_duplicate, 1 AS n_dirty, 0 AS n_warnings, true AS tool_changed, false AS os_changed, CAST(NULL AS BOOLEAN) AS os_supported, true AS requested, false AS present, 30 AS unique_control_sets, 100 AS registers, 2 AS score, 5 AS max_score")
