@@ -187,6 +187,31 @@ def number_text(x: Column) -> Column:
     return F.when(F.isnan(x), "NaN").when(text == "Infinity", F.concat(sign, F.lit("Infinity"))).otherwise(plain)
 
 
+def fixed_digits(x: Column, digits: int) -> Column:
+    """A double with so many digits after the point, rounded by its exact binary value, an exact half to the even digit.
+
+    The runtime rounds the shortest decimal half up, which differs only where that decimal ends in a five right behind
+    the last digit: there x = m * 2^-t is compared with it in whole numbers. From 10^15 on the runtime's own text stands.
+    """
+    size = F.abs(x)
+    near = size.cast(f"decimal(38,{digits + 1})")
+    scaled = (near * F.lit(10 ** (digits + 1))).cast("decimal(38,0)")
+    half = (near.cast("double") == size) & (scaled % 10 == 5)
+    t = F.greatest(F.lit(0), 52 - F.floor(F.log2(size))).cast("int")
+    m = (size * F.pow(F.lit(2.0), t)).cast("bigint")
+    two_to = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n).cast("decimal(19,0)")
+    power = two_to((t / 2).cast("int")) * two_to(t - (t / 2).cast("int"))
+    exact, tie = m.cast("decimal(19,0)") * F.lit(10 ** (digits + 1)).cast("decimal(10,0)"), scaled.cast("decimal(19,0)") * power.cast("decimal(19,0)")
+    low = (scaled - 5) / 10
+    up = (exact > tie) | ((exact == tie) & (low.cast("decimal(38,0)") % 2 == 1))
+    whole = F.when(half, low.cast("decimal(38,0)") + F.when(up, 1).otherwise(0)).otherwise((size.cast(f"decimal(38,{digits})") * F.lit(10**digits)).cast("decimal(38,0)"))
+    text = F.lpad(whole.cast("string"), F.greatest(F.length(whole.cast("string")), F.lit(digits + 1)), F.lit("0"))
+    cut = F.length(text) - digits
+    plain = F.concat(F.substring(text, F.lit(1), cut), F.lit("."), F.substring(text, cut + 1, F.lit(digits))) if digits else text
+    signed = F.concat(F.when(F.startswith(x.cast("string"), F.lit("-")), "-").otherwise(""), plain)
+    return F.when(size < 1e15, signed).when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
+
+
 def json_string(text: Column) -> Column:
     """A string as JSON: quotes, backslashes and control characters are escaped, everything else stands as it is."""
     out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
