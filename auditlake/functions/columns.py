@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -214,17 +215,15 @@ def fixed_digits(x: Column, digits: int) -> Column:
 
 def json_string(text: Column) -> Column:
     """A string as JSON: quotes, backslashes and control characters are escaped, everything else stands as it is."""
-    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
-    for code in range(32):
-        out = F.replace(out, F.lit(chr(code)), F.lit(short.get(code, f"\\u{code:04x}")))
-    return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1f"\\]'), out).otherwise(text), F.lit('"'))
+    marks = [c for x in [*map(chr, range(32)), '"', "\\"] for c in (F.lit(x), F.lit(json.dumps(x)[1:-1]))]
+    escaped = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(F.create_map(*marks), c), c)), "")
+    return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1f"\\]'), escaped).otherwise(text), F.lit('"'))
 
 
 def canonical_json(value: Column, kind: T.DataType) -> Column:
     """F8, H4: a value of any type as JSON text: keys sorted, nulls kept, ", " and ": " between, doubles as number_text."""
     if isinstance(kind, T.StructType):
-        fields = [F.concat(json_string(F.lit(f.name)), F.lit(": "), canonical_json(value[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        fields = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ": "), canonical_json(value[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
         text = F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
     elif isinstance(kind, T.ArrayType):
         text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda v: canonical_json(v, kind.elementType)), ", "), F.lit("]"))

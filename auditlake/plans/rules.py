@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.columns import canonical_json, evidence_digest, json_string, severity_of, severity_rank
+from auditlake.functions.columns import canonical_json, evidence_digest, severity_of, severity_rank
 from auditlake.operators.rollups import bounded_examples
 from auditlake.sources.reports import clocks, constraints_met, design_summary
 from auditlake.sources.tables import check_items, timing_paths
@@ -66,7 +66,7 @@ def findings_of(facts: DataFrame, keys: list[str], rules: list[Rule], source: st
             taken[rule.group] = holds if before is None else before | holds
             holds = holds if before is None else holds & ~before
         evidence = F.to_json(F.struct(*(F.col(c) for c in rule.evidence)), {"ignoreNullFields": "false"}) if rule.evidence else F.lit("{}")
-        inner = [F.concat(json_string(F.lit(c)), F.lit(": "), canonical_json(F.col(c), kinds[c])) for c in sorted(rule.evidence)]
+        inner = [F.concat(F.lit(f'"{c}": '), canonical_json(F.col(c), kinds[c])) for c in sorted(rule.evidence)]
         digest = evidence_digest(F.lit(rule.id), F.concat(F.lit("{"), F.concat_ws(", ", *inner), F.lit("}")))
         fired.append(F.when(holds, F.struct(F.lit(rule.id).alias("id"), F.lit(rule.bringup).alias("blocks_bringup"), F.lit(rule.signoff).alias("blocks_signoff"), F.lit(rule.notable).alias("notable"), evidence.alias("evidence"), digest.alias("digest"))))
     hits = facts.select(*keys, F.explode(F.filter(F.array(*fired), lambda x: x.isNotNull())).alias("f")).select(*keys, "f.*")

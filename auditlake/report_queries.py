@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditlake.operators import joins as J
+from auditlake.operators.scratch import written
 from auditlake.plans import evaluate as E
 from auditlake.plans import rules as P
 from auditlake.queries import query, table
 from auditlake.sources import logs, reports, tables
-from auditlake.sources.lines import lines_of, report_status
+from auditlake.sources.lines import lines_of, report_status, staged_lines
 
 RUN = ["l_orderkey"]
 _PLACE = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
@@ -57,14 +58,18 @@ _UTILIZATION = f"""u AS (SELECT * FROM (SELECT l_orderkey, {_KEYS} AS key, l_qua
         '{{"key":"' || key || '","util_percent":' || p || '}}' AS evidence FROM u WHERE p >= 80)"""
 
 
-def utilization_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def utilization_texts(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     share = F.when(F.col("pos") % 2 == 1, F.concat(F.lit("<"), F.col("l_quantity") * 2, F.lit("%"))).otherwise("")
     row = F.concat(F.lit("| "), one_of(F.col("l_linenumber") - 1, _SITES), F.lit(" | "), text_of("l_quantity"), F.lit(" | 50 | "), share, F.lit(" |"))
-    return texts(order_lines(spark, sf_dir), RUN, row, "1. Slice Logic\n--------------\n\n+-----+\n| Site Type | Used | Available | Util% |\n+-----+\n", "\n+-----+\n")
+    return texts(rows or order_lines(spark, sf_dir), RUN, row, "1. Slice Logic\n--------------\n\n+-----+\n| Site Type | Used | Available | Util% |\n+-----+\n", "\n+-----+\n")
 
 
 def utilization_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.utilization(lines_of(utilization_texts(spark, sf_dir)), RUN)
+    return utilization_findings_of(utilization_texts(spark, sf_dir))
+
+
+def utilization_findings_of(files: DataFrame) -> DataFrame:
+    found = reports.utilization(lines_of(files), RUN)
     return P.findings_of(found, RUN, P.utilization_rules(False), "utilization")
 
 
@@ -104,14 +109,18 @@ _METHODOLOGY = """methodology AS (SELECT l_orderkey, CASE WHEN rule = 'TIMING-6'
         '{"rule":"' || rule || '","n":' || n || '}' AS evidence FROM g)"""
 
 
-def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rule_texts(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     head = F.concat(one_of(F.col("l_partkey") % 5, _RULES), F.lit("#"), text_of("pos"), F.lit(" "), one_of(F.col("l_suppkey") % 4, _LEVELS))
     block = F.concat(head, F.lit("\n\ntitle "), text_of("l_partkey"), F.lit("\n\n  pin "), text_of("l_quantity"), F.lit(" of "), text_of("l_suppkey"), F.lit("\nRelated violations: <none>\n"))
-    return texts(order_lines(spark, sf_dir), RUN, block, "Report\n\n             Violations found: 1\n\n")
+    return texts(rows or order_lines(spark, sf_dir), RUN, block, "Report\n\n             Violations found: 1\n\n")
 
 
 def rule_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.group_rules(tables.violations(lines_of(rule_texts(spark, sf_dir)), RUN), RUN)
+    return rule_facts_of(rule_texts(spark, sf_dir))
+
+
+def rule_facts_of(files: DataFrame) -> DataFrame:
+    return P.group_rules(tables.violations(lines_of(files), RUN), RUN)
 
 
 @query(f"WITH {_L}, {_GROUPS} SELECT * FROM g")
@@ -148,16 +157,20 @@ _CDC = """cdc AS (SELECT l_orderkey, CASE s WHEN 'Critical' THEN 'CDC.CRITICAL'
 _WIDTHS = [8, 10, 14, 14, 20]
 
 
-def cdc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cdc_texts(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     cut = lambda cells: F.rtrim(F.concat_ws("  ", *(F.rpad(c, w, " ") for c, w in zip(cells, _WIDTHS, strict=True))))
     cells = [F.concat(F.lit("CDC-"), text_of("l_linenumber", 3)), one_of(F.col("l_suppkey") % 3, ["Critical", "warning", "INFO"]), F.when(F.col("l_quantity") > 25, F.concat(F.lit("bus of "), text_of("l_quantity"))).otherwise(""), F.concat(F.lit("clk_"), text_of("l_partkey", 3)), F.concat(F.lit("clk_"), text_of("l_suppkey", 2))]
     names = cut([F.lit(x) for x in ("ID", "Severity", "Description", "Source Clock", "Destination Clock")])
     head = F.concat(F.lit("1. Summary\n----------\n\n2. Details\n\n"), names, F.lit("\n" + "  ".join("-" * w for w in _WIDTHS) + "\n"))
-    return texts(order_lines(spark, sf_dir), RUN, cut(cells), head, "\n\nafter the table\n")
+    return texts(rows or order_lines(spark, sf_dir), RUN, cut(cells), head, "\n\nafter the table\n")
 
 
 def cdc_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.cdc_facts(reports.cdc(lines_of(cdc_texts(spark, sf_dir)), RUN), RUN)
+    return cdc_facts_of(cdc_texts(spark, sf_dir))
+
+
+def cdc_facts_of(files: DataFrame) -> DataFrame:
+    return P.cdc_facts(reports.cdc(lines_of(files), RUN), RUN)
 
 
 @query(f"WITH {_L}, {_CROSSINGS} SELECT l_orderkey, s AS severity, cid AS crossing, n, description, array_to_string(pairs, ', ') AS pairs FROM xg")
@@ -184,13 +197,17 @@ _PAIRS = """p AS (SELECT l_orderkey, pos, 'a' || l_partkey || ' -> b' || l_suppk
         '{"n_' || kind || '":' || count(*) || ',"' || kind || '_pairs":["' || array_to_string((list(label ORDER BY pos))[1:10], '","') || '"]}' AS evidence FROM p WHERE kind IS NOT NULL GROUP BY l_orderkey, kind)"""
 
 
-def clock_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clock_texts(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     row = F.concat(F.lit("| a"), text_of("l_partkey"), F.lit(" | b"), text_of("l_suppkey"), F.lit(" | "), one_of(F.col("l_partkey") % 4, _KINDS), F.lit(" |"))
-    return texts(order_lines(spark, sf_dir), RUN, row, "Clock Interaction\n\n+---+---+---+\n| Source Clock | Destination Clock | Clock-Pair Classification |\n+---+---+---+\n", "\n+---+---+---+\n")
+    return texts(rows or order_lines(spark, sf_dir), RUN, row, "Clock Interaction\n\n+---+---+---+\n| Source Clock | Destination Clock | Clock-Pair Classification |\n+---+---+---+\n", "\n+---+---+---+\n")
 
 
 def clock_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = reports.clock_pairs(lines_of(clock_texts(spark, sf_dir)), RUN)
+    return clock_findings_of(clock_texts(spark, sf_dir))
+
+
+def clock_findings_of(files: DataFrame) -> DataFrame:
+    pairs = reports.clock_pairs(lines_of(files), RUN)
     return P.findings_of(P.clock_facts(pairs, RUN), RUN, P.clock_rules(), "clock_interaction")
 
 
@@ -249,8 +266,8 @@ _TIMING = """timing AS (
     UNION ALL SELECT l_orderkey, 'TIMING.DEEP_LOGIC', 'WARNING', '{"logic_levels":' || levels || '}' FROM f WHERE levels > 15)"""
 
 
-def timing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = order_lines(spark, sf_dir)
+def timing_texts(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = written(rows or order_lines(spark, sf_dir), "order-lines")
     number = lambda c, n=3: F.format_string(f"%.{n}f", c.cast("double"))
     slack, clock = F.round((F.col("l_discount") - 0.05) * 10, 1), lambda c, n: F.concat(F.lit("                            (rising edge cell FDRE clocked by clk_"), text_of(c, n), F.lit("  {rise@0.000ns})\n"))
     block = F.concat(
@@ -275,8 +292,8 @@ def timing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dealt by run once, for all the parsers that read them."""
-    return lines_of(timing_texts(spark, sf_dir)).repartition(*RUN)
+    """Dealt by run and written once, for all the parsers that read them."""
+    return staged_lines(timing_texts(spark, sf_dir), RUN)
 
 
 @query(f"WITH {_L}, {_TIMING_FACTS}, {_TIMING} SELECT * FROM timing")
@@ -366,16 +383,21 @@ _FINDINGS = f"""{_L}, {_UTILIZATION}, {_GROUPS}, {_DRC}, {_CROSSINGS}, {_CDC}, {
 _WAIVERS = [(0, "UTIL.CRITICAL", {"key": "lut"}, None), (1, "DRC.ERROR", {}, "000000000000"), (2, "TIMING.ROUTE_DOMINATED", {}, None), (3, "TIMING.NO_CLOCK", {"no_clock": "7"}, None)]
 
 
-def order_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The expected reports of each order: one kind is never there, two are missing or blank now and then."""
-    runs = order_lines(spark, sf_dir).select(*RUN).distinct()
-    key = F.col("l_orderkey")
-    files = {"utilization": utilization_texts(spark, sf_dir), "drc": rule_texts(spark, sf_dir).where(key % 9 != 0), "cdc": cdc_texts(spark, sf_dir).withColumn("text", F.when(key % 8 == 0, " ").otherwise(F.col("text")))}
-    read = None
-    for kind, found in files.items():
-        one = found.select(*RUN, F.lit(kind).alias("kind"), F.lit(f"/{kind}.rpt").alias("path"), "text")
+def order_files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The reports of each order, made and written once: one kind is never there, two are missing or blank now and then."""
+    rows, key = written(order_lines(spark, sf_dir), "order-lines"), F.col("l_orderkey")
+    made = {"utilization": utilization_texts(spark, sf_dir, rows), "drc": rule_texts(spark, sf_dir, rows).where(key % 9 != 0), "cdc": cdc_texts(spark, sf_dir, rows).withColumn("text", F.when(key % 8 == 0, " ").otherwise(F.col("text"))), "clock": clock_texts(spark, sf_dir, rows), "timing": timing_texts(spark, sf_dir, rows)}
+    return {kind: written(files.repartition(*RUN), f"{kind}-texts") for kind, files in made.items()}
+
+
+def order_statuses(spark: SparkSession, sf_dir: str, files: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The expected reports of each order."""
+    runs = table(spark, sf_dir, "lineitem").select(*RUN).distinct()
+    files, read = files or order_files(spark, sf_dir), None
+    for kind in ("utilization", "drc", "cdc"):
+        one = files[kind].select(*RUN, F.lit(kind).alias("kind"), F.lit(f"/{kind}.rpt").alias("path"), "text")
         read = one if read is None else read.unionByName(one)
-    made = lines_of(read).groupBy(*RUN, "kind").agg(F.count_if(F.trim("value") != "").alias("n"))
+    made = read.select(*RUN, "kind", F.regexp_count("text", F.lit(r"(?m)^.*\S.*$")).cast("long").alias("n"))
     return report_status(reports.expected_reports(runs, _REPORTS), read, made, [*RUN, "kind"])
 
 
@@ -387,14 +409,14 @@ def report_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("l_orderkey")
+    files = order_files(spark, sf_dir)
     families = [
-        utilization_findings(spark, sf_dir),
-        P.findings_of(rule_facts(spark, sf_dir).where(key % 9 != 0), RUN, P.drc_rules(), "drc"),
-        P.findings_of(cdc_facts(spark, sf_dir).withColumnRenamed("id", "crossing").where(key % 8 != 0), RUN, P.cdc_rules(), "cdc"),
-        clock_findings(spark, sf_dir),
-        P.findings_of(P.timing_facts(timing_lines(spark, sf_dir), RUN), RUN, P.timing_rules(False), "timing"),
-        P.findings_of(order_statuses(spark, sf_dir).withColumn("checked", F.col("available")), RUN, P.coverage_rules(), "coverage"),
+        utilization_findings_of(files["utilization"]),
+        P.findings_of(rule_facts_of(files["drc"]), RUN, P.drc_rules(), "drc"),
+        P.findings_of(cdc_facts_of(files["cdc"]).withColumnRenamed("id", "crossing"), RUN, P.cdc_rules(), "cdc"),
+        clock_findings_of(files["clock"]),
+        P.findings_of(P.timing_facts(staged_lines(files["timing"], RUN), RUN), RUN, P.timing_rules(False), "timing"),
+        P.findings_of(order_statuses(spark, sf_dir, files).withColumn("checked", F.col("available")), RUN, P.coverage_rules(), "coverage"),
     ]
     waivers = spark.createDataFrame(_WAIVERS, "ord int, id string, match map<string,string>, evidence_digest string")
     return E.evaluate(families, waivers, RUN)
@@ -404,7 +426,7 @@ def order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     (row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE severity WHEN 'BLOCKER' THEN 0 WHEN 'CRITICAL' THEN 1 WHEN 'WARNING' THEN 2 ELSE 3 END, id, evidence))::INTEGER AS place FROM e""")
 def evaluated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report texts parsed, graded, waived and ordered, for every order in one plan."""
-    return order_findings(spark, sf_dir).drop("source", "digest")
+    return order_findings(spark, sf_dir).drop("source", "digest", "waiver", "stale")
 
 
 @query(f"WITH {_FINDINGS} SELECT l_orderkey, id, evidence FROM e WHERE severity = 'BLOCKER' AND NOT waived")

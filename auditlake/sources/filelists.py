@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -212,10 +218,75 @@ def path_list(files: DataFrame) -> DataFrame:
     return rows.where("entry <> '' AND NOT startswith(entry, '#')").distinct()
 
 
+#: Bytes of a file that are held at a time while it is hashed.
+CHUNK_BYTES = 1 << 22
+
+
+def file_stats(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(path, sha256, size, mtime, missing) of each distinct path, of files of any size and anywhere that pyarrow reaches.
+
+    A task reads its files chunk by chunk, so no file is ever a row. A path that is no file has missing true and nulls
+    else; a file that goes while it is read is missing too. Null paths are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_stat(p) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.timestamp("us", "UTC"))))], ["path", "sha256", "size", "mtime"])
+
+    spread = paths.where(F.col(path).isNotNull()).select(F.col(path).alias("path")).distinct()
+    found = spread.mapInArrow(run, "path string, sha256 string, size long, mtime timestamp")
+    return found.select("path", "sha256", "size", F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss").alias("mtime"), F.col("sha256").isNull().alias("missing"))
+
+
+def _stat(path: str) -> tuple[str | None, int | None, datetime.datetime | None]:
+    files, place = _reached(path)
+    info = files.get_file_info(place)
+    if info.type != FileType.File:
+        return None, None, None
+    digest, size = hashlib.sha256(), 0
+    try:
+        with files.open_input_stream(place) as source:
+            while chunk := source.read(CHUNK_BYTES):
+                digest.update(chunk)
+                size += len(chunk)
+    except FileNotFoundError:
+        return None, None, None
+    return digest.hexdigest(), size, info.mtime
+
+
+def files_under(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path) of all files under a folder whose names fit a glob, empty ones among them; nothing of them is read.
+
+    Folders are listed level by level, those of a level by many tasks at once, and each level is written. A folder
+    that is not there has no files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                files, place = _reached(path)
+                infos = files.get_file_info(FileSelector(place, allow_not_found=True))
+                names = [f"{path.rstrip('/')}/{i.base_name}" for i in infos]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([i.type == FileType.Directory for i in infos], pa.bool_())], ["path", "folder"])
+
+    level, out = spark.createDataFrame([(folder,)], "path string"), None
+    while True:
+        found = written(level.mapInArrow(run, "path string, folder boolean"), "listed")
+        out = found if out is None else out.unionByName(found)
+        level = found.where("folder").select("path").repartition(F.col("path"))
+        if found.where("folder").isEmpty():
+            break
+    return out.where(~F.col("folder") & F.substring_index("path", "/", -1).rlike(glob_regex(pattern))).select("path")
+
+
+def _reached(path: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
+
+
 def file_records(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, sha256, size, mtime) of all files under a folder."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return read.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("mtime"))
+    """(path, sha256, size, mtime, missing) of all files under a folder."""
+    return file_stats(files_under(spark, folder, pattern))
 
 
 def checksums(records: DataFrame, excluded: list[str] | None = None) -> DataFrame:

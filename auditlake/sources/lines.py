@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.operators.scratch import written
+
 #: Fixed value: every break that ends a line in the reports' writers, CR LF as one.
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
@@ -21,6 +23,11 @@ def lines_of(files: DataFrame, text: str = "text") -> DataFrame:
     return files.where(F.coalesce(F.length(text), F.lit(0)) > 0).select(*keep, F.posexplode(F.split(body, LINE_BREAK, -1)).alias("pos", "value")).select(*keep, (F.col("pos") + 1).alias("ln"), "value")
 
 
+def staged_lines(files: DataFrame, keys: list[str]) -> DataFrame:
+    """lines_of files, dealt by keys, in order, and written once, for several parsers to read."""
+    return written(lines_of(files).repartition(*keys).sortWithinPartitions(*keys, "ln"), "lines")
+
+
 def report_status(expected: DataFrame, files: DataFrame, rows_found: DataFrame, keys: list[str]) -> DataFrame:
     """Every expected report has a status row; missing, blank and unrecognised ones say why.
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditlake.operators.rollups import bounded_examples
+from auditlake.operators.scratch import written
+from auditlake.sources.lines import lines_of
 
 #: A message line, severities by rank, and the curated classes (ids and wordings) in order.
 MESSAGE = r"^\s*(INFO|WARNING|CRITICAL WARNING|ERROR)\s*:\s*\[([A-Za-z][\w-]*\s+\d+-\d+)\]\s*(.*)$"
@@ -84,3 +86,22 @@ def by_class(summary: DataFrame, keys: list[str], examples: int = 3) -> DataFram
 def unreadable(expected: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
     """Logs that were asked for and could not be read; they are listed, never taken for clean."""
     return expected.join(files.where("text IS NOT NULL").select(*keys), keys, "left_anti").withColumn("reason", F.lit("file not found"))
+
+
+def merged_logs(expected: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """The logs of a run as one: (keys, kind, id, n, severity, risk_class, examples, place).
+
+    expected: keys, file_ord, path, the logs asked for in their order; files: path, text, those that could be read. A
+    message's examples are the first three by log, then line, so a later log tops up what an earlier one left; the
+    first class that is not null counts. Rows of kind message stand in report order; those of kind unavailable name a
+    log (id: its path) that could not be read, in the order asked for. A log read by several runs is split once for each.
+    """
+    read = written(expected.select(*keys, "file_ord", "path").join(files.select("path", "text"), "path", "left"), "logs")
+    found = messages(lines_of(read.where("text IS NOT NULL").select(*keys, "file_ord", "text")))
+    told = in_report_order(summarise_messages(found, keys, ["file_ord", "ln"]), keys)
+    gone = read.where("text IS NULL").withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("file_ord", "path")))
+    none = {"n": "bigint", "severity": "string", "risk_class": "string", "examples": "array<string>"}
+    columns = ["id", *none, "place"]
+    return told.select(*keys, F.lit("message").alias("kind"), *columns).unionByName(
+        gone.select(*keys, F.lit("unavailable").alias("kind"), F.col("path").alias("id"), *(F.lit(None).cast(t).alias(c) for c, t in none.items()), "place")
+    )

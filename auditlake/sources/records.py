@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from auditlake.sinks.commits import publish, snapshot
+
 _WAIVERS = "waivers array<struct<id: string, match: variant, reason: string, approved_by: string, date: string, evidence_digest: string>>"
 
 
@@ -48,27 +50,15 @@ def append_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").partitionBy("stage").parquet(path)
 
 
-def publish_baseline(spark: SparkSession, current: DataFrame, path: str) -> str:
-    """K9: write a snapshot beside the older ones and return its place. Readers take the snapshot that they are given, so a
-    build that stops before this leaves the last one as it was."""
-    numbers = [int(p) for p in _snapshots(spark, path)]
-    place = f"{path}/{max(numbers, default=0) + 1}"
-    current.write.parquet(place)
-    return place
-
-
-def _snapshots(spark: SparkSession, path: str) -> list[str]:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(conf)
-    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
-    return [n for n in names if n.isdigit() and files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+def publish_baseline(spark: SparkSession, current: DataFrame, path: str) -> int:
+    """K9: write a snapshot beside the older ones and commit it; its number. Publishers at once get numbers of their own,
+    and a build that stops before the commit leaves the last baseline as it was."""
+    return publish(spark, current, path)
 
 
 def last_baseline(spark: SparkSession, path: str) -> DataFrame | None:
-    """K9: the last snapshot that was written whole, if there is one."""
-    numbers = sorted(map(int, _snapshots(spark, path)))
-    return spark.read.parquet(f"{path}/{numbers[-1]}") if numbers else None
+    """K9: the last snapshot that was committed, if there is one."""
+    return snapshot(spark, path)
 
 
 def discovered(files: DataFrame, explicit: DataFrame, keys: list[str]) -> DataFrame:
