@@ -15,7 +15,7 @@ from auditlake.report_queries import _IDS, _SEVERITY, one_of
 from auditlake.sinks import markers as M
 from auditlake.sinks.report_files import write_reports
 from auditlake.sink_queries import RUN, customer_findings, customer_runs
-from auditlake.sources import filelists, logs, records
+from auditlake.sources import facts, filelists, logs, records
 
 
 @query("""SELECT 'p' || p_partkey || '.v' AS name, CASE WHEN p_size > 10 THEN sha256(p_name || chr(10)) END AS sha256, CASE WHEN p_size > 10 THEN octet_length(encode(p_name)) + 1 END AS size, p_size <= 10 AS missing FROM part""")
@@ -95,3 +95,51 @@ def told_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = records.tool_versions(customer.select("c_custkey", file.alias("text")), ["c_custkey"])
     out = customer.select("c_custkey", shorten(long_name, 30).alias("short"), ip_spec(spec).alias("spec"), F.replace(file_stamp(stamp), F.lit("/"), F.lit("")).alias("stamp"))
     return out.join(versions, "c_custkey").withColumn("version", F.when(key % 4 == 1, F.coalesce("version", F.lit("own"))).otherwise(F.col("version")))
+
+
+_RELEASE = "(['ubuntu', 'RHEL', 'arch', ''])[s_suppkey % 4 + 1]"
+
+
+@query(f"""WITH r AS (SELECT s_suppkey, lower({_RELEASE}) AS os, '2' || s_nationkey % 3 || '.04' AS v, s_suppkey % 7 = 0 AS none FROM supplier)
+    SELECT s_suppkey, CASE WHEN none OR os = '' THEN 'unknown' ELSE os END AS id, CASE WHEN none THEN '' ELSE v END AS version_id, CASE WHEN NOT none THEN 'name of ' || s_suppkey END AS pretty_name,
+        CASE WHEN none OR os = '' THEN NULL ELSE os = 'ubuntu' AND v IN ('20.04', '22.04') END AS supported FROM r""")
+def machine_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operating systems out of release files, some of which are not there."""
+    key = F.col("s_suppkey")
+    text = F.concat(F.lit("# release\nOther=1\nPRETTY_NAME=\"name of "), key.cast("string"), F.lit("\"\nID="), one_of(key % 4, ["ubuntu", "RHEL", "arch", ""]), F.lit("\nVERSION_ID='2"), (F.col("s_nationkey") % 3).cast("string"), F.lit(".04'\n"))
+    files = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(key % 7 != 0, text).alias("text"))
+    return facts.os_release(files, ["s_suppkey"])
+
+
+@query("""WITH d AS (SELECT o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new o' || o_orderkey ELSE 'o' || o_orderkey || '.v' END AS path FROM orders),
+    r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY path) AS rn FROM d), n AS (SELECT o_custkey, count(*) AS n, string_agg(path, ',' ORDER BY path) FILTER (rn <= 3) AS paths FROM r GROUP BY 1)
+    SELECT c_custkey AS o_custkey, c_nationkey % 5 <> 0 AS available, CASE WHEN c_nationkey % 5 <> 0 THEN left(sha256(c_name), 12) END AS short, CASE WHEN c_nationkey % 5 <> 0 THEN 'b' || c_nationkey END AS branch,
+        CASE WHEN c_nationkey % 5 <> 0 THEN coalesce(n, 0) > 0 END AS dirty, CASE WHEN c_nationkey % 5 <> 0 THEN coalesce(n, 0) END AS dirty_file_count, CASE WHEN c_nationkey % 5 <> 0 THEN coalesce(paths, '') END AS dirty_files FROM customer LEFT JOIN n ON o_custkey = c_custkey""")
+def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repositories say of themselves, some of which are none; three changed files are named, all are counted."""
+    key = F.col("o_orderkey").cast("string")
+    line = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("R  old -> \"new o"), key, F.lit("\""))).otherwise(F.concat(F.lit(" M o"), key, F.lit(".v")))
+    orders = table(spark, sf_dir, "orders").select(*RUN, line.alias("line"), "o_orderkey")
+    statuses = orders.groupBy(*RUN).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    there = F.col("c_nationkey") % 5 != 0
+    heads = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.when(there, F.sha2("c_name", 256)).alias("commit"), F.concat(F.lit("b"), F.col("c_nationkey").cast("string")).alias("branch"))
+    return facts.repository_facts(heads, statuses, RUN, 3).drop("commit").withColumn("dirty_files", F.array_join("dirty_files", ","))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 AND o_orderkey % 3 < 2 THEN 'stage' || o_orderkey % 3 END AS stage, CASE WHEN o_orderkey % 3 < 2 THEN CASE o_orderkey % 4 WHEN 0 THEN 'skipped' WHEN 1 THEN '-2' END END AS status,
+    CASE WHEN o_orderkey % 4 = 3 THEN 'no status' WHEN o_orderkey % 3 = 2 THEN 'unknown stage' WHEN o_orderkey % 4 = 2 THEN 'no number' END AS error FROM orders""")
+def status_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stages and their statuses out of arguments, some of which say nothing."""
+    turn, name = F.col("o_orderkey") % 4, F.concat(F.lit("stage"), (F.col("o_orderkey") % 3).cast("string"))
+    text = F.when(turn == 0, F.concat(name, F.lit("=skipped"))).when(turn == 1, F.concat(name, F.lit("= -2"))).when(turn == 2, F.concat(name, F.lit("=1=2"))).otherwise(name)
+    stage, status, error = facts.status_argument(text, ["stage0", "stage1"])
+    return table(spark, sf_dir, "orders").select("o_orderkey", stage.alias("stage"), status.alias("status"), error.alias("error"))
+
+
+@query("""SELECT DISTINCT p_partkey % 50 AS k, '/s/p' || p_size || '.v' AS path FROM part WHERE p_partkey % 4 <> 3""")
+def listed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain lists of paths, comments, blank lines and repeats left out, paths folded."""
+    turn = F.col("p_partkey") % 4
+    line = F.when(turn == 3, "# /s/none.v\n").when(turn == 2, F.concat(F.lit("\n  /s/./x/../p"), F.col("p_size").cast("string"), F.lit(".v "))).otherwise(F.concat(F.lit("/s//p"), F.col("p_size").cast("string"), F.lit(".v")))
+    rows = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 50).alias("k")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
+    return filelists.path_list(rows, ["k"])

@@ -91,12 +91,11 @@ def flow_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.flow_rollup(stages.withColumn("ran", F.col("n_findings").isNotNull()))
 
 
-@query("""SELECT coalesce(c.k, o.k) AS k, CASE WHEN o.k IS NULL THEN 'left_only' WHEN c.k IS NULL THEN 'right_only' ELSE 'both' END AS side
-    FROM (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0) c FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON c.k = o.k""")
+@query("""SELECT coalesce(p.k, l.k) AS k, CASE WHEN l.k IS NULL THEN 'left_only' WHEN p.k IS NULL THEN 'right_only' ELSE 'both' END AS side
+    FROM (SELECT DISTINCT p_partkey AS k FROM part) p FULL JOIN (SELECT DISTINCT l_suppkey AS k FROM lineitem) l ON p.k = l.k""")
 def reconcile_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J1."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"))
-    return J.reconcile(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
+    """J1 of the keys of all parts with those of the suppliers of all lines."""
+    return J.reconcile(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k")), "k")
 
 
 @query("""SELECT coalesce(c.k, o.k) AS k, CASE WHEN o.k IS NULL THEN 'left_only' WHEN c.k IS NULL THEN 'right_only' ELSE 'both' END AS side
@@ -124,17 +123,12 @@ def two_tier_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.two_tier_missing(used, part.where("p_size > 10"), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), "k", part.where("p_type = 'ECONOMY'"))
 
 
-@query("""WITH a AS (SELECT p_partkey, sha256(p_size::VARCHAR) AS d FROM part WHERE p_partkey % 11 <> 0),
-    b AS (SELECT p_partkey, sha256((CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END)::VARCHAR) AS d FROM part WHERE p_partkey % 13 <> 0)
-    SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.p_partkey IS NULL THEN 'removed' ELSE 'modified' END AS change
-    FROM a FULL JOIN b USING (p_partkey) WHERE a.d IS DISTINCT FROM b.d""")
+@query("""WITH a AS (SELECT c_custkey AS k, sha256(c_nationkey::VARCHAR) AS d FROM customer), b AS (SELECT p_partkey AS k, sha256((p_size % 25)::VARCHAR) AS d FROM part)
+    SELECT k, CASE WHEN a.d IS NULL THEN 'added' WHEN b.d IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b USING (k) WHERE a.d IS DISTINCT FROM b.d""")
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J6."""
-    part = table(spark, sf_dir, "part")
-    sha = lambda c: F.sha2(c.cast("string"), 256)
-    a = part.where("p_partkey % 11 <> 0").select("p_partkey", sha(F.col("p_size")).alias("d"))
-    b = part.where("p_partkey % 13 <> 0").select("p_partkey", sha(F.when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))).alias("d"))
-    return J.manifest_diff(a, b, "p_partkey", "d")
+    """J6 of all customers, as files of one snapshot, with all parts, as those of the next."""
+    side = lambda name, key, c: table(spark, sf_dir, name).select(F.col(key).alias("k"), F.sha2(c.cast("string"), 256).alias("d"))
+    return J.manifest_diff(side("customer", "c_custkey", F.col("c_nationkey")), side("part", "p_partkey", F.col("p_size") % 25), "k", "d")
 
 
 @query("""WITH a AS (SELECT p_partkey, sha256(p_size::VARCHAR) AS d FROM part),
@@ -339,14 +333,16 @@ def range_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIELDS = ["s_name", "s_nationkey", "s_acctbal"]
 
 
-@query("""WITH l AS (SELECT field, value FROM (SELECT s_name, s_nationkey::VARCHAR AS s_nationkey, (s_acctbal > 0)::VARCHAR AS s_acctbal FROM supplier WHERE s_suppkey = 1) UNPIVOT (value FOR field IN (s_name, s_nationkey, s_acctbal))),
-    r AS (SELECT field, value FROM (SELECT s_name, s_nationkey::VARCHAR AS s_nationkey, (s_acctbal > 0)::VARCHAR AS s_acctbal FROM supplier WHERE s_suppkey = 2) UNPIVOT (value FOR field IN (s_name, s_nationkey, s_acctbal)))
-    SELECT field, l.value AS was, r.value AS now, l.value <> r.value AS changed FROM l JOIN r USING (field)""")
+@query("""WITH l AS (SELECT k, field, value FROM (SELECT s_suppkey AS k, s_name AS name, s_nationkey::VARCHAR AS nation, (s_acctbal > 0)::VARCHAR AS balance FROM supplier) UNPIVOT (value FOR field IN (name, nation, balance))),
+    r AS (SELECT k, field, value FROM (SELECT c_custkey AS k, c_name AS name, c_nationkey::VARCHAR AS nation, (c_acctbal > 0)::VARCHAR AS balance FROM customer) UNPIVOT (value FOR field IN (name, nation, balance)))
+    SELECT k, field, l.value AS was, r.value AS now, l.value <> r.value AS changed FROM l JOIN r USING (k, field)""")
 def env_unpivot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J15."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").cast("string").alias("s_nationkey"), (F.col("s_acctbal") > 0).cast("string").alias("s_acctbal"))
-    long = s.unpivot(["s_suppkey"], _FIELDS, "field", "value")
-    return J.field_changes(long.where("s_suppkey = 1"), long.where("s_suppkey = 2"))
+    """Every supplier, as an environment, against the customer of its key."""
+    def side(name: str, c: str, key: str) -> DataFrame:
+        fields = table(spark, sf_dir, name).select(F.col(key).alias("k"), F.col(f"{c}_name").alias("name"), F.col(f"{c}_nationkey").cast("string").alias("nation"), (F.col(f"{c}_acctbal") > 0).cast("string").alias("balance"))
+        return fields.unpivot(["k"], ["name", "nation", "balance"], "field", "value")
+
+    return J.field_changes(side("supplier", "s", "s_suppkey"), side("customer", "c", "c_custkey"), ["k"])
 
 
 @query("""WITH l AS (SELECT s_suppkey, field, value FROM (SELECT s_suppkey, s_name, s_nationkey::VARCHAR AS s_nationkey, (s_acctbal > 0)::VARCHAR AS s_acctbal FROM supplier) UNPIVOT (value FOR field IN (s_name, s_nationkey, s_acctbal))),

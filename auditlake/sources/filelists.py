@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditlake.functions.columns import glob_regex, project_path, resolve_path, stem, strip_comment, strip_hdl_comments
+from auditlake.functions.columns import fold_path, glob_regex, project_path, resolve_path, stem, strip_comment, strip_hdl_comments
 from auditlake.operators.scratch import written
 from auditlake.sources.lines import lines_of
 
@@ -212,10 +212,10 @@ def project_tops(projects: DataFrame) -> DataFrame:
     return projects.select("path", F.get(F.transform(top, lambda o: o["_Val"]), F.lit(0)).alias("top"))
 
 
-def path_list(files: DataFrame) -> DataFrame:
-    """The distinct paths of plain lists, less comments and blank lines."""
-    rows = lines_of(files.select("path", "text")).select(F.trim("value").alias("entry"))
-    return rows.where("entry <> '' AND NOT startswith(entry, '#')").distinct()
+def path_list(files: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path): the distinct paths of plain lists (keys, text), folded, less comments and blank lines."""
+    rows = lines_of(files.select(*keys, "text")).select(*keys, F.trim("value").alias("entry")).where("entry <> '' AND NOT startswith(entry, '#')")
+    return rows.select(*keys, fold_path(F.col("entry")).alias("path")).distinct()
 
 
 #: Bytes of a file that are held at a time while it is hashed.
