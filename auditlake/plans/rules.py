@@ -258,29 +258,43 @@ def group_rules(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys, "rule").agg(F.count(F.lit(1)).alias("n"), first.alias("f")).select(*keys, "rule", "n", "f.*")
 
 
+def _setup() -> Column:
+    return F.col("delay_kind") == "max"
+
+
+def _asked() -> Column:
+    """The requirement of the first setup path that has one; zero is none."""
+    return F.min_by("requirement_ns", F.when(_setup() & (F.col("requirement_ns") != 0), F.col("pos")))
+
+
+def _worst() -> Column:
+    """What the rules ask of the setup path of least slack; the first of equals."""
+    return F.min_by(F.struct("route_pct", "logic_levels"), F.when(_setup() & F.col("slack_ns").isNotNull(), F.struct("slack_ns", "pos")))
+
+
 def clock_period(paths: DataFrame, clocks: DataFrame, keys: list[str]) -> DataFrame:
     """Requirement of the first setup path that has one, else the shortest period; zero is none."""
-    asked = (F.col("delay_kind") == "max") & (F.col("requirement_ns") != 0)
-    a = paths.groupBy(*keys).agg(F.min_by("requirement_ns", F.when(asked, F.col("pos"))).alias("_a"))
-    b = clocks.groupBy(*keys).agg(F.min(F.when(F.col("period_ns") != 0, F.col("period_ns"))).alias("_b"))
-    return a.join(b, keys, "full_outer").select(*keys, F.coalesce("_a", "_b").alias("period"))
+    shortest = F.min(F.when(F.col("period_ns") != 0, F.col("period_ns")))
+    both = paths.groupBy(*keys).agg(_asked().alias("_a")).join(clocks.groupBy(*keys).agg(shortest.alias("_b")), keys, "full_outer")
+    return both.select(*keys, F.coalesce("_a", "_b").alias("period"))
 
 
 def worst_setup(paths: DataFrame, keys: list[str]) -> DataFrame:
     """The setup path of least slack of each run; the first of equals."""
-    rows = paths.where("delay_kind = 'max' AND slack_ns IS NOT NULL")
-    return rows.groupBy(*keys).agg(F.min_by(F.struct("route_pct", "logic_levels"), F.struct("slack_ns", "pos")).alias("w")).select(*keys, "w.*")
+    return paths.where(_setup() & F.col("slack_ns").isNotNull()).groupBy(*keys).agg(_worst().alias("w")).select(*keys, "w.*")
 
 
 def timing_facts(lines: DataFrame, keys: list[str]) -> DataFrame:
     """One row of facts per timing report, of summary, checks, clocks and paths (see timing_rules); a report without summary has none."""
-    paths, items = timing_paths(lines, keys), check_items(lines, keys)
-    columns = ("wns", "whs", "wpws", "tns_total_endpoints")
+    paths = timing_paths(lines, keys, only=["pos", "delay_kind", "slack_ns", "requirement_ns", "route_pct", "logic_levels"])
     of = lambda c, v, names: [F.max(F.when(F.col(c) == n, F.col(v))).alias(n) for n in names]
-    summary = design_summary(lines, keys).groupBy(*keys).agg(*of("name", "number", columns))
-    checks = items.groupBy(*keys).agg(*of("name", "n", ("no_clock", "loops", "latch_loops")), F.max(F.when(F.col("name") == "unconstrained_internal_endpoints", F.col("n"))).alias("unconstrained"), F.sum(F.when(F.col("name").isin("no_input_delay", "no_output_delay"), F.col("n"))).alias("no_io_delay"))
-    out = summary.join(checks, keys, "left").join(clock_period(paths, clocks(lines, keys), keys), keys, "left")
-    return out.join(worst_setup(paths, keys), keys, "left").join(constraints_met(lines, keys), keys, "left")
+    summary = design_summary(lines, keys).groupBy(*keys).agg(*of("name", "number", ("wns", "whs", "wpws", "tns_total_endpoints")))
+    checks = check_items(lines, keys).groupBy(*keys).agg(*of("name", "n", ("no_clock", "loops", "latch_loops")), F.max(F.when(F.col("name") == "unconstrained_internal_endpoints", F.col("n"))).alias("unconstrained"), F.sum(F.when(F.col("name").isin("no_input_delay", "no_output_delay"), F.col("n"))).alias("no_io_delay"))
+    shortest = clocks(lines, keys).groupBy(*keys).agg(F.min(F.when(F.col("period_ns") != 0, F.col("period_ns"))).alias("shortest"))
+    # Both facts of the paths come from one aggregate over them.
+    by_run = paths.groupBy(*keys).agg(_worst().alias("w"), _asked().alias("asked")).select(*keys, "asked", "w.*")
+    out = summary.join(checks, keys, "left").join(by_run, keys, "left").join(shortest, keys, "left").join(constraints_met(lines, keys), keys, "left")
+    return out.withColumn("period", F.coalesce("asked", "shortest")).drop("asked", "shortest")
 
 
 def log_facts(classes: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

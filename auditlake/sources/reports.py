@@ -131,11 +131,13 @@ def design_summary(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def clocks(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the first Clock Summary section."""
-    banner = F.col("value").rlike(r"^\|\s*[^-\s]")
-    rows = islands(lines, keys, "ln", banner)
-    titled = rows.withColumn("title", F.min_by(F.lower("value"), "ln").over(Window.partitionBy(*keys, "block")))
     number = r"([-+]?\d+(?:\.\d+)?)"
     pattern = rf"^\s*(\S+)\s+\{{([^}}]*)\}}\s+{number}\s+{number}\s*$"
+    banner = F.startswith("value", F.lit("|")) & F.col("value").rlike(r"^\|\s*[^-\s]")
+    # Only heads of sections and lines like a clock's are dealt and sorted.
+    of_use = lines.where(banner | (F.contains("value", F.lit("{")) & F.col("value").rlike(pattern)))
+    rows = islands(of_use, keys, "ln", banner)
+    titled = rows.withColumn("title", F.min_by(F.lower("value"), "ln").over(Window.partitionBy(*keys, "block")))
     part = lambda i: F.regexp_extract("value", pattern, i)
     inside = titled.where(F.col("title").rlike(r"^\|\s*clock summary"))
     inside = inside.withColumn("first", F.min("block").over(Window.partitionBy(*keys))).where("block = first")
