@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from auditlake.llm.common import slices, without, word_table
 
 #: Rows of one packing group; groups are independent, so memory and time of a task are bounded.
 GROUP_ROWS = 2048
@@ -88,3 +93,20 @@ def pack_documents(docs: DataFrame, size: Column, source: Column, cluster: Colum
     kind = docs.schema[id_col].dataType.simpleString()
     out = rows.groupBy("_group").applyInPandas(pack, f"_id {kind}, piece int, start long, n_tokens long, bin long, bin_start long")
     return out.withColumnRenamed("_id", id_col)
+
+
+def word_counts(docs: DataFrame, text_col: str = "text", name: str = "n_words") -> DataFrame:
+    """docs with the number of words [^\\x20\\x09-\\x0D]+ of the whole text (long, null text: 0) in place of the text.
+
+    Rows, repeated ones too, and all other columns stay; one called name in any case gives way. Empty in, empty out.
+    """
+    docs = without(docs, name.lower())
+    fields = [f for f in docs.schema.fields if f.name != text_col]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            *_, first = word_table(batch.column(batch.schema.get_field_index(text_col)))
+            kept = [batch.column(batch.schema.get_field_index(f.name)) for f in fields]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(first).astype(np.int64))], [*(f.name for f in fields), name])
+
+    return docs.mapInArrow(count, T.StructType([*fields, T.StructField(name, T.LongType())]))

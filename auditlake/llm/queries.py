@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.bpe import bpe_round_trip
 from auditlake.llm.collocations import collocations
-from auditlake.llm.common import ascii_lower, in_fold, read_table, text_of
+from auditlake.llm.common import ascii_lower, in_fold, read_table, staged, text_of
 from auditlake.llm.exact_dedup import exact_dedup
 from auditlake.llm.exact_topk import exact_topk
 from auditlake.llm.jaccard_join import jaccard_groups
 from auditlake.llm.line_dedup import line_dedup
 from auditlake.llm.lm_scoring import lm_score
-from auditlake.llm.packing import pack_documents
+from auditlake.llm.packing import pack_documents, word_counts
 from auditlake.llm.periodic_runs import run_digests
 from auditlake.llm.sharding import shard_digests
 from auditlake.llm.suffix_dedup import suffix_dedup
@@ -34,11 +34,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size: words and one end token. Cluster: near copies as op5 links them; one text, A-Z lower-cased, where op5 has no shingles or no id."""
     docs = read_table(spark, sf_dir, "documents")
-    words = F.regexp_count(text_of("text"), F.lit(r"[^\x20\x09-\x0D]+"))
     linked = jaccard_groups(docs).where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("_component"))
-    slim = docs.select("doc_id", "source", (words + 1).alias("_n"), F.xxhash64(ascii_lower(text_of("text"))).alias("_same")).join(linked, "doc_id", "left")
+    sized = word_counts(docs.select("doc_id", "source", "text", F.xxhash64(ascii_lower(text_of("text"))).alias("_same")), name="_n")
     cluster = F.coalesce(F.concat(F.lit("near "), F.col("_component").cast("string")), F.concat(F.lit("same "), F.col("_same").cast("string")))
-    return pack_documents(slim, F.col("_n"), F.col("source"), cluster, capacity=2048)
+    # Written, as the rows are counted before they are packed.
+    slim = staged(sized.join(linked, "doc_id", "left").select("doc_id", "source", "_n", cluster.alias("_cluster")), "packing-rows")
+    return pack_documents(slim, F.col("_n") + 1, F.col("source"), F.col("_cluster"), capacity=2048)
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
