@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from auditlake.functions.columns import fold_path, glob_regex, resolve_path, variant_text
+from auditlake.functions.columns import fold_path, glob_regex, lower, resolve_path, variant_text
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -167,5 +167,5 @@ def produced(specs: DataFrame, made: DataFrame) -> DataFrame:
 
 def specs_of(lines: DataFrame) -> DataFrame:
     """(spec, bad): DEPTHxWIDTH lines, each once; a line that is none is bad."""
-    text = lines.select(F.lower(F.trim("value")).alias("spec")).where("spec <> '' AND NOT startswith(spec, '#')")
+    text = lines.select(lower(F.trim("value")).alias("spec")).where("spec <> '' AND NOT startswith(spec, '#')")
     return text.distinct().withColumn("bad", ~F.col("spec").rlike(r"^\d+x\d+$"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditlake.functions.columns import os_supported, porcelain_path
+from auditlake.functions.columns import lower, os_supported, porcelain_path
 from auditlake.sources.lines import lines_of
 
 #: Paths of changed files that a record names; all of them are counted.
@@ -20,12 +20,12 @@ def os_release(files: DataFrame, keys: list[str]) -> DataFrame:
     `unknown`, and whether it is supported is not known.
     """
     pairs = lines_of(files).where(F.contains("value", F.lit("=")))
-    name = F.lower(F.trim(F.substring_index("value", "=", 1)))
+    name = lower(F.trim(F.substring_index("value", "=", 1)))
     value = F.btrim(F.trim(F.substring("value", F.instr("value", "=") + 1, F.length("value"))), F.lit("\"'"))
     of = lambda n: F.max_by("_value", F.when(F.col("_name") == n, F.col("ln"))).alias(n)
     found = pairs.withColumns({"_name": name, "_value": value}).groupBy(*keys).agg(of("id"), of("version_id"), of("pretty_name"))
     out = files.select(*keys).distinct().join(found, keys, "left")
-    known = F.lower(F.coalesce("id", F.lit("")))
+    known = lower(F.coalesce("id", F.lit("")))
     return out.select(*keys, F.coalesce(F.nullif(known, F.lit("")), F.lit("unknown")).alias("id"), F.coalesce("version_id", F.lit("")).alias("version_id"), "pretty_name", os_supported(known, F.col("version_id")).alias("supported"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from auditlake.functions.columns import lower
 from auditlake.operators.rollups import bounded_examples
 from auditlake.operators.scratch import written
 from auditlake.sources.lines import lines_of
@@ -28,7 +29,7 @@ CLASSES = {
 
 def risk_class(message_id: Column, body: Column) -> Column:
     """The first curated class whose ids hold the id or whose wordings the body has."""
-    text = F.lower(F.coalesce(body, F.lit("")))
+    text = lower(F.coalesce(body, F.lit("")))
     out = None
     for name, (ids, wordings) in CLASSES.items():
         hit = F.trim(F.coalesce(message_id, F.lit(""))).isin(ids)
