@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from auditlake import report_queries  # noqa: F401
 from auditlake.functions.columns import initcap, lower, upper
 from auditlake.queries import QUERIES
 from auditlake.sources import filelists
