@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from auditlake.functions.columns import fold_path, glob_regex, lower, resolve_path, variant_text
+from auditlake.functions.columns import fold_path, glob_regex, let, lower, resolve_path, variant_text
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -45,8 +45,8 @@ def manifest_diff(previous: DataFrame, current: DataFrame, key: str, digest: str
 def apply_waivers(findings: DataFrame, waivers: DataFrame) -> DataFrame:
     """Findings with waived and expired flags and the waivers behind them; waived ones block nothing.
 
-    Waivers are few: they are grouped by id first, so findings go through one join, small enough to be broadcast by
-    the optimiser's own check, and are neither grouped nor shuffled again.
+    Waivers are few: they are grouped by id first, so findings go through one join, which is broadcast, and are neither
+    grouped nor shuffled again; ids are few too, so dealing by them would bring all findings to a few tasks.
 
     findings: id, attrs VARIANT (the evidence, an object), digest, blocks_bringup, blocks_signoff. waivers: ord, id,
     match VARIANT (an object or null; both may also be maps of text), evidence_digest (null and empty bind to nothing), and reason, approved_by, date
@@ -61,10 +61,12 @@ def apply_waivers(findings: DataFrame, waivers: DataFrame) -> DataFrame:
     wanted = F.coalesce(F.map_entries(_texts(waivers, "match")), F.array())
     one = F.struct("ord", wanted.alias("wanted"), F.nullif("evidence_digest", F.lit("")).alias("recorded"), *said)
     rules = waivers.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("_rules"))
-    out = findings.join(rules, "id", "left").withColumn("_texts", _texts(findings, "attrs"))
-    fits = lambda r: F.forall(r["wanted"], lambda e: F.coalesce(F.try_element_at(F.col("_texts"), e["key"]), F.lit("")) == F.coalesce(e["value"], F.lit("None")))
+    out = findings.join(F.broadcast(rules), "id", "left")
+    fits = lambda r, texts: F.forall(r["wanted"], lambda e: F.coalesce(F.try_element_at(texts, e["key"]), F.lit("")) == F.coalesce(e["value"], F.lit("None")))
     holds = lambda r: r["recorded"].isNull() | (r["recorded"] == F.col("digest"))
-    out = out.withColumn("_met", F.filter(F.coalesce("_rules", F.array()), fits))
+    # The evidence is told once and bound: a column would be put into the inner lambda and told for each pair of each waiver.
+    met = let(_texts(findings, "attrs"), lambda texts: F.filter("_rules", lambda r: fits(r, texts)))
+    out = out.withColumn("_met", F.coalesce(F.when(F.col("_rules").isNotNull(), met), F.array()))
     first = F.get(F.filter("_met", holds), F.lit(0))
     out = out.withColumn("_first", first)
     stale = F.filter("_met", lambda r: ~holds(r) & (F.col("_first").isNull() | (r["ord"] < F.col("_first.ord"))))
@@ -75,7 +77,7 @@ def apply_waivers(findings: DataFrame, waivers: DataFrame) -> DataFrame:
         "stale": F.transform(stale, lambda r: F.struct(r["ord"].alias("ord"), r["reason"].alias("reason"), r["recorded"].alias("recorded_digest"))),
     })
     blocks = {c: F.col(c) & ~F.col("waived") for c in ("blocks_bringup", "blocks_signoff")}
-    return out.withColumns(blocks).drop("_rules", "_texts", "_met", "_first")
+    return out.withColumns(blocks).drop("_rules", "_met", "_first")
 
 
 def _texts(rows: DataFrame, name: str) -> Column:

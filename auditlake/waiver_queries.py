@@ -30,9 +30,9 @@ _DIRTY = """f AS (SELECT o_orderkey, o_custkey % 5 AS c, o_orderkey % 3 AS n, o_
 
 
 def nested_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence with a list, an object with a null in it, and doubles."""
+    """Evidence with a list, an object with a null in it, and doubles. Orders are dealt, as a file may be one task's."""
     key = F.col("o_orderkey")
-    facts = table(spark, sf_dir, "orders").select(
+    facts = table(spark, sf_dir, "orders").repartition(*ORDER).select(
         "o_orderkey", (key % 3).alias("n_dirty"), F.array(F.concat(F.lit("p"), (F.col("o_custkey") % 5).cast("string")), F.lit("q")).alias("files"),
         F.struct(F.col("o_orderpriority").alias("priority"), F.lit(None).cast("string").alias("none")).alias("place"), F.col("o_totalprice").cast("double").alias("share"), (F.col("o_orderstatus") == "F").alias("gone"),
     )
