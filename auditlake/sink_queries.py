@@ -152,7 +152,8 @@ def flow_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.explode(F.array(*(F.struct(F.lit(i).alias("stage_no"), F.lit(s).alias("stage")) for i, s in enumerate(["synth", "impl"])))).alias("s")
     stages = runs.select(*RUN, order).select(*RUN, "s.*").join(by_stage, [*RUN, "stage"], "left")
     worst = found.withColumn("place", F.struct("id"))
-    return _there_and_back(R.flow_report(stages, E.summarise(runs, found, RUN), worst, RUN, _title(), _name("flow_")))
+    verdicts = written(E.summarise(runs, found, RUN), "verdicts")
+    return _there_and_back(R.flow_report(stages, verdicts, worst, RUN, _title(), _name("flow_")))
 
 
 @query("""WITH s AS (SELECT o_custkey AS c, o_orderkey::VARCHAR AS stage, CASE WHEN o_orderstatus = 'O' THEN 'not run' WHEN o_orderstatus = 'P' AND o_totalprice > 250000 THEN 'ended with a status' WHEN NOT o_totalprice > 100000 THEN 'left no result' END AS why, o_totalprice > 400000 AS b FROM orders),

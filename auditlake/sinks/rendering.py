@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditlake.functions.columns import fixed_digits, severity_rank, variant_text
+from auditlake.functions.columns import fixed_digits, let, severity_rank, variant_text
 
 #: What stands between the values of a list, after its first five, and between two pairs of evidence.
 LIST_SEPARATOR, LIST_CUT, PAIR_SEPARATOR, LIST_SHOWN = "、", " …", "　", 5
@@ -44,7 +44,7 @@ def _shown(value: Column) -> Column:
     listed = F.concat(F.array_join(F.transform(F.slice(many, 1, LIST_SHOWN), variant_text), LIST_SEPARATOR, "None"), F.when(F.size(many) > LIST_SHOWN, LIST_CUT).otherwise(""))
     # A decimal without digits after the point may be a whole number too long for 64 bits, which keeps its digits.
     double = kind.rlike("^(DOUBLE|FLOAT|DECIMAL)") & ~kind.rlike(r"^DECIMAL\((19|[23]\d),0\)")
-    return F.when(kind == "VOID", None).when(F.startswith(kind, F.lit("ARRAY")), F.when(F.size(many) > 0, listed)).when(double, fixed_digits(value.try_cast("double"), 3)).otherwise(variant_text(value))
+    return F.when(kind == "VOID", None).when(F.startswith(kind, F.lit("ARRAY")), F.when(F.size(many) > 0, listed)).when(double, let(value.try_cast("double"), lambda x: fixed_digits(x, 3))).otherwise(variant_text(value))
 
 
 def yes_no(flag: Column) -> Column:

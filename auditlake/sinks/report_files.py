@@ -8,14 +8,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from auditlake.sinks.commits import commit, pointer
 
 
+#: Bytes of lines that are written, and of texts that are handed on, at once.
+BUFFER_BYTES = 1 << 20
+
+
 @dataclass
 class Written(WriterCommitMessage):
     folder: str
@@ -23,16 +27,57 @@ class Written(WriterCommitMessage):
 
 
 class ReportFiles(DataSource):
-    """Rows (name, line), those of one name together and in order; options path and job."""
+    """Written: rows (name, line), those of one name together and in order. Read: rows (name, text). Options path and job."""
 
     @classmethod
     def name(cls) -> str:
         return "report_files"
 
+    def schema(self) -> str:
+        return "name string, text string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(f"{self.options['path']}/{self.options['job']}")
+
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(f"{self.options['path']}/{self.options['job']}")
 
 
+@dataclass
+class Folder(InputPartition):
+    name: str
+
+
+class _Reader(DataSourceReader):
+    """A task lists and reads the folder that one task wrote: names of files are never gathered, however many there are."""
+
+    def __init__(self, place: str) -> None:
+        self.place = place
+
+    def partitions(self) -> list[Folder]:
+        files, root = FileSystem.from_uri(self.place)
+        with files.open_input_stream(f"{root}/folders.json") as listed:
+            return [Folder(name) for name in json.loads(listed.read())]
+
+    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+        files, root = FileSystem.from_uri(self.place)
+        names, texts, size = [], [], 0
+        for info in files.get_file_info(FileSelector(f"{root}/{partition.name}")):
+            with files.open_input_stream(info.path) as file:
+                names.append(info.base_name)
+                texts.append(file.read())
+            size += len(texts[-1])
+            if size >= BUFFER_BYTES:
+                yield _batch(names, texts)
+                names, texts, size = [], [], 0
+        if names:
+            yield _batch(names, texts)
+
+
+def _batch(names: list[str], texts: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], ["name", "text"])
+
+
 class _Writer(DataSourceArrowWriter):
     """Each attempt of a task writes to a folder of its own; the folders of the attempts that counted are listed when the
     job ends, so what a lost or doubled attempt left is never read. A name's file is open while its lines pass: no
@@ -45,17 +90,24 @@ class _Writer(DataSourceArrowWriter):
         folder = uuid.uuid4().hex
         files, root = FileSystem.from_uri(self.place)
         files.create_dir(f"{root}/{folder}", recursive=True)
-        open_name, out, n = None, None, 0
+        open_name, out, n, held, size = None, None, 0, [], 0
         for batch in iterator:
             for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if name != open_name:
                     if out is not None:
+                        out.write("".join(held).encode("utf-8"))
                         out.close()
+                    held, size = [], 0
                     if "/" in name or name.startswith((".", "_")):
                         raise ValueError(f"no name of a report: {name!r}")
                     open_name, out, n = name, files.open_output_stream(f"{root}/{folder}/{name}"), n + 1
-                out.write((line + "\n").encode("utf-8"))
+                held += [line, "\n"]
+                size += len(line) + 1
+                if size >= BUFFER_BYTES:
+                    out.write("".join(held).encode("utf-8"))
+                    held, size = [], 0
         if out is not None:
+            out.write("".join(held).encode("utf-8"))
             out.close()
         return Written(folder, n)
 
@@ -85,11 +137,11 @@ def write_reports(lines: DataFrame, path: str) -> int:
 
 
 def read_reports(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
-    """(name, text) of the reports of a commit, the last one where no number is given."""
+    """(name, text) of the reports of a commit, the last one where no number is given; a task for each that wrote some."""
     where = (path if "://" in path else f"file://{path}").rstrip("/")
     job = pointer(spark, where, number)
     folders = [] if job is None else json.loads(spark.read.text(f"{where}/{job}/folders.json", wholetext=True).first()[0])
     if not folders:
         return spark.createDataFrame([], "name string, text string")
-    read = spark.read.text([f"{where}/{job}/{f}" for f in folders], wholetext=True)
-    return read.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    spark.dataSource.register(ReportFiles)
+    return spark.read.format("report_files").option("path", where).option("job", job).load()
