@@ -69,7 +69,8 @@ def findings_of(facts: DataFrame, keys: list[str], rules: list[Rule], source: st
         inner = [F.concat(F.lit(f'"{c}": '), canonical_json(F.col(c), kinds[c])) for c in sorted(rule.evidence)]
         digest = evidence_digest(F.lit(rule.id), F.concat(F.lit("{"), F.concat_ws(", ", *inner), F.lit("}")))
         fired.append(F.when(holds, F.struct(F.lit(rule.id).alias("id"), F.lit(rule.bringup).alias("blocks_bringup"), F.lit(rule.signoff).alias("blocks_signoff"), F.lit(rule.notable).alias("notable"), evidence.alias("evidence"), digest.alias("digest"))))
-    hits = facts.select(*keys, F.explode(F.filter(F.array(*fired), lambda x: x.isNotNull())).alias("f")).select(*keys, "f.*")
+    # In a step of their own: what a generator is given is interpreted, node by node.
+    hits = facts.select(*keys, F.array(*fired).alias("_fired")).select(*keys, F.explode("_fired").alias("f")).where("f IS NOT NULL").select(*keys, "f.*")
     return hits.select(*keys, "id", severity_of(F.col("blocks_bringup"), F.col("blocks_signoff"), F.col("notable")).alias("severity"), "blocks_bringup", "blocks_signoff", "evidence", F.lit(source).alias("source"), "digest")
 
 

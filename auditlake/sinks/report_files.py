@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,7 +94,13 @@ class _Writer(DataSourceArrowWriter):
         files.create_dir(f"{root}/{folder}", recursive=True)
         open_name, out, n, held, size = None, None, 0, [], 0
         for batch in iterator:
-            for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            batch = batch.filter(pc.is_valid(batch.column(1)))
+            if not batch.num_rows:
+                continue
+            names, lines = batch.column(0), batch.column(1).to_pylist()
+            # Rows of one name are a run: names are looked at where they change only.
+            starts = [0, *(np.flatnonzero(pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist()]
+            for name, a, b in zip(names.take(pa.array(starts)).to_pylist(), starts, [*starts[1:], len(lines)], strict=True):
                 if name != open_name:
                     if out is not None:
                         out.write("".join(held).encode("utf-8"))
@@ -101,8 +109,8 @@ class _Writer(DataSourceArrowWriter):
                     if "/" in name or name.startswith((".", "_")):
                         raise ValueError(f"no name of a report: {name!r}")
                     open_name, out, n = name, files.open_output_stream(f"{root}/{folder}/{name}"), n + 1
-                held += [line, "\n"]
-                size += len(line) + 1
+                held += ["\n".join(lines[a:b]), "\n"]
+                size += len(held[-2]) + 1
                 if size >= BUFFER_BYTES:
                     out.write("".join(held).encode("utf-8"))
                     held, size = [], 0
@@ -131,7 +139,8 @@ def write_reports(lines: DataFrame, path: str) -> int:
     spark, job = lines.sparkSession, f"reports-{uuid.uuid4().hex}"
     spark.dataSource.register(ReportFiles)
     where = path if "://" in path else f"file://{path}"
-    ordered = lines.where("line IS NOT NULL AND name IS NOT NULL").repartition("name").sortWithinPartitions("name", "section", "place").select(F.col("name").cast("string"), F.col("line").cast("string"))
+    # Null lines go where they are written: a filter here would be pushed down and tell each line twice.
+    ordered = lines.where("name IS NOT NULL").repartition("name").sortWithinPartitions("name", "section", "place").select(F.col("name").cast("string"), F.col("line").cast("string"))
     ordered.write.format("report_files").mode("append").option("path", where.rstrip("/")).option("job", job).save()
     return commit(spark, where.rstrip("/"), job)
 

@@ -12,6 +12,7 @@ from auditlake.operators import joins as J
 from auditlake.plans import evaluate as E
 from auditlake.plans import rules as P
 from auditlake.queries import query, table
+from auditlake.report_queries import dealt
 from auditlake.sources import records
 
 ORDER = ["o_orderkey"]
@@ -30,9 +31,10 @@ _DIRTY = """f AS (SELECT o_orderkey, o_custkey % 5 AS c, o_orderkey % 3 AS n, o_
 
 
 def nested_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence with a list, an object with a null in it, and doubles. Orders are dealt, as a file may be one task's."""
+    """Evidence with a list, an object with a null in it, and doubles. Orders are dealt in a number of tasks of their own:
+    a file may be one task's, and tasks put together by the bytes of narrow rows would leave cores idle."""
     key = F.col("o_orderkey")
-    facts = table(spark, sf_dir, "orders").repartition(*ORDER).select(
+    facts = dealt(table(spark, sf_dir, "orders"), ORDER).select(
         "o_orderkey", (key % 3).alias("n_dirty"), F.array(F.concat(F.lit("p"), (F.col("o_custkey") % 5).cast("string")), F.lit("q")).alias("files"),
         F.struct(F.col("o_orderpriority").alias("priority"), F.lit(None).cast("string").alias("none")).alias("place"), F.col("o_totalprice").cast("double").alias("share"), (F.col("o_orderstatus") == "F").alias("gone"),
     )
