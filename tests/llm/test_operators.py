@@ -468,3 +468,11 @@ def test_packing_query_keeps_near_copies_apart(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     bins = {r["doc_id"]: r["bin"] for r in collected(op2_best_fit_packing(spark, str(tmp_path)))}
     assert len({bins[i] for i in range(4)}) == 4 and len(bins) == 5
+
+
+def test_packing_query_keeps_texts_without_id_or_words_apart(spark, tmp_path):
+    rows = [(None, "one two three", "s0"), (None, "One Two three", "s1"), (1, " \n", "s2"), (2, " \n", "s3"), (3, None, "s4"), (4, "", "s5")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = collected(op2_best_fit_packing(spark, str(tmp_path)))
+    bins = {r["doc_id"]: r["bin"] for r in out}
+    assert len(out) == 6 and len({r["bin"] for r in out if r["doc_id"] is None}) == 2 and bins[1] != bins[2] and bins[3] != bins[4]
