@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditlake.functions.columns import canonical_json, evidence_digest, initcap, lower, severity_of, severity_rank
+from auditlake.sources import texts
 from auditlake.sources.reports import clocks, constraints_met, design_summary
 from auditlake.sources.tables import check_items, timing_paths
 
@@ -299,6 +300,12 @@ def timing_facts(lines: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("period", F.coalesce("asked", "shortest")).drop("asked", "shortest")
 
 
+def timing_facts_of(files: DataFrame, keys: list[str]) -> DataFrame:
+    """timing_facts of texts (keys, text), a text a row: no line of them is dealt, sorted or written. banner: the pairs of its head."""
+    # The facts come out of a generator as columns: as fields of a struct they would be put into each rule and looked up there.
+    return files.select(*keys, F.inline(texts.timing_facts("text")))
+
+
 def log_facts(classes: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """J10 inputs: a row per class (A4) and one with the number of error messages."""
     errors = found.where("severity = 'ERROR'").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_error"))
